@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import chat, quality
+from lumenframe.llm import chat, langid, packing, quality, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op1_packing": packing.op1_packing,
         "op3_quality_rules": quality.op3_quality_rules,
+        "op5_warc": warc.op5_warc,
+        "op6_url_filters": urls.op6_url_filters,
+        "op7_language_id": langid.op7_language_id,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
 
@@ -15,5 +19,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality.op3_sql(),
+        "op5_warc": warc.OP5_SQL,
         "op10_chat_formatting": chat.OP10_SQL,
     }
