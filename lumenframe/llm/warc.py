@@ -82,12 +82,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         system, base = filesystem(folder)
         out, size, n, path = None, 0, 0, f"{base}/{uuid.uuid4().hex}.warc.gz"
-        first_seen: set = set()
         for b in batches:
             for part in (b.slice(x, 200) for x in range(0, b.num_rows, 200)):
                 if out is None:
                     system.create_dir(base, recursive=True)
-                    out = system.open_output_stream(path)
+                    out = system.open_output_stream(path, compression=None)
                 for page_id, url, payload, digest, refers_to, revisit in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "revisit")), strict=True):
                     member = gzip_member(record(page_id, url, payload, digest, refers_to if revisit else None))
                     out.write(member)
