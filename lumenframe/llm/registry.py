@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import chat, langid, packing, quality, urls, warc
+from lumenframe.llm import bpe, chat, langid, packing, quality, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op3_quality_rules": quality.op3_quality_rules,
+        "op4_bpe": bpe.op4_bpe,
         "op5_warc": warc.op5_warc,
         "op6_url_filters": urls.op6_url_filters,
         "op7_language_id": langid.op7_language_id,
