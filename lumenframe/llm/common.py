@@ -76,3 +76,11 @@ def parallel(df: DataFrame, at_least: int | None = None) -> DataFrame:
 def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str, rows: int, limit: int = 500_000) -> DataFrame:
     """Joins on a key; the id side, whose row count has been measured, is broadcast up to a fixed limit and shuffled beyond it."""
     return df.join(F.broadcast(ids) if rows <= limit else ids, key, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer referenced."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

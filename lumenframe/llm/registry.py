@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, chat, langid, packing, quality, urls, warc
+from lumenframe.llm import bpe, chat, langid, packing, quality, repeats, urls, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op6_url_filters": urls.op6_url_filters,
         "op7_language_id": langid.op7_language_id,
+        "op9_suffix_dedup": repeats.op9_suffix_dedup,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
 
