@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, chat, langid, packing, quality, repeats, urls, warc
+from lumenframe.llm import bpe, chat, jaccard, langid, packing, quality, repeats, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_bpe": bpe.op4_bpe,
         "op5_warc": warc.op5_warc,
