@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, chat, jaccard, langid, packing, quality, repeats, urls, warc
+from lumenframe.llm import bpe, chat, embeddings, jaccard, langid, packing, quality, repeats, urls, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op6_url_filters": urls.op6_url_filters,
         "op7_language_id": langid.op7_language_id,
+        "op8_embedding_dedup": embeddings.op8_embedding_dedup,
         "op9_suffix_dedup": repeats.op9_suffix_dedup,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality.op3_sql(),
         "op5_warc": warc.OP5_SQL,
+        "op8_embedding_dedup": embeddings.OP8_SQL,
         "op10_chat_formatting": chat.OP10_SQL,
     }
