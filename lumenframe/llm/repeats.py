@@ -72,22 +72,24 @@ def short_digit(digit: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 
 
 def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """text_key, ids (sorted, null last), text: one row for each distinct text of a batch."""
+    """text_key, ids (sorted, null last), text, and lists of any other columns: one row for each distinct text of a batch."""
     key = batch.column("text_key").to_numpy(zero_copy_only=False)
     ids = batch.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
     order = np.lexsort((ids, key))
     edge = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.empty(0, dtype=bool)
     first = np.flatnonzero(edge)
     offsets = np.concatenate([first, [len(order)]]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(key[order[first]]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[order])), batch.column("text").take(pa.array(order[first]))], names=["text_key", "ids", "text"])
+    other = [c for c in batch.schema.names if c not in ("text_key", "doc_id", "text")]
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), batch.column(c).take(pa.array(order))) for c in other]
+    return pa.RecordBatch.from_arrays([pa.array(key[order[first]]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[order])), batch.column("text").take(pa.array(order[first])), *lists], names=["text_key", "ids", "text", *other])
 
 
 def raw_texts(column) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return parallel(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("text_key", F.xxhash64("text"))
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return parallel(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)).withColumn("text_key", F.xxhash64("text"))
 
 
 def moved_texts(src: DataFrame, n: int) -> DataFrame:
@@ -359,8 +361,8 @@ def rebucketed(spans: DataFrame, n_text: int) -> DataFrame:
     return spans.mapInArrow(run, SCHEMA)
 
 
-def cleaned(side: DataFrame, texts: DataFrame, partitions: int, width: int, with_text: bool) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row."""
+def cleaned(side: DataFrame, texts: DataFrame, partitions: int, width: int, with_text: bool, keep: list[tuple[str, str]]) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes), and the (name, type) columns to keep, of every row."""
 
     def run(batches):
         for _, own in by_bucket(batches):
@@ -375,6 +377,8 @@ def cleaned(side: DataFrame, texts: DataFrame, partitions: int, width: int, with
                     for k, s, n in zip(*(t.column(c).to_pylist() for c in ("text_key", "start", "length")), strict=True):
                         spans.setdefault(k, []).append((s, s + n))
                     continue
+                if not t.num_rows:
+                    continue
                 rows = []
                 for k, ids, text in zip(t.column("text_key").to_pylist(), t.column("ids").to_pylist(), t.column("text").to_pylist(), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
@@ -400,17 +404,19 @@ def cleaned(side: DataFrame, texts: DataFrame, partitions: int, width: int, with
                 if with_text:
                     arrays.append(pa.array(c[5], pa.binary()))
                     names.append("kept")
+                arrays += [t.column(name).combine_chunks().flatten() for name, _ in keep]
+                names += [name for name, _ in keep]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + "".join(f", `{n}` {t}" for n, t in keep)
     return dealt(side.unionByName(texts), partitions, ordered=True).mapInArrow(run, schema)
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """What is left of (doc_id long, text) without the bytes covered by a width-byte string that also starts in a document with a smaller doc_id."""
+def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, keep: tuple[str, ...] = (), bucket_bytes: int = 16 << 20) -> DataFrame:
+    """What is left of (doc_id long, text, columns to keep) without the bytes covered by a width-byte string that also starts in a document with a smaller doc_id."""
     if width < ANCHOR + 8:
         raise ValueError(f"width must be at least {ANCHOR + 8}")
     spark = docs.sparkSession
@@ -431,7 +437,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, bu
     spans = written(repeated_spans(windows, max(parts, n_digit * 4), width, n_text).unionByName(rebucketed(windows.where("kind = 0"), n_text)), "repeats-spans")
     drop_written(windows)
     release(spark)
-    return cleaned(firsts.unionByName(spans), moved_texts(src, n_text), max(parts, n_text), width, with_text)
+    kinds = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
+    return cleaned(firsts.unionByName(spans), moved_texts(keyed(docs, keep), n_text), max(parts, n_text), width, with_text, kinds)
 
 
 def op9_suffix_dedup(spark, sf_dir):
