@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import drop_written, join_ids, parallel, release, table, written
 from lumenframe.llm.graph import components
 from lumenframe.llm.kernels import U64, mix, set_key, shingle_sets
-from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, packed, text_bytes, unpacked
+from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, id_bucket, packed, text_bytes, unpacked
 
 #: Members of a list that one task compares with as many others.
 BLOCK = 1024
@@ -114,7 +114,7 @@ def shared_counts(src: DataFrame, width: int, n_buckets: int, partitions: int) -
                         seen[k] = len(seen)
                         flat.append(s)
                         held += len(s)
-                    if held > 4_000_000:
+                    if held > 2_000_000:
                         yield from flush(np.array(list(seen), dtype=np.int64), np.concatenate(flat), np.concatenate(owner))
                         seen, flat, owner, held = {}, [], [], 0
                 if held:
@@ -123,30 +123,45 @@ def shared_counts(src: DataFrame, width: int, n_buckets: int, partitions: int) -
         yield from emitted(rows())
 
     def count(batches):
-        for _, own in by_bucket(batches):
-            keys, several, hashes = [], [], []
-            for kind, block in own:
-                t = unpacked(block).combine_chunks()
-                if kind == 0:
-                    yield from t.to_batches()
+        """Counts by class, as blocks for the class's own bucket: a row for each would be as many as classes times buckets."""
+
+        def rows():
+            for _, own in by_bucket(batches):
+                keys, several, hashes = [], [], []
+                for kind, block in own:
+                    t = unpacked(block).combine_chunks()
+                    if kind == 0:
+                        for known in t.to_batches():
+                            yield from blocks_by_bucket(known, id_bucket(known.column("key_a").to_numpy(), n_buckets), 0)
+                        continue
+                    h = t.column("hashes").combine_chunks()
+                    size = h.value_lengths().to_numpy(zero_copy_only=False)
+                    keys.append(np.repeat(t.column("key_a").to_numpy(), size))
+                    several.append(np.repeat(t.column("several").to_numpy(), size))
+                    hashes.append(h.flatten().to_numpy())
+                if not keys:
                     continue
-                h = t.column("hashes").combine_chunks()
-                size = h.value_lengths().to_numpy(zero_copy_only=False)
-                keys.append(np.repeat(t.column("key_a").to_numpy(), size))
-                several.append(np.repeat(t.column("several").to_numpy(), size))
-                hashes.append(h.flatten().to_numpy())
-            if not keys:
-                continue
-            k, s, h = np.concatenate(keys), np.concatenate(several), np.concatenate(hashes)
-            order = np.argsort(h, kind="stable")
-            k, s, h = k[order], s[order], h[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            many = (np.minimum.reduceat(k, first) != np.maximum.reduceat(k, first)) | np.logical_or.reduceat(s, first)
-            hit = np.repeat(many, np.diff(np.concatenate([first, [len(h)]]))) & ~s
-            name, n = np.unique(k[hit], return_counts=True)
+                k, s, h = np.concatenate(keys), np.concatenate(several), np.concatenate(hashes)
+                order = np.argsort(h, kind="stable")
+                k, s, h = k[order], s[order], h[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                many = (np.minimum.reduceat(k, first) != np.maximum.reduceat(k, first)) | np.logical_or.reduceat(s, first)
+                hit = np.repeat(many, np.diff(np.concatenate([first, [len(h)]]))) & ~s
+                name, n = np.unique(k[hit], return_counts=True)
+                yield from blocks_by_bucket(pa.RecordBatch.from_arrays([pa.array(name), pa.array(n)], names=["key_a", "shared"]), id_bucket(name, n_buckets), 0)
+
+        yield from emitted(rows())
+
+    def add(batches):
+        for _, own in by_bucket(batches):
+            t = pa.concat_tables(unpacked(block) for _, block in own)
+            name, where = np.unique(t.column("key_a").to_numpy(), return_inverse=True)
+            n = np.zeros(len(name), dtype=np.int64)
+            np.add.at(n, where, t.column("shared").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(n)], names=["key_a", "shared"])
 
-    return dealt(src.mapInArrow(send, SCHEMA), partitions).mapInArrow(count, "key_a long, shared long").groupBy("key_a").agg(F.sum("shared").alias("shared"))
+    counts = dealt(src.mapInArrow(send, SCHEMA), partitions).mapInArrow(count, SCHEMA)
+    return dealt(counts, partitions).mapInArrow(add, "key_a long, shared long")
 
 
 def token_sets(src: DataFrame, width: int) -> DataFrame:
