@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import parallel, table, worker_cache, written
 from lumenframe.llm.kernels import U64, blocks, joined, mix, prefix_hash, window_hash
 from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, id_bucket, text_bytes, unpacked
-from lumenframe.llm.tokens import UNSURE, _Pieces
+from lumenframe.llm.tokens import UNSURE, _Pieces, byte_symbols
 
 ROLL, MEAN, MOST = 16, 512, 8192
+#: Marks that end a word as a piece of their own; none of them starts a contraction.
+MARKS = ",.;:!?|*#$%&"
 #: Bits of the bitmap of shared chunks.
 MAP_BITS = 1 << 24
 
@@ -54,7 +56,23 @@ class WordEncoder:
         first = (pre.get("pretokenizers") or [pre])[0]
         self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "\\s" in str(first.get("pattern"))
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words = _Pieces(self.ids, self.dtype)
+        self.words = _Pieces(self._word, self.dtype)
+        norm = [x.get("type") for x in (model.get("normalizer") or {}).get("normalizers", ())]
+        second = (pre.get("pretokenizers") or [{}])[-1]
+        self.plain = norm == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+" in (first.get("pattern") or {}).get("Regex", "") and second.get("type") == "ByteLevel" and not second.get("use_regex") and not second.get("add_prefix_space")
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+        self.plain = self.plain and all(self._word(w) == self.ids(w) for w in ("a", "The", "word,", "straße.", "Été", "ÀÇÑÖ|", "don't", "x1", "naïve***"))
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word. Letters of the Latin blocks lower-case one by one and are one piece, and a mark after a letter is another, so these need the merges only."""
+        if self.plain and len(word) < 200:
+            if len(word) > 1 and word[-1] in MARKS and word[-2].isalpha():
+                return np.frombuffer(self.words[word[:-1]] + self.words[word[-1]], dtype=self.dtype).tolist()
+            if word.isalpha() and max(word) < "\u0250":
+                low = word.lower()
+                if low.isalpha():
+                    return [t.id for t in self.library.model.tokenize(low.encode().decode("latin-1").translate(self.symbols))]
+        return self.ids(word)
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -170,8 +188,17 @@ def shared_map(docs: DataFrame, tokenizer: str) -> np.ndarray:
     return out
 
 
-def encode(docs: DataFrame, tokenizer: str, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, ids (packed little-endian), width (bytes of an id), n_tokens, n_chunks, n_reused of docs (doc_id, text)."""
+def packed_ids(ids: list[bytes], enc: WordEncoder) -> list[pa.Array]:
+    """What encode() returns of each text unless told otherwise: the ids and the bytes of one."""
+    return [pa.array(ids, pa.binary()), pa.array([int(enc.dtype[-1])] * len(ids), pa.int32())]
+
+
+def encode(docs: DataFrame, tokenizer: str, finishing=packed_ids, fields: str = "ids binary, width int", bucket_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, ids (packed little-endian), width (bytes of an id), n_tokens, n_chunks, n_reused of docs (doc_id, text).
+
+    ``finishing`` may put other ``fields`` in place of the ids; it runs in the worker that encodes,
+    since every further Python step of a stage would be one more process for each core.
+    """
     spark = docs.sparkSession
     docs = parallel(docs.select("doc_id", "text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -242,6 +269,7 @@ def encode(docs: DataFrame, tokenizer: str, bucket_bytes: int = 16 << 20) -> Dat
     main = docs.mapInArrow(texts, SCHEMA).select("bucket", "kind", "block", none.cast("binary").alias("key"), none.cast("binary").alias("ids"), none.cast("int").alias("head"), none.cast("int").alias("tail"))
     both = side.unionByName(main).repartition(max(parts, n_buckets), "bucket").sortWithinPartitions("bucket", "kind")
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def finish(batches):
         enc = word_encoder(tokenizer)
@@ -269,47 +297,47 @@ def encode(docs: DataFrame, tokenizer: str, bucket_bytes: int = 16 << 20) -> Dat
                         n_chunks.append(len(cs))
                         n_reused.append(sum(f is not None for f in found))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), pa.array(out, pa.binary()), pa.array([width] * len(out), pa.int32()), pa.array([len(x) // width for x in out], pa.int64()), pa.array(n_chunks, pa.int32()), pa.array(n_reused, pa.int32())],
-                        names=["doc_id", "ids", "width", "n_tokens", "n_chunks", "n_reused"],
+                        [part.column("doc_id"), *finishing(out, enc), pa.array([len(x) // width for x in out], pa.int64()), pa.array(n_chunks, pa.int32()), pa.array(n_reused, pa.int32())],
+                        names=["doc_id", *names, "n_tokens", "n_chunks", "n_reused"],
                     )
 
-    return both.mapInArrow(finish, f"doc_id {id_type}, ids binary, width int, n_tokens long, n_chunks int, n_reused int")
+    return both.mapInArrow(finish, f"doc_id {id_type}, {fields}, n_tokens long, n_chunks int, n_reused int")
 
 
 def wide(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
+def decoded(ids: bytes, enc: WordEncoder) -> str:
+    """The library's decode, special tokens kept."""
+    return enc.library.decode(np.frombuffer(ids, enc.dtype).tolist(), skip_special_tokens=False)
+
+
 def decode(encoded: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
-    """The kept columns and decoded text of encoded ids, as the library's decode with special tokens kept."""
+    """The kept columns and decoded text of encoded ids."""
     schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep), "decoded string"])
 
     def run(batches):
-        lib = word_encoder(tokenizer).library
+        enc = word_encoder(tokenizer)
         for b in batches:
             for part in (b.slice(x, 500) for x in range(0, b.num_rows, 500)):
-                texts = [lib.decode(np.frombuffer(x, f"<u{w}").tolist(), skip_special_tokens=False) for x, w in zip(part.column("ids").to_pylist(), part.column("width").to_pylist(), strict=True)]
+                texts = [decoded(x, enc) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Adds ids_sha256, over ids as unsigned 32-bit integers."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-
-    def run(batches):
-        for b in batches:
-            sha = [hashlib.sha256(wide(x, w)).hexdigest() for x, w in zip(b.column("ids").to_pylist(), b.column("width").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sha, pa.string())], names=[*b.schema.names, "ids_sha256"])
-
-    return encoded.mapInArrow(run, f"{fields}, ids_sha256 string")
+def digests(ids: list[bytes], enc: WordEncoder) -> list[pa.Array]:
+    """SHA-256 of the ids as unsigned 32-bit integers, and of the text decoded from them."""
+    width = int(enc.dtype[-1])
+    sha = [hashlib.sha256(wide(x, width)).hexdigest() for x in ids]
+    back = [hashlib.sha256(decoded(x, enc).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+    return [pa.array(sha, pa.string()), pa.array(back, pa.string())]
 
 
 def op4_bpe(spark, sf_dir):
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(digests(encode(docs, path)), path, ["doc_id", "n_tokens", "ids_sha256", "n_chunks", "n_reused"])
-    return coded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_chunks", "n_reused")
+    coded = encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests, "ids_sha256 string, decoded_sha256 string")
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chunks", "n_reused")
