@@ -59,7 +59,8 @@ def runs(buf: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
     new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     begin = start[new]
     count = np.diff(np.concatenate([new, [len(start)]]))
-    return begin, count, h[own[new]], np.searchsorted(at, begin, side="right") - 1
+    # Smallest hashes are small numbers; mixed again they spread over the buckets evenly.
+    return begin, count, mix(h[own[new]]), np.searchsorted(at, begin, side="right") - 1
 
 
 def digit_bucket(digit: np.ndarray, n: int) -> np.ndarray:
@@ -155,7 +156,7 @@ def first_pass(src: DataFrame, width: int, n_digit: int, n_text: int) -> DataFra
                         digits.append(d)
                         owners.append(own + i + p)
                         held += len(d)
-                    if held > 4_000_000:
+                    if held > 1_000_000:
                         yield from flush(keys, np.concatenate(digits), np.concatenate(owners))
                         digits, owners, held = [], [], 0
                 if held:
@@ -272,7 +273,7 @@ def windows_of(side: DataFrame, texts: DataFrame, partitions: int, width: int, n
                         cols[3].append([raw[s : s + c + width - 1] for s, c in zip(begin.tolist(), count.tolist(), strict=True)])
                         cols[4].append(bucket)
                         held += len(begin)
-                        if held > 400_000:
+                        if held > 100_000:
                             yield from flush(cols)
                             cols, held = [[], [], [], [], []], 0
                 if held:
