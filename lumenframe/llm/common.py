@@ -29,6 +29,13 @@ def worker_cache() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def forget() -> None:
+    """Frees what earlier operators cached in this worker process: workers outlive stages, and their memory is shared."""
+    held = worker_cache()
+    for k in [k for k in held if isinstance(k, tuple)]:
+        del held[k]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one under the warehouse where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

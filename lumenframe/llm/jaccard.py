@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import drop_written, join_ids, parallel, release, table, written
+from lumenframe.llm.common import drop_written, forget, join_ids, parallel, release, table, written
 from lumenframe.llm.graph import components
 from lumenframe.llm.kernels import U64, mix, set_key, shingle_sets
 from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, id_bucket, packed, text_bytes, unpacked
@@ -62,6 +62,7 @@ def set_rows(src: DataFrame, width: int, keep: list[str]) -> DataFrame:
     fields = [f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches):
+        forget()
         for b in batches:
             for part in (b.slice(x, 1000) for x in range(0, b.num_rows, 1000)):
                 sets = sets_of(part, width)
@@ -120,6 +121,7 @@ def shared_counts(src: DataFrame, width: int, n_buckets: int, partitions: int) -
                 if held:
                     yield from flush(np.array(list(seen), dtype=np.int64), np.concatenate(flat), np.concatenate(owner))
 
+        forget()
         yield from emitted(rows())
 
     def count(batches):

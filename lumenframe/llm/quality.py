@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import parallel, table, written
+from lumenframe.llm.common import forget, parallel, table, written
 from lumenframe.llm.kernels import BASE, U64, blocks, joined, mix, prefix_hash, span_hash, word_spans
 
 SYMBOLS = "#*$%&|<>"
@@ -90,6 +90,7 @@ def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in [*COUNTS, "n_lines"])])
 
     def run(batches):
+        forget()
         for b in batches:
             for part in (b.slice(x, 1000) for x in range(0, b.num_rows, 1000)):
                 got = counted([t or "" for t in part.column("text").to_pylist()])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import drop_written, parallel, release, table, written
+from lumenframe.llm.common import drop_written, forget, parallel, release, table, written
 from lumenframe.llm.kernels import U64, blocks, joined, mix, prefix_hash, slide_min_argmin, window_hash
 from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, id_bucket, text_bytes, unpacked
 
@@ -162,6 +162,7 @@ def first_pass(src: DataFrame, width: int, n_digit: int, n_text: int) -> DataFra
                 if held:
                     yield from flush(keys, np.concatenate(digits), np.concatenate(owners))
 
+        forget()
         yield from emitted(rows())
 
     return src.mapInArrow(run, SCHEMA)

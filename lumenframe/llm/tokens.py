@@ -16,7 +16,9 @@ import numpy as np
 from lumenframe.llm.common import worker_cache
 
 #: Entries after which a cache is emptied.
-CACHE = 400_000
+CACHE = 200_000
+#: Longer pieces are rarely met again.
+LONGEST = 24
 #: Characters that Python's \\s holds and the Unicode White_Space property does not, and the start of all special tokens.
 UNSURE = re.compile("[\x1c-\x1f]|<\\|")
 #: The tokenizer's own treatment of white space: a run gives up its last character, and one space joins the word after it.
@@ -41,7 +43,7 @@ class _Pieces(dict):
         if len(self) >= CACHE:
             self.clear()
         packed = np.array(self.encode(piece), dtype=self.dtype).tobytes()
-        if len(piece) <= 64:
+        if len(piece) <= LONGEST:
             self[piece] = packed
         return packed
 
