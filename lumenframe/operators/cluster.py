@@ -52,13 +52,17 @@ def merge_steps(points: np.ndarray, method: str) -> list[tuple[int, int, float,
 def agglomerative(rows: DataFrame, key: str, order: str, features: list[str], method: str = "single") -> DataFrame:
     """key, step, left, right, height, size: the dendrogram of each group; groups are images, of bounded size."""
     kind = rows.schema[key].dataType.simpleString()
+    g = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, F.array(*(F.col(c).cast("double") for c in features)).alias("x")))).alias("r"))
+    g = g.select(key, F.transform("r", lambda e: e["x"]).alias("x"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        steps = merge_steps(pdf[features].to_numpy(dtype=float), method)
-        return pd.DataFrame([(pdf[key].iloc[0], i, *s) for i, s in enumerate(steps)], columns=[key, "step", "left", "right", "height", "size"])
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for k, x in zip(pdf[key], pdf["x"], strict=True):
+                out += [(k, i, *s) for i, s in enumerate(merge_steps(np.stack(x), method))]
+            yield pd.DataFrame(out, columns=[key, "step", "left", "right", "height", "size"])
 
-    return rows.select(key, order, *features).groupBy(key).applyInPandas(run, f"{key} {kind}, step int, left int, right int, height double, size int")
+    return g.mapInPandas(run, f"{key} {kind}, step int, left int, right int, height double, size int")
 
 
 def log_nfa(n: int, k: int, p: float, tests: float = 1.0) -> float:
