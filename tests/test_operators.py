@@ -171,3 +171,32 @@ def test_poll_and_config(spark):
     assert got == {"a": "1", "b": "1/h", "g": {"c": "1/hx"}}
     with pytest.raises(ValueError):
         documents.read_config("g (\n")
+
+
+def test_coupled_probabilities_and_cut():
+    from lumenframe.operators.learners import coupled, two_way_cut
+
+    want = np.array([0.5, 0.3, 0.2])
+    r = want[:, None] / (want[:, None] + want[None])
+    assert np.allclose(coupled(r), want, atol=0.02)
+    w = np.kron(np.eye(2), np.ones((3, 3))) + 0.01
+    side = two_way_cut(w)
+    assert len(set(side[:3])) == 1 and len(set(side[3:])) == 1 and side[0] != side[3]
+
+
+def test_segments(spark):
+    from lumenframe.operators.learners import segments
+
+    rows = [(1, x, y, 0.0 if x < 3 else 100.0) for x in range(6) for y in range(4)]
+    got = {(r.x, r.y): r.segment for r in segments(spark.createDataFrame(rows, "k long, x int, y int, v double"), "k", 10.0, 2).collect()}
+    assert len(set(got.values())) == 2 and len({v for (x, _), v in got.items() if x < 3}) == 1
+
+
+def test_linear_learner(spark):
+    from lumenframe.operators.learners import linear_classifier, vectorised
+
+    rows = [([float(i % 7), float(i % 5)], int(i % 7 > 3)) for i in range(100)]
+    df = spark.createDataFrame(rows, "f array<double>, y int")
+    model = linear_classifier(df, "f", "y")
+    out = model.transform(vectorised(df, "f"))
+    assert out.where("prediction = y").count() >= 95
