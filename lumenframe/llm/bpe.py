@@ -202,7 +202,7 @@ def encode(docs: DataFrame, tokenizer: str, finishing=packed_ids, fields: str =
     spark = docs.sparkSession
     docs = parallel(docs.select("doc_id", "text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = buckets_for(text_bytes(docs), bucket_bytes, parts)
+    n_buckets = buckets_for(text_bytes(docs), bucket_bytes, spark.sparkContext.defaultParallelism)
     bitmap = spark.sparkContext.broadcast(shared_map(docs, tokenizer))
 
     def occurrences(batches):

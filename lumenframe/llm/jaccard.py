@@ -296,12 +296,12 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     return list_links(lists, own, verified(stars, own, percent), percent)
 
 
-def linked(docs: DataFrame, width: int = 3, percent: int = 90, bucket_bytes: int = 64 << 20) -> DataFrame:
+def linked(docs: DataFrame, width: int = 3, percent: int = 90, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id long, text)."""
     spark = docs.sparkSession
     src = parallel(docs.select("doc_id", "text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = buckets_for(text_bytes(docs), bucket_bytes, parts)
+    n_buckets = buckets_for(text_bytes(docs), bucket_bytes, spark.sparkContext.defaultParallelism)
     rows = written(set_rows(src, width, ["doc_id"]), "jaccard-rows")
     classes = written(rows.where("n > 0").groupBy("n", "key_a", "key_b").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     counts = shared_counts(src, width, n_buckets, max(parts, n_buckets))

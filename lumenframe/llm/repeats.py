@@ -425,8 +425,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, ke
     src = keyed(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = text_bytes(docs)
-    n_text = buckets_for(total, bucket_bytes, parts)
-    n_digit = buckets_for(total, 4 * bucket_bytes, parts)
+    # Tasks times buckets is the number of blocks: buckets follow the bytes of text, not the number of partitions.
+    cores = spark.sparkContext.defaultParallelism
+    n_text = buckets_for(total, bucket_bytes, cores)
+    n_digit = buckets_for(total, bucket_bytes * 3 // 2, cores)
     firsts = written(first_ids(src, n_text), "repeats-firsts")
     anchors = written(first_pass(src, width, n_digit, n_text), "repeats-anchors")
     known = written(shared_digits(anchors, max(parts, n_digit), n_text), "repeats-digits")
