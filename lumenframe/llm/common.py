@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between Spark and Python: bounded memory also where texts are long.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 12 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -20,6 +22,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    now = spark.conf.get(BATCH_LIMIT).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     return spark
 
 
@@ -30,10 +35,21 @@ def worker_cache() -> dict:
 
 
 def forget() -> None:
-    """Frees what earlier operators cached in this worker process: workers outlive stages, and their memory is shared."""
+    """Gives back what earlier operators hold in this worker process: workers outlive stages, and their memory is shared."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
     held = worker_cache()
     for k in [k for k in held if isinstance(k, tuple)]:
         del held[k]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -280,6 +280,7 @@ def windows_of(side: DataFrame, texts: DataFrame, partitions: int, width: int, n
                 if held:
                     yield from flush(cols)
 
+        forget()
         yield from emitted(rows())
 
     return dealt(side.unionByName(texts), partitions, ordered=True).mapInArrow(run, SCHEMA)
@@ -345,6 +346,7 @@ def repeated_spans(windows: DataFrame, partitions: int, width: int, n_text: int)
                 out = pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.array(n)], names=["text_key", "start", "length"])
                 yield from blocks_by_bucket(out, id_bucket(k, n_text), 0)
 
+        forget()
         yield from emitted(rows())
 
     return dealt(windows.where("kind = 1"), partitions).mapInArrow(run, SCHEMA)
