@@ -6,8 +6,8 @@ later work is on classes.
 1. Uniqueness: hashes of all shingles are dealt to buckets, which count for each class how many
    of its shingles any other class holds. A class of n shingles that shares fewer than
    ``threshold`` n cannot link to another and is settled. Shingles that several classes of one
-   task share are settled there and sent once, so no bucket gets more than one record for
-   each task and shingle.
+   batch share are settled there and sent once, so no bucket gets more than one record for
+   each batch and shingle.
 2. Shingles of the remaining classes are ordered by how many classes hold them, rarest first.
 3. Light: of a class with at most ``boundary`` shingles all subsets large enough to prove a link
    are enumerated. Classes with an equal subset are linked to the smallest of them, which

@@ -11,10 +11,10 @@ that drop a suffix as soon as its group lies in one document:
   There the suffixes are sorted by further digits of eight bytes down to ``width``. The groups
   left are exactly the repeated windows; all but those of the smallest doc_id are removed.
 
-Hot groups: copies of a whole text collapse within a task and are settled by one aggregation;
-a digit or a run of text that many documents share is sent once for each task, because the
-task itself then knows the answer for its other documents. So a bucket gets at most one
-record for each task and passage. Texts move as compressed blocks.
+Hot groups: copies of a whole text collapse within a batch and are settled by one aggregation;
+a digit or a run of text that many documents share is sent once for each batch, because the
+task itself then knows the answer for the batch's other documents. So a bucket gets at most one
+record for each batch (12 MB of text, or less) and passage. Texts move as compressed blocks.
 
 Defined results: a null text counts as empty; a text shorter than ``width`` loses nothing; rows
 equal in doc_id are one document for comparisons and are each reported; rows without doc_id
