@@ -720,6 +720,13 @@ def connected_components(spark, d):
     return C.components(e)
 
 
+@query()
+def connected_components_all(spark, d):
+    """Components of orders (even nodes, twice the key) and parts (odd nodes) over all line items."""
+    e = table(spark, d, "lineitem").select(F.expr("2 * l_orderkey").alias("a"), F.expr("2 * l_partkey + 1").alias("b")).distinct()
+    return C.components(e)
+
+
 @query("SELECT event_id, user_id, CASE WHEN value >= 50 THEN event_type ELSE 'null' END AS label, CASE WHEN value >= 50 THEN value ELSE -1.0 END AS score FROM events")
 def stream_label_microbatch(spark, d):
     path = f"{d}/events.parquet"

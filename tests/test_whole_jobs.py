@@ -16,7 +16,8 @@ def items():
     """Order, part and supplier of each line; parts far above 40, one with more lines than any cap."""
     rnd = random.Random(11)
     parts = [3] * 12 + [41] * 20 + [907] * 25 + [5000] * 9 + [123_456_789] * 6
-    return [(10 * i + rnd.randrange(10), p, rnd.randrange(1, 50), rnd.randrange(1, 8), float(rnd.randrange(1, 51)), rnd.randrange(1, 100_000) / 100) for i, p in enumerate(parts)]
+    rows = [(10 * i + rnd.randrange(10), p, rnd.randrange(1, 50), rnd.randrange(1, 8), float(rnd.randrange(1, 51)), rnd.randrange(1, 100_000) / 100) for i, p in enumerate(parts)]
+    return [*rows, (rows[5][0], 907, 2, 3, 4.0, 5.55), (rows[-1][0], 5000, 2, 3, 4.0, 5.55)]  # orders of two parts
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,14 @@ def test_graph_segments_of_all_images(spark, small_dir, items):
         want[image] = py_segments({p: sum(v) / len(v) for p, v in cells.items()}, 60.0, 2)
     assert got == want
     assert any(len({s for *_, s in v}) < len(v) for v in want.values())
+
+
+def test_connected_components_of_all_rows(spark, small_dir, items):
+    want = {}
+    for o, p, *_ in items:
+        a, b = 2 * o, 2 * p + 1
+        both = want.get(a, {a}) | want.get(b, {b})
+        want.update(dict.fromkeys(both, both))
+    rows = QUERIES["connected_components_all"](spark, small_dir).collect()
+    assert {r.node: r.component for r in rows} == {n: min(c) for n, c in want.items()}
+    assert len(rows) == len(want) and len(set(map(frozenset, want.values()))) == 3
