@@ -233,11 +233,9 @@ def box_delta_decode(spark, d):
 _jit = "SELECT image_id, ord, k, side, x1 - CASE WHEN side = 0 THEN bw ELSE 0 END AS x1, y1 - CASE WHEN side = 1 THEN bh ELSE 0 END AS y1, x2 + CASE WHEN side = 2 THEN bw ELSE 0 END AS x2, y2 + CASE WHEN side = 3 THEN bh ELSE 0 END AS y2 FROM j WHERE CASE side WHEN 0 THEN x1 - bw > 1 WHEN 1 THEN y1 - bh > 1 WHEN 2 THEN x2 + bw < {w} - 1 ELSE y2 + bh < {h} - 1 END".format(w=BIG_W, h=BIG_H)
 
 
-@query(f"""{WITH}, s AS (SELECT * FROM boxes WHERE ord <= 3 AND x2 <= {BIG_W} AND y2 <= {BIG_H} AND x2 - x1 >= 0.2 * (y2 - y1) AND y2 - y1 >= 0.2 * (x2 - x1)),
-k AS (SELECT s.*, CAST(k AS INT) AS k, CAST(side AS INT) AS side FROM s, range(1, 13) a(k), range(0, 4) b(side)),
-j AS (SELECT *, CAST(floor((x2 - x1) * k * 25 / 1000.0 + 0.5) AS INT) AS bw, CAST(floor((y2 - y1) * k * 25 / 1000.0 + 0.5) AS INT) AS bh FROM k) {_jit}""")
-def box_jitter(spark, d):
-    s = boxes(spark, d).where("ord <= 3").where(B.sane(BIG_W, BIG_H))
+def jittered(b: DataFrame) -> DataFrame:
+    """Each sane box with one side moved outwards by 1 to 12 fortieths of its length, as far as it stays in the image."""
+    s = b.where(B.sane(BIG_W, BIG_H))
     j = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(3))))
     j = j.withColumns({"bw": F.expr("CAST(floor((x2 - x1) * k * 25 / 1000.0D + 0.5D) AS INT)"), "bh": F.expr("CAST(floor((y2 - y1) * k * 25 / 1000.0D + 0.5D) AS INT)")})
     move = lambda c, side, by, sign: (F.col(c) + sign * F.when(F.col("side") == side, F.col(by)).otherwise(0)).alias(c)
@@ -245,6 +243,20 @@ def box_jitter(spark, d):
     return j.where(ok).select("image_id", "ord", "k", "side", move("x1", 0, "bw", -1), move("y1", 1, "bh", -1), move("x2", 2, "bw", 1), move("y2", 3, "bh", 1))
 
 
+@query(f"""{WITH}, s AS (SELECT * FROM boxes WHERE ord <= 3 AND x2 <= {BIG_W} AND y2 <= {BIG_H} AND x2 - x1 >= 0.2 * (y2 - y1) AND y2 - y1 >= 0.2 * (x2 - x1)),
+k AS (SELECT s.*, CAST(k AS INT) AS k, CAST(side AS INT) AS side FROM s, range(1, 13) a(k), range(0, 4) b(side)),
+j AS (SELECT *, CAST(floor((x2 - x1) * k * 25 / 1000.0 + 0.5) AS INT) AS bw, CAST(floor((y2 - y1) * k * 25 / 1000.0 + 0.5) AS INT) AS bh FROM k) {_jit}""")
+def box_jitter(spark, d):
+    return jittered(boxes(spark, d).where("ord <= 3"))
+
+
+@query(f"""{WITH}, s AS (SELECT * FROM boxes WHERE x2 <= {BIG_W} AND y2 <= {BIG_H} AND x2 - x1 >= 0.2 * (y2 - y1) AND y2 - y1 >= 0.2 * (x2 - x1)),
+k AS (SELECT s.*, CAST(k AS INT) AS k, CAST(side AS INT) AS side FROM s, range(1, 13) a(k), range(0, 4) b(side)),
+j AS (SELECT *, CAST(floor((x2 - x1) * k * 25 / 1000.0 + 0.5) AS INT) AS bw, CAST(floor((y2 - y1) * k * 25 / 1000.0 + 0.5) AS INT) AS bh FROM k) {_jit}""")
+def box_jitter_all(spark, d):
+    return jittered(boxes(spark, d))
+
+
 _patch = f"""big AS (SELECT image_id, x1, y1, x2, y2, x2 - x1 AS w, y2 - y1 AS h FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY (x2 - x1) * (y2 - y1) DESC, ord) AS r FROM boxes) WHERE r = 1),
 e AS (SELECT *, CAST(trunc(y1 - h * 8 / 10.0) AS INT) AS up, CAST(trunc(y2 + h * 8 / 10.0) AS INT) AS down, CAST(trunc(x1 - w * 8 / 10.0) AS INT) AS le, CAST(trunc(x2 + w * 8 / 10.0) AS INT) AS ri FROM big)
 SELECT image_id, 'up' AS side, x1, up AS y1, x2, up + h AS y2 FROM e WHERE up > 0
@@ -563,12 +575,23 @@ def dictionary_report(spark, d):
     return L.dictionary_report(detection.named(boxes(spark, d)), "label")
 
 
+def voc_read_back(b: DataFrame) -> DataFrame:
+    """Boxes written as VOC files and read again."""
+    rows = b.select(F.col("image_id").cast("string").alias("image"), "ord", F.col("label_id").cast("string").alias("label"), *B.SIDES)
+    back = D.voc_xml(rows).select(F.from_xml("xml", D.VOC, {"rowTag": "annotation"}).alias("d")).select("d.*")
+    return D.voc_rows(back).drop("has_size")
+
+
 @query(f"""{WITH}, i AS (SELECT image_id AS i, ord, label_id, x1, y1, x2, y2 FROM boxes WHERE ord <= 4) SELECT i || '' AS image, CAST(row_number() OVER (PARTITION BY i ORDER BY ord) - 1 AS INT) AS ord, label_id || '' AS label,
   greatest(x1, 1) AS x1, greatest(y1, 1) AS y1, greatest(x2, 1) AS x2, greatest(y2, 1) AS y2 FROM i""")
 def voc_round_trip(spark, d):
-    rows = boxes(spark, d).where("ord <= 4").select(F.col("image_id").cast("string").alias("image"), "ord", F.col("label_id").cast("string").alias("label"), *B.SIDES)
-    back = D.voc_xml(rows).select(F.from_xml("xml", D.VOC, {"rowTag": "annotation"}).alias("d")).select("d.*")
-    return D.voc_rows(back).drop("has_size")
+    return voc_read_back(boxes(spark, d).where("ord <= 4"))
+
+
+@query(f"""{WITH}, i AS (SELECT image_id AS i, ord, label_id, x1, y1, x2, y2 FROM boxes) SELECT i || '' AS image, CAST(row_number() OVER (PARTITION BY i ORDER BY ord) - 1 AS INT) AS ord, label_id || '' AS label,
+  greatest(x1, 1) AS x1, greatest(y1, 1) AS y1, greatest(x2, 1) AS x2, greatest(y2, 1) AS y2 FROM i""")
+def voc_round_trip_all(spark, d):
+    return voc_read_back(boxes(spark, d))
 
 
 @query("SELECT event_id || '' AS id, 'http://x/' || user_id AS url FROM events WHERE event_id % 3 = 0")
@@ -708,7 +731,7 @@ def variance_cut(spark, d):
 
 @query()
 def agglomerative_clusters(spark, d):
-    b = boxes(spark, d).where("ord <= 12").select("image_id", "ord", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
+    b = boxes(spark, d).select("image_id", "ord", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
     return C.agglomerative(b, "image_id", "ord", ["cx", "cy"], "average")
 
 

@@ -1,6 +1,7 @@
 """Queries over whole tables, held against brute force on a small table of line items."""
 
 import datetime
+import math
 import random
 
 import pytest
@@ -83,3 +84,48 @@ def test_connected_components_of_all_rows(spark, small_dir, items):
     rows = QUERIES["connected_components_all"](spark, small_dir).collect()
     assert {r.node: r.component for r in rows} == {n: min(c) for n, c in want.items()}
     assert len(rows) == len(want) and len(set(map(frozenset, want.values()))) == 3
+
+
+def py_merges(points):
+    """Heights of average linkage from the mean of all distances between two clusters."""
+    live, out = [[p] for p in points], []
+    far = lambda a, b: sum(math.dist(p, q) for p in a for q in b) / len(a) / len(b)
+    while len(live) > 1:
+        h, i, j = min((far(a, b), i, j) for i, a in enumerate(live) for j, b in enumerate(live) if i < j)
+        out.append((h, len(live[i]) + len(live[j])))
+        live[i] += live.pop(j)
+    return out
+
+
+def test_dendrograms_of_all_points(spark, small_dir, items):
+    got = {}
+    for r in QUERIES["agglomerative_clusters"](spark, small_dir).collect():
+        got.setdefault(r.image_id, []).append((r.step, r.height, r["size"]))
+    for image, rows in boxes_by_image(items).items():
+        want = py_merges([((x1 + x2) / 2, (y1 + y2) / 2) for _, _, x1, y1, x2, y2 in rows])
+        own = sorted(got[image])
+        assert len(own) == len(rows) - 1
+        assert [h for _, h, _ in own] == pytest.approx([h for h, _ in want]) and [n for *_, n in own] == [n for _, n in want]
+
+
+def test_jitter_of_all_boxes(spark, small_dir, items):
+    want = set()
+    for image, rows in boxes_by_image(items).items():
+        for i, (_, _, *box) in enumerate(rows, 1):
+            w, h = box[2] - box[0], box[3] - box[1]
+            if box[2] > 640 or box[3] > 480 or w < 0.2 * h or h < 0.2 * w:
+                continue
+            for k in range(1, 13):
+                for side in range(4):
+                    by = math.floor((h if side % 2 else w) * k * 25 / 1000 + 0.5)
+                    to = box[side] + (by if side > 1 else -by)
+                    if to > 1 if side < 2 else to < (639, 479)[side - 2]:
+                        want.add((image, i, k, side, *(to if c == side else v for c, v in enumerate(box))))
+    got = [tuple(r) for r in QUERIES["box_jitter_all"](spark, small_dir).collect()]
+    assert len(got) == len(want) and set(got) == want and max(r[1] for r in got) > 20
+
+
+def test_voc_of_all_objects(spark, small_dir, items):
+    want = {(str(image), i, str(label), *(max(v, 1) for v in box)) for image, rows in boxes_by_image(items).items() for i, (label, _, *box) in enumerate(rows)}
+    got = QUERIES["voc_round_trip_all"](spark, small_dir).select("image", "ord", "label", "x1", "y1", "x2", "y2").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
