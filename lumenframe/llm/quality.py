@@ -40,7 +40,7 @@ class Rules:
     reach: int = 3
     least: int = 50
     #: Feature, whether low values fail too, least spread. Features are counts times 1000 for each word, or for each line.
-    features: tuple = (("symbol_rate", False, 150), ("word_length", True, 1500), ("dup_rate", False, 35), ("repeat_rate", False, 300))
+    features: tuple = (("symbol_rate", False, 150), ("word_length", True, 1500), ("dup_rate", False, 35), ("repeat_rate", False, 200))
 
 
 def counted(texts: list[str]) -> list[np.ndarray]:
