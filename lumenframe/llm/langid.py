@@ -6,8 +6,8 @@ variable-order byte context trees: a byte is predicted in its longest known cont
 unknown byte escapes to the next shorter one (escape method C: a context seen n times with d
 different bytes gives a byte seen c times c / (n + d) and the escape d / (n + d)), down to a
 uniform byte. The trees are then frozen: the code length of a byte depends on its last
-``order`` bytes only, so it is tabulated once for the most frequent bytes and a text is scored
-whole by table look-ups. Bytes outside that alphabet count as one symbol plus eight bits.
+``order`` bytes only, so sorted tables hold it for all strings seen, over all 256 bytes and in
+double precision, and a text is scored whole by searches in them.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for all
 texts where there is nothing to learn from; ties go to the language first in order; texts are
@@ -25,8 +25,6 @@ from lumenframe.llm.common import forget, parallel, table
 from lumenframe.llm.kernels import blocks
 
 ORDER = 3
-#: Symbols of the tables: the most frequent bytes, and one for all others. 40**4 two-byte cells make 5 MB for each language.
-SYMBOLS = 40
 PAD = b"\n" * ORDER
 
 
@@ -53,50 +51,56 @@ def _by_lang(batch):
     return by.items()
 
 
+class Level:
+    """Counts of one order for one language: the strings seen, sorted, with the code length of their last byte, and the contexts seen with the bits of an escape."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, order: int):
+        own, where = np.unique(grams & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        counts = np.bincount(where, weights=n, minlength=len(own))
+        self.mask = np.uint32((1 << 8 * (order + 1)) - 1)
+        self.grams = own
+        self.contexts, where = np.unique(own >> 8, return_inverse=True)
+        seen, kinds = np.bincount(where, weights=counts), np.bincount(where)
+        self.known = -np.log2(counts / (seen + kinds)[where])
+        self.escape = -np.log2(kinds / (seen + kinds))
+
+    def bits(self, grams: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Code lengths of the last bytes of grams; below has those of the next shorter order."""
+        g = grams & self.mask
+        at, hit = _found(self.contexts, g >> 8)
+        out = below + np.where(hit, self.escape[at], 0.0)
+        at, hit = _found(self.grams, g)
+        return np.where(hit, self.known[at], out)
+
+
+def _found(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where values are among sorted keys, and whether they are."""
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at, keys[at] == values
+
+
 class Model:
-    """Frozen statistics: for each language a table of code lengths in bits, by the last symbols."""
+    """Frozen statistics: for each language the levels of all orders, over all 256 bytes."""
 
     def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(grams)
-        total = np.zeros(256)
-        for g, n in grams.values():
-            total += np.bincount(g & 255, weights=n, minlength=256)
-        total[10] += 1
-        common = [b for b in np.argsort(-total, kind="stable")[: SYMBOLS - 1] if total[b] > 0]
-        self.symbol = np.zeros(256, dtype=np.int32)
-        self.symbol[common] = np.arange(1, len(common) + 1)
-        self.tables = [self._table(*grams[x]) for x in self.langs]
-
-    def _table(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-        a = SYMBOLS
-        parts = [self.symbol[(grams >> s) & 255] for s in (24, 16, 8, 0)]
-        code = ((parts[0] * a + parts[1]) * a + parts[2]) * a + parts[3]
-        full = np.bincount(code, weights=n, minlength=a**4).astype(np.float32)
-        bits = np.full(a, np.log2(256.0), dtype=np.float32)
-        for order in range(ORDER + 1):
-            counts = full if order == ORDER else full.reshape(a ** (ORDER - order), -1).sum(0)
-            counts = counts.reshape(-1, a)
-            seen, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            below = np.broadcast_to(bits.reshape(1, -1) if order < 1 else np.tile(bits.reshape(-1, a), (a, 1)), counts.shape)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                known = -np.log2(counts / (seen + kinds))
-                escape = np.where(seen > 0, -np.log2(kinds / (seen + kinds)), 0) + below
-            bits = np.where(counts > 0, known, escape).astype(np.float32)
-        out = bits.reshape(-1)
-        out[0::a] += 8
-        return out.astype(np.float16)
+        self.levels = [[Level(grams[x][0].astype(np.uint32), grams[x][1], order) for order in range(ORDER + 1)] for x in self.langs]
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths, a row for each text and a column for each language."""
         out = np.zeros((len(texts), len(self.langs)))
         for i, j in blocks(texts, 1 << 19):
-            raw = b"".join(PAD + t for t in texts[i:j])
-            s = self.symbol[np.frombuffer(raw, dtype=np.uint8)]
-            code = ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
+            raw = np.frombuffer(b"".join(PAD + t for t in texts[i:j]), dtype=np.uint8).astype(np.uint32)
+            gram = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+            # Each string of a block is looked up once.
+            gram, where = np.unique(gram, return_inverse=True)
             size = np.array([len(t) for t in texts[i:j]])
             start = np.cumsum(size + ORDER) - size - ORDER
-            for k, t in enumerate(self.tables):
-                run = np.concatenate([[0.0], np.cumsum(t[code], dtype=np.float64)])
+            for k, levels in enumerate(self.levels):
+                bits = np.full(len(gram), 8.0)
+                for level in levels:
+                    bits = level.bits(gram, bits)
+                run = np.concatenate([[0.0], np.cumsum(bits[where])])
                 out[i:j, k] = run[start + size] - run[start]
         return out
 
