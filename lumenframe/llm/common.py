@@ -8,41 +8,58 @@ import types
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between Spark and Python: bounded memory also where texts are long.
-BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 12 << 20
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+#: Rows that the Parquet reader decodes at a time: texts and blocks are wide.
+READ_LIMIT, READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize", 512
+#: What Python workers are told so that they give freed memory back: they outlive stages and share their executor's memory.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "131072", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the driver was started."""
+    """Lets Python workers import this package wherever the driver was started, and bounds what moves at a time."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
-    now = spark.conf.get(BATCH_LIMIT).removesuffix("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
+    for name, most in ((BATCH_LIMIT, BATCH_BYTES), (READ_LIMIT, READ_ROWS)):
+        now = spark.conf.get(name).removesuffix("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(name, str(most))
     return spark
 
 
+def row_struct(df: DataFrame, columns: list[str] | None = None, name: str = "own_row") -> Column:
+    """The caller's columns as one struct, so that their names can't clash with those that an operator uses inside."""
+    return F.struct(*(F.col(f"`{c}`") for c in (df.columns if columns is None else columns))).alias(name)
+
+
+def unpacked_rows(df: DataFrame, columns: list[str], name: str = "own_row") -> DataFrame:
+    """The columns that row_struct() put away."""
+    return df.select(*(F.col(name).getField(c).alias(c) for c in columns))
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker process."""
     name = "_lumenframe_worker_cache"
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
-def forget() -> None:
-    """Gives back what earlier operators hold in this worker process: workers outlive stages, and their memory is shared."""
+def forget(keep: str | None = None) -> None:
+    """Gives back what earlier operators hold in this worker process, but for caches of the kind to keep."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
     held = worker_cache()
-    for k in [k for k in held if isinstance(k, tuple)]:
+    for k in [k for k in held if isinstance(k, tuple) and k[0] != keep]:
         del held[k]
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -52,6 +69,11 @@ def forget() -> None:
         pass
 
 
+def text_column(batch):
+    """The texts of an Arrow batch: its column text, or the field of own_row where that holds the texts."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("own_row").field("text")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one under the warehouse where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,11 +87,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenframe_path = path
     return out

@@ -39,12 +39,14 @@ def byte_codes() -> np.ndarray:
 
 
 def powers(n: int, base: int, name: str) -> np.ndarray:
+    """The first n powers; those for a block are kept, more are made for the one long text that needs them."""
     have = _tables.get(name)
     if have is None or len(have) < n:
-        size = max(n, BLOCK + 4096)
-        seq = np.full(size, base, dtype=U64)
+        seq = np.full(max(n, BLOCK + 4096), base, dtype=U64)
         seq[0] = 1
-        have = _tables[name] = np.cumprod(seq, dtype=U64)
+        have = np.cumprod(seq, dtype=U64, out=seq)
+        if n <= BLOCK + 4096:
+            _tables[name] = have
     return have[:n]
 
 

@@ -48,7 +48,20 @@ def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "kind", "block"])
 
 
-def emitted(rows: Iterator[tuple[int, int, bytes]], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about size bytes: what is shared within one is settled there."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def emitted(rows: Iterator[tuple[int, int, bytes]], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of about size bytes."""
     held, n = [], 0
     for r in rows:
