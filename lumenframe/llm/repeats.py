@@ -14,11 +14,16 @@ that drop a suffix as soon as its group lies in one document:
 Hot groups: copies of a whole text collapse within a batch and are settled by one aggregation;
 a digit or a run of text that many documents share is sent once for each batch, because the
 task itself then knows the answer for the batch's other documents. So a bucket gets at most one
-record for each batch (12 MB of text, or less) and passage. Texts move as compressed blocks.
+record for each batch (12 MB of text, or less) and passage; beyond 100,000 batches the records of a
+bucket are first combined in parts (``fan``). Texts move as compressed blocks.
 
-Defined results: a null text counts as empty; a text shorter than ``width`` loses nothing; rows
-equal in doc_id are one document for comparisons and are each reported; rows without doc_id
-come after all others; an empty table gives an empty table.
+Texts are told apart by 64-bit hashes: among ten billion different texts about three pairs
+may be taken for copies.
+
+Defined results: a null text counts as empty; a text shorter than ``width`` loses nothing, one of
+any length is compared whole; rows equal in doc_id are one document for comparisons and are
+each reported; rows without doc_id come after all others; other columns may have any names: those to
+keep travel as one struct (own_row); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,13 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lumenframe.llm.common import drop_written, forget, parallel, release, table, written
+from lumenframe.llm.common import drop_written, forget, parallel, release, row_struct, table, written
 from lumenframe.llm.kernels import U64, blocks, joined, mix, prefix_hash, slide_min_argmin, window_hash
-from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, id_bucket, text_bytes, unpacked
+from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, gathered, id_bucket, packed, text_bytes, unpacked
 
 ANCHOR = 24
 LAST = np.iinfo(np.int64).max
+#: Bytes of text for which the records of a bucket are combined in one more part: 100,000 batches.
+COMBINED = 100_000 * (12 << 20)
 
 
 def runs(buf: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,13 +98,14 @@ def raw_texts(column) -> list[bytes]:
 
 
 def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return parallel(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)).withColumn("text_key", F.xxhash64("text"))
+    own = [row_struct(docs, list(keep))] if keep else []
+    return parallel(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *own)).withColumn("text_key", F.xxhash64("text"))
 
 
 def moved_texts(src: DataFrame, n: int) -> DataFrame:
     def run(batches):
         def rows():
-            for b in batches:
+            for b in gathered(batches):
                 g = grouped(b)
                 yield from blocks_by_bucket(g, id_bucket(g.column("text_key").to_numpy(), n), 1)
 
@@ -131,8 +140,6 @@ def first_pass(src: DataFrame, width: int, n_digit: int, n_text: int) -> DataFra
             own = send & (bucket == b)
             who = np.where(shared[own], len(keys), owner[own])
             block = lists(np.concatenate([keys, np.zeros(1, dtype=np.int64)]), who, (digit[own] & U64(0xFFFFFFFF)).astype(np.uint32), ["text_key", "digits"])
-            from lumenframe.llm.moving import packed
-
             # An added column tells whether a row stands for several texts.
             several = np.zeros(block.num_rows, dtype=bool)
             if (who == len(keys)).any():
@@ -144,7 +151,7 @@ def first_pass(src: DataFrame, width: int, n_digit: int, n_text: int) -> DataFra
 
     def run(batches):
         def rows():
-            for b in batches:
+            for b in gathered(batches):
                 g = grouped(b)
                 keys = g.column("text_key").to_numpy()
                 digits, owners, held = [], [], 0
@@ -216,25 +223,47 @@ def first_ids(src: DataFrame, n_text: int) -> DataFrame:
     return own.mapInArrow(run, SCHEMA)
 
 
-def windows_of(side: DataFrame, texts: DataFrame, partitions: int, width: int, n_digit: int) -> DataFrame:
-    """Blocks of kind 1 for digit buckets: runs of text (text_key, doc_id, start, run); of kind 0 with bucket -1: spans known to be removed."""
+def settled(key: np.ndarray, ids: np.ndarray, start: np.ndarray, text: list[bytes], bucket: np.ndarray):
+    """Blocks of kind 1: of equal runs that of the smallest document; of kind 0 with bucket 0: spans known to be removed."""
+    kept: dict[bytes, int] = {}
+    for r in np.argsort(ids, kind="stable").tolist():
+        kept.setdefault(text[r], r)
+    best = np.array([kept[t] for t in text], dtype=np.int64)
+    # Another document here has the same run and a smaller id; runs of one and the same document may be equal too.
+    gone = ids[best] < ids
+    t = pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(text, pa.binary())], names=["text_key", "doc_id", "start", "run"])
+    yield from blocks_by_bucket(t.filter(pa.array(~gone)), bucket[~gone], 1)
+    if gone.any():
+        s = pa.RecordBatch.from_arrays([pa.array(key[gone]), pa.array(start[gone].astype(np.int32)), pa.array(np.array([len(text[r]) for r in np.flatnonzero(gone)], dtype=np.int32))], names=["text_key", "start", "length"])
+        yield from blocks_by_bucket(s, np.zeros(s.num_rows, dtype=np.int32), 0)
+
+
+def combined(windows: DataFrame, partitions: int, fan: int) -> DataFrame:
+    """As windows, after the records of each bucket met in ``fan`` parts: a passage that is everywhere goes on once for each part."""
 
     def run(batches):
-        def flush(cols):
-            key, ids, start, text, bucket = (np.concatenate(c) if k != 3 else [x for y in c for x in y] for k, c in enumerate(cols))
-            kept: dict[bytes, int] = {}
-            for r in np.argsort(ids, kind="stable").tolist():
-                kept.setdefault(text[r], r)
-            best = np.array([kept[t] for t in text], dtype=np.int64)
-            sent = best == np.arange(len(text))
-            # Another document here has the same run and a smaller id; runs of one and the same document may be equal too.
-            gone = ~sent & (ids[best] < ids)
-            t = pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(text, pa.binary())], names=["text_key", "doc_id", "start", "run"])
-            yield from blocks_by_bucket(t.filter(pa.array(~gone)), bucket[~gone], 1)
-            if gone.any():
-                s = pa.RecordBatch.from_arrays([pa.array(key[gone]), pa.array(start[gone].astype(np.int32)), pa.array(np.array([len(text[r]) for r in np.flatnonzero(gone)], dtype=np.int32))], names=["text_key", "start", "length"])
-                yield from blocks_by_bucket(s, np.zeros(s.num_rows, dtype=np.int32), 0)
+        def rows():
+            for part, own in by_bucket(batches):
+                keys, ids, starts, texts = [], [], [], []
+                for _, block in own:
+                    t = unpacked(block).combine_chunks()
+                    keys.append(t.column("text_key").to_numpy())
+                    ids.append(t.column("doc_id").to_numpy())
+                    starts.append(t.column("start").to_numpy())
+                    texts.extend(t.column("run").to_pylist())
+                yield from settled(np.concatenate(keys), np.concatenate(ids), np.concatenate(starts), texts, np.full(len(texts), part // fan, dtype=np.int32))
+
+        yield from emitted(rows())
+
+    part = F.col("bucket") * fan + F.pmod(F.xxhash64("block"), F.lit(fan)).cast("int")
+    met = dealt(windows.where("kind = 1").withColumn("bucket", part), partitions).mapInArrow(run, SCHEMA)
+    return met.unionByName(windows.where("kind = 0"))
 
+
+def windows_of(side: DataFrame, texts: DataFrame, partitions: int, width: int, n_digit: int) -> DataFrame:
+    """Blocks of kind 1 for digit buckets: runs of text (text_key, doc_id, start, run); of kind 0: spans known to be removed."""
+
+    def run(batches):
         def rows():
             for _, own in by_bucket(batches):
                 first: dict[int, int] = {}
@@ -275,10 +304,10 @@ def windows_of(side: DataFrame, texts: DataFrame, partitions: int, width: int, n
                         cols[4].append(bucket)
                         held += len(begin)
                         if held > 100_000:
-                            yield from flush(cols)
+                            yield from settled(*(np.concatenate(c) if k != 3 else [x for y in c for x in y] for k, c in enumerate(cols)))
                             cols, held = [[], [], [], [], []], 0
                 if held:
-                    yield from flush(cols)
+                    yield from settled(*(np.concatenate(c) if k != 3 else [x for y in c for x in y] for k, c in enumerate(cols)))
 
         forget()
         yield from emitted(rows())
@@ -289,22 +318,28 @@ def windows_of(side: DataFrame, texts: DataFrame, partitions: int, width: int, n
 def radix_groups(buf: np.ndarray, start: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of windows whose width bytes occur in several documents, and their group; by passes over digits of eight bytes."""
     words = np.ndarray(shape=(len(buf) - 7,), dtype=">u8", buffer=buf, strides=(1,))
-    live, group = np.arange(len(start)), np.zeros(len(start), dtype=np.int64)
+    live, group = np.arange(len(start), dtype=np.int32), None
     offsets = [*range(0, width - 7, 8)] + ([width - 8] if width % 8 else [])
     for off in offsets:
         if not len(live):
             break
         digit = words[start[live] + off].astype(U64)
-        order = np.lexsort((digit, group))
-        digit, group, live = digit[order], group[order], live[order]
-        new = np.concatenate([[True], (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])])
+        order = np.argsort(digit) if group is None else np.lexsort((digit, group))
+        digit, live = digit[order], live[order]
+        new = np.empty(len(live), dtype=bool)
+        new[0] = True
+        np.not_equal(digit[1:], digit[:-1], out=new[1:])
+        if group is not None:
+            group = group[order]
+            new[1:] |= group[1:] != group[:-1]
+        del digit, order
         first = np.flatnonzero(new)
         own = doc[live]
         many = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-        group = np.cumsum(new) - 1
+        group = np.cumsum(new, dtype=np.int32) - 1
         keep = many[group]
         live, group = live[keep], group[keep]
-    return live, group
+    return live, np.zeros(0, dtype=np.int32) if group is None else group
 
 
 def repeated_spans(windows: DataFrame, partitions: int, width: int, n_text: int) -> DataFrame:
@@ -328,12 +363,16 @@ def repeated_spans(windows: DataFrame, partitions: int, width: int, n_text: int)
                     docs.append(t.column("doc_id").to_numpy())
                     starts.append(t.column("start").to_numpy())
                     texts.extend(t.column("run").to_pylist())
-                size = np.array([len(x) for x in texts])
-                count = size - width + 1
-                key, doc, at = (np.repeat(np.concatenate(x), count) for x in (keys, docs, starts))
-                step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                place = np.repeat(np.cumsum(size) - size, count) + step
+                size = np.array([len(x) for x in texts], dtype=np.int64)
                 buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+                del texts
+                key, at, rank = np.concatenate(keys), np.concatenate(starts).astype(np.int64), np.unique(np.concatenate(docs), return_inverse=True)[1].astype(np.int32)
+                del keys, docs, starts
+                # A window is told by its run and its place; ids count by rank only.
+                count, begin = size - width + 1, np.cumsum(size) - size
+                run_of = np.repeat(np.arange(len(size), dtype=np.int32), count)
+                place = np.arange(int(count.sum()), dtype=np.int64) + np.repeat(begin - (np.cumsum(count) - count), count)
+                doc = rank[run_of]
                 live, group = radix_groups(buf, place, doc, width)
                 if not len(live):
                     continue
@@ -342,7 +381,8 @@ def repeated_spans(windows: DataFrame, partitions: int, width: int, n_text: int)
                 gone = live[doc[live] > least]
                 if not len(gone):
                     continue
-                k, s, n = merged(key[gone], (at + step)[gone].astype(np.int64), np.full(len(gone), width, dtype=np.int64))
+                own_run = run_of[gone]
+                k, s, n = merged(key[own_run], at[own_run] + place[gone] - begin[own_run], np.full(len(gone), width, dtype=np.int64))
                 out = pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.array(n)], names=["text_key", "start", "length"])
                 yield from blocks_by_bucket(out, id_bucket(k, n_text), 0)
 
@@ -365,8 +405,9 @@ def rebucketed(spans: DataFrame, n_text: int) -> DataFrame:
     return spans.mapInArrow(run, SCHEMA)
 
 
-def cleaned(side: DataFrame, texts: DataFrame, partitions: int, width: int, with_text: bool, keep: list[tuple[str, str]]) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes), and the (name, type) columns to keep, of every row."""
+def cleaned(side: DataFrame, texts: DataFrame, partitions: int, width: int, with_text: bool, own_row: StructType) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes), and the fields of own_row, of every row."""
+    keep = own_row.names
 
     def run(batches):
         for _, own in by_bucket(batches):
@@ -408,19 +449,20 @@ def cleaned(side: DataFrame, texts: DataFrame, partitions: int, width: int, with
                 if with_text:
                     arrays.append(pa.array(c[5], pa.binary()))
                     names.append("kept")
-                arrays += [t.column(name).combine_chunks().flatten() for name, _ in keep]
-                names += [name for name, _ in keep]
+                arrays += [t.column(name).combine_chunks().flatten() for name in keep]
+                names += keep
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + "".join(f", `{n}` {t}" for n, t in keep)
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    schema = StructType([*schema.fields, *own_row.fields])
     return dealt(side.unionByName(texts), partitions, ordered=True).mapInArrow(run, schema)
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, keep: tuple[str, ...] = (), bucket_bytes: int = 16 << 20) -> DataFrame:
-    """What is left of (doc_id long, text, columns to keep) without the bytes covered by a width-byte string that also starts in a document with a smaller doc_id."""
+def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, keep: tuple[str, ...] = (), bucket_bytes: int = 16 << 20, fan: int | None = None) -> DataFrame:
+    """What is left of (doc_id long, text) without the bytes covered by a width-byte string that also starts in a document with a smaller doc_id; the columns to keep come back as the struct own_row."""
     if width < ANCHOR + 8:
         raise ValueError(f"width must be at least {ANCHOR + 8}")
     spark = docs.sparkSession
@@ -431,20 +473,26 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False, ke
     cores = spark.sparkContext.defaultParallelism
     n_text = buckets_for(total, bucket_bytes, cores)
     n_digit = buckets_for(total, bucket_bytes * 3 // 2, cores)
-    firsts = written(first_ids(src, n_text), "repeats-firsts")
-    anchors = written(first_pass(src, width, n_digit, n_text), "repeats-anchors")
-    known = written(shared_digits(anchors, max(parts, n_digit), n_text), "repeats-digits")
+    fan = fan or buckets_for(total, COMBINED, 1)
+    firsts = written(first_ids(src, n_text), "repeats-firsts", "none")
+    anchors = written(first_pass(src, width, n_digit, n_text), "repeats-anchors", "none")
+    known = written(shared_digits(anchors, max(parts, n_digit), n_text), "repeats-digits", "none")
     release(spark)
     side = firsts.unionByName(known).unionByName(anchors.where("kind = 0"))
-    windows = written(windows_of(side, moved_texts(src, n_text), max(parts, n_text), width, n_digit), "repeats-windows")
+    windows = written(windows_of(side, moved_texts(src, n_text), max(parts, n_text), width, n_digit), "repeats-windows", "none")
     del side
     drop_written(anchors, known)
     release(spark)
-    spans = written(repeated_spans(windows, max(parts, n_digit * 4), width, n_text).unionByName(rebucketed(windows.where("kind = 0"), n_text)), "repeats-spans")
-    drop_written(windows)
+    met = combined(windows, max(parts, n_digit * 4), fan) if fan > 1 else windows
+    if fan > 1:
+        met = written(met, "repeats-combined", "none")
+        drop_written(windows)
+    spans = written(repeated_spans(met, max(parts, n_digit * 4), width, n_text).unionByName(rebucketed(met.where("kind = 0"), n_text)), "repeats-spans", "none")
+    drop_written(met)
     release(spark)
-    kinds = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
-    return cleaned(firsts.unionByName(spans), moved_texts(keyed(docs, keep), n_text), max(parts, n_text), width, with_text, kinds)
+    src = keyed(docs, keep)
+    own_row = StructType([f for f in src.schema.fields if f.name == "own_row"])
+    return cleaned(firsts.unionByName(spans), moved_texts(src, n_text), max(parts, n_text), width, with_text, own_row)
 
 
 def op9_suffix_dedup(spark, sf_dir):
