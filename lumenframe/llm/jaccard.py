@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a size-aware heavy-light set join over word shingles.
 
-Documents with equal shingle sets form one class, which the smallest doc_id represents; all
-later work is on classes.
+Documents with equal shingle sets form one class, named by a hash of the set; the row with the
+smallest doc_id lends it its text. All later work is on classes.
 
 1. Uniqueness: hashes of all shingles are dealt to buckets, which count for each class how many
    of its shingles any other class holds. A class of n shingles that shares fewer than
@@ -14,7 +14,8 @@ later work is on classes.
    links whenever any pair of them does.
 4. Heavy: the rarest shingles of a larger class, as many as a partner cannot all miss, enter
    inverted lists. Each list is scanned twice: first every member against the list's most
-   ordinary member, then, in blocks of bounded size, only pairs not yet connected.
+   ordinary member; then, in blocks of bounded size, members outside the list's largest component
+   against those inside and against each other, so that no pair already connected meets.
    Size and position bounds drop pairs before sets are compared; all others are compared exactly.
 
 The boundary is that with the least estimated cost in the histogram of set sizes: rows
@@ -22,9 +23,10 @@ enumerated against rows listed plus shingles shipped for comparison. Classes jus
 the boundary take part in the lists too, so pairs across it are found.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text with
-fewer words than ``width`` has one shingle, all its words; repeated rows are linked to each
-other; rows without doc_id keep a null component unless a row of their component has an id;
-extra columns are ignored; an empty table gives an empty table.
+fewer words than ``width`` has one shingle, all its words; texts of any length count whole;
+repeated rows are linked to each other, and rows that repeat an id but not its text only as their
+texts are; rows without doc_id link like others and keep a null component unless a row of their
+component has an id; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,15 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import drop_written, forget, join_ids, parallel, release, table, written
+from lumenframe.llm.common import drop_written, forget, parallel, release, table, written
 from lumenframe.llm.graph import components
 from lumenframe.llm.kernels import U64, mix, set_key, shingle_sets
-from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, id_bucket, packed, text_bytes, unpacked
+from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, gathered, id_bucket, packed, text_bytes, unpacked
 
 #: Members of a list that one task compares with as many others.
 BLOCK = 1024
 #: Longest lists whose pairs are joined row by row.
 SHORT = 32
+#: Rows up to which a side whose rows were counted is broadcast.
+SMALL = 500_000
+#: Stands for a missing id in keys.
+NO_ID = -(1 << 63)
 
 
 def need(n: int, percent: int) -> int:
@@ -57,9 +63,14 @@ def sets_of(part: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()], width)
 
 
-def set_rows(src: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """keep, n, key_a, key_b: size and 128-bit identity of each text's set."""
-    fields = [f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep]
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, own_id (never null), mark (a hash of the text), text: id and mark name a row's text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("own_id"), F.xxhash64("text").alias("mark"), "text")
+
+
+def set_rows(src: DataFrame, width: int) -> DataFrame:
+    """doc_id, own_id, mark, n, key_a, key_b: size and 128-bit identity of each text's set."""
+    keep = ["doc_id", "own_id", "mark"]
 
     def run(batches):
         forget()
@@ -69,7 +80,7 @@ def set_rows(src: DataFrame, width: int, keep: list[str]) -> DataFrame:
                 keys = [set_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=[*keep, "n", "key_a", "key_b"])
 
-    return src.mapInArrow(run, ", ".join([*fields, "n long, key_a long, key_b long"]))
+    return src.mapInArrow(run, "doc_id long, own_id long, mark long, n long, key_a long, key_b long")
 
 
 def shared_counts(src: DataFrame, width: int, n_buckets: int, partitions: int) -> DataFrame:
@@ -77,16 +88,18 @@ def shared_counts(src: DataFrame, width: int, n_buckets: int, partitions: int) -
 
     def send(batches):
         def flush(keys, flat, owner):
-            order = np.argsort(flat, kind="stable")
+            order = np.argsort(flat)
             flat, owner = flat[order], owner[order]
             new = np.concatenate([[True], flat[1:] != flat[:-1]])
-            shared = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+            group = np.cumsum(new, dtype=np.int32) - 1
+            shared = np.bincount(group)[group] > 1
+            del order, group
             count = np.bincount(owner[shared], minlength=len(keys))
             known = np.flatnonzero(count)
             if len(known):
                 yield from blocks_by_bucket(pa.RecordBatch.from_arrays([pa.array(keys[known]), pa.array(count[known])], names=["key_a", "shared"]), (known % n_buckets).astype(np.int32), 0)
             use = new | ~shared
-            flat, who = flat[use], np.where(shared[use], len(keys), owner[use])
+            flat, who = flat[use], np.where(shared[use], np.int32(len(keys)), owner[use])
             bucket = ((flat >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int32)
             order = np.lexsort((who, bucket))
             flat, who, bucket = flat[order], who[order], bucket[order]
@@ -101,7 +114,7 @@ def shared_counts(src: DataFrame, width: int, n_buckets: int, partitions: int) -
                     yield b, 1, packed(pa.RecordBatch.from_arrays([pa.array(named[w[first]]), pa.array(w[first] == len(keys)), lists], names=["key_a", "several", "hashes"]))
 
         def rows():
-            for b in batches:
+            for b in gathered(batches):
                 seen: dict[int, int] = {}
                 flat, owner, held = [], [], 0
                 for part in (b.slice(x, 1000) for x in range(0, b.num_rows, 1000)):
@@ -111,11 +124,11 @@ def shared_counts(src: DataFrame, width: int, n_buckets: int, partitions: int) -
                         k = set_key(s)[0]
                         if k in seen:
                             continue
-                        owner.append(np.full(len(s), len(seen)))
+                        owner.append(np.full(len(s), len(seen), dtype=np.int32))
                         seen[k] = len(seen)
                         flat.append(s)
                         held += len(s)
-                    if held > 2_000_000:
+                    if held > 1_500_000:
                         yield from flush(np.array(list(seen), dtype=np.int64), np.concatenate(flat), np.concatenate(owner))
                         seen, flat, owner, held = {}, [], [], 0
                 if held:
@@ -167,7 +180,7 @@ def shared_counts(src: DataFrame, width: int, n_buckets: int, partitions: int) -
 
 
 def token_sets(src: DataFrame, width: int) -> DataFrame:
-    """rep, n, key_a, key_b, tokens (sorted hashes) of (rep, text)."""
+    """rep (first half of the set's identity), n, tokens (sorted hashes) of (text)."""
 
     def run(batches):
         for b in batches:
@@ -175,10 +188,9 @@ def token_sets(src: DataFrame, width: int) -> DataFrame:
                 sets = sets_of(part, width)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate([*sets, np.empty(0, dtype=U64)]).view(np.int64)
-                a, b2 = zip(*map(set_key, sets), strict=True) if sets else ((), ())
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rep", "n", "key_a", "key_b", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rep", "n", "tokens"])
 
-    return src.mapInArrow(run, "rep long, n long, key_a long, key_b long, tokens array<long>")
+    return src.select("text").mapInArrow(run, "rep long, n long, tokens array<long>")
 
 
 def choose_boundary(sizes: dict[int, int], percent: int, most: int = 40) -> int:
@@ -251,15 +263,28 @@ def list_links(lists: DataFrame, sets: DataFrame, known: DataFrame, percent: int
     short = rest.where(F.col("size") <= SHORT).select(*cols)
     other = short.select("token", *(F.col(c).alias(f"{c}_b") for c in cols[1:]))
     close = short.join(other, "token").where(f"rep < rep_b AND component != component_b AND {possible('n', 'pos', 'n_b', 'pos_b', percent)}").select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
-    # Long lists: every pair of blocks of a list is one group of bounded size.
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    long = rest.where(F.col("size") > SHORT).withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
-    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select(*cols, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    # Long lists: members outside the largest component meet those inside, and each other, in blocks.
+    own = rest.where(F.col("size") > SHORT)
+    top = own.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"))
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    own = own.join(top, "token").withColumns({"inside": F.col("component") == F.col("top.component"), "ins": blocks_of(F.col("top.c")), "outs": blocks_of(F.col("size") - F.col("top.c"))})
+    own = own.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("outs"))).cast("int"))
+    cols_out = [*cols, "inside", "own"]
+    among = own.where("NOT inside").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)))
+    among = among.select(*cols_out, F.lit(False).alias("across"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    other_side = F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("outs")).otherwise(F.col("ins")) - 1))
+    across = own.withColumn("other", other_side).select(*cols_out, F.lit(True).alias("across"), F.when(F.col("inside"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("inside"), F.col("own")).otherwise(F.col("other")).alias("j"))
+    long = among.unionByName(across)
 
     def compare(pdf):
         import pandas as pd
 
-        x, y = (pdf, pdf) if pdf["i"].iloc[0] == pdf["j"].iloc[0] else (pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]])
+        if pdf["across"].iloc[0]:
+            x, y = pdf[~pdf["inside"]], pdf[pdf["inside"]]
+        elif pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            x, y = pdf, pdf
+        else:
+            x, y = pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]]
         out = []
         r2, n2, p2, c2 = (y[c].to_numpy() for c in ("rep", "n", "pos", "component"))
         for r, n, p, c in zip(*(x[c].to_numpy() for c in ("rep", "n", "pos", "component")), strict=True):
@@ -271,7 +296,7 @@ def list_links(lists: DataFrame, sets: DataFrame, known: DataFrame, percent: int
         both = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    far = long.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long")
+    far = long.groupBy("token", "across", "i", "j").applyInPandas(compare, "a long, b long")
     return first.unionByName(verified(close.unionByName(far).distinct(), sets, percent))
 
 
@@ -296,30 +321,59 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     return list_links(lists, own, verified(stars, own, percent), percent)
 
 
-def linked(docs: DataFrame, width: int = 3, percent: int = 90, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id of docs (doc_id long, text)."""
+def groups(docs: DataFrame, width: int = 3, percent: int = 90, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, own_id, mark, n_shingles, component (names the linked group; null for an empty set), component_id of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    src = parallel(docs.select("doc_id", "text"))
+    src = parallel(marked(docs))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = buckets_for(text_bytes(docs), bucket_bytes, spark.sparkContext.defaultParallelism)
-    rows = written(set_rows(src, width, ["doc_id"]), "jaccard-rows")
-    classes = written(rows.where("n > 0").groupBy("n", "key_a", "key_b").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    counts = shared_counts(src, width, n_buckets, max(parts, n_buckets))
-    open_ = written(classes.join(counts, "key_a").where(f"100 * shared >= {percent} * n AND rep IS NOT NULL").select("rep", "key_a", "key_b"), "jaccard-open")
+    rows = written(set_rows(src, width), "jaccard-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "own_id", "mark", "doc_id"))
+    classes = written(rows.where("n > 0").groupBy("n", "key_a", "key_b").agg(first.alias("f")).select("n", "key_a", "key_b", "f.own_id", "f.mark", F.col("f.doc_id").alias("first")), "jaccard-classes")
+    counts = shared_counts(src.select("text"), width, n_buckets, max(parts, n_buckets))
+    open_ = written(classes.join(counts, "key_a").where(f"100 * shared >= {percent} * n").select("own_id", "mark"), "jaccard-open")
     del counts
     release(spark)
-    reps = open_.select(F.col("rep").alias("doc_id"))
-    picked = join_ids(docs.select("doc_id", "text"), reps.distinct(), "doc_id", "left_semi", open_.count())
-    # Rows that repeat an id may hold another text: the set must be that of the class.
-    sets = token_sets(picked.select(F.col("doc_id").alias("rep"), "text"), width)
-    sets = sets.join(open_, ["rep", "key_a", "key_b"], "left_semi").select("rep", "n", "tokens").distinct()
-    sets = written(sets, "jaccard-tokens")
-    comp = components(class_links(sets, percent))
+    few = open_.count() <= SMALL
+    picked = marked(docs).join(F.broadcast(open_) if few else open_, ["own_id", "mark"], "left_semi")
+    # Rows that repeat an id and its text give one set.
+    sets = written(token_sets(picked, width).dropDuplicates(["rep"]), "jaccard-tokens")
+    comp = components(class_links(sets, percent)).withColumnRenamed("node", "key_a")
     del sets
-    found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n", "key_a", "key_b", F.coalesce("component", "rep").alias("found"))
-    out = rows.join(found, ["n", "key_a", "key_b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
+    named = comp.join(classes.select("key_a", "first"), "key_a").groupBy("component").agg(F.min("first").alias("least"))
+    found = classes.join(comp.join(named, "component"), "key_a", "left")
+    found = found.select("n", "key_a", "key_b", F.coalesce("component", "key_a").alias("component"), F.coalesce("least", "first").alias("component_id"))
+    cols = ["doc_id", "own_id", "mark", F.col("n").alias("n_shingles"), "component", "component_id"]
+    out = rows.where("n > 0").join(found, ["n", "key_a", "key_b"]).select(*cols)
+    empty = rows.where("n = 0").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return out.unionByName(empty.select(*cols))
+
+
+def linked(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id of docs (doc_id, text)."""
+    return groups(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def without_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each linked group: that with the smallest doc_id, ids before none. Rows without words all stay."""
+    g = groups(docs, width, percent).where("n_shingles > 0").groupBy("component", "own_id", "mark").agg(F.count("*").alias("copies"))
+    g = written(g, "jaccard-texts")
+    rank = F.struct((F.col("own_id") == NO_ID).alias("none"), "own_id", "mark")
+    first = g.groupBy("component").agg(F.min(rank).alias("f"), F.count("*").alias("texts"))
+    best = F.col("own_id").eqNullSafe(F.col("f.own_id")) & (F.col("mark") == F.col("f.mark"))
+    gone = written(g.join(first.where("texts > 1"), "component").where(~best).select("own_id", "mark").distinct(), "jaccard-gone")
+    again = written(g.where("copies > 1").select("own_id", "mark").distinct(), "jaccard-again")
+    # The caller's columns travel as one struct: they may have any names.
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own_row")
+    src = docs.select(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("own_id"), F.xxhash64("text").alias("mark"))
+    few = lambda t, n: F.broadcast(t) if n <= SMALL else t
+    left = src.join(few(gone, gone.count()), ["own_id", "mark"], "left_anti")
+    n = again.count()
+    if n:
+        rows = left.join(few(again, n), ["own_id", "mark"], "left_semi").groupBy("own_id", "mark").agg(F.min_by("own_row", F.xxhash64(F.to_json("own_row"))).alias("own_row"))
+        left = left.join(few(again, n), ["own_id", "mark"], "left_anti").select("own_row").unionByName(rows.select("own_row"))
+    return left.select(*(F.col("own_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op2_ngram_jaccard(spark, sf_dir):
-    return linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked(table(spark, sf_dir, "documents"))
