@@ -3,13 +3,24 @@
 Features of a text are integers. Each (lang, source) keeps, per feature, a histogram over
 logarithmic bins with 16 steps to an octave: a quantile sketch with at most 6.25 % relative
 error whose merge is the addition of counts, so it is an ordinary partial aggregation and does
-not depend on partitions. Quantiles of the sketches give the fences; texts are then joined
-with the fences of their group and filtered.
+not depend on partitions. The fences come from the sketches alone:
 
-Defined results: a null text counts as empty; null lang or source is a group of its own;
-groups with fewer than ``least`` texts use the fences of the language over all sources, and
-languages as small as that those of the whole table; repeated rows are judged each; an
-empty table gives an empty table.
+* Spread features (length of words) lie around a middle: a fence is the outer quartile and
+  ``reach`` times the distance of the quartiles beyond it, more in a small group.
+* Rate features (symbols, repeated lines, repeated words) are zero for most texts of most groups:
+  the fence is the end of the tail that hangs together with the third quartile. A tail ends before
+  a run of empty bins an octave wide, wider in a small group, where gaps arise by chance.
+
+A text is rejected if a feature stands out both in its group and in its language over all sources:
+what is common in a source, or in a language, is no fault there.
+
+Rates do not count the first symbol, the first repeated line and the first pair of repeated
+windows: these are what rounding is in a short text.
+
+Defined results: a null text counts as empty; null lang or source is a group of its own; a
+value at a fence is inside; texts of any length are counted whole; repeated rows are judged each;
+the caller's columns may have any names, they come back as the struct own_row; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -20,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lumenframe.llm.common import forget, parallel, table, written
+from lumenframe.llm.common import forget, parallel, row_struct, table, text_column, written
 from lumenframe.llm.kernels import BASE, U64, blocks, joined, mix, prefix_hash, span_hash, word_spans
 
 SYMBOLS = "#*$%&|<>"
@@ -33,14 +45,24 @@ STEP_BITS = 4
 
 @dataclass(frozen=True)
 class Rules:
-    """Fences lie ``reach`` times the distance between the quartiles beyond the outer quartile, and at least ``spread`` beyond it."""
-
     min_words: int = 20
     max_repeat_percent: int = 30
-    reach: int = 3
-    least: int = 50
-    #: Feature, whether low values fail too, least spread. Features are counts times 1000 for each word, or for each line.
-    features: tuple = (("symbol_rate", False, 150), ("word_length", True, 1500), ("dup_rate", False, 35), ("repeat_rate", False, 200))
+    #: Distances between the quartiles from the outer quartile to the fence of a spread feature, in a large group.
+    reach: int = 6
+    #: Empty bins that end the tail of a rate feature in a large group, and the texts below which each halving adds as many.
+    gap: int = 1 << STEP_BITS
+    large: int = 1000
+
+
+#: Features: (name, whether its values spread around a middle, expression).
+FEATURES = [
+    ("symbol_rate", False, "1000 * greatest(n_symbols - 1, 0) div greatest(n_words, 1)"),
+    ("word_length", True, "1000 * word_chars div greatest(n_words, 1)"),
+    ("dup_rate", False, "100 * greatest(n_dup_lines - 1, 0) div greatest(n_lines, 1)"),
+    ("repeat_rate", False, f"1000 * greatest(n_repeat_words - {2 * WINDOW}, 0) div greatest(n_words, 1)"),
+]
+#: More than any feature.
+ENDLESS = 1 << 60
 
 
 def counted(texts: list[str]) -> list[np.ndarray]:
@@ -84,31 +106,22 @@ def counted(texts: list[str]) -> list[np.ndarray]:
     return [n_words, np.array(chars, dtype=np.int64), np.array(symbols, dtype=np.int64), np.array(dups, dtype=np.int64), repeats, np.array(lines, dtype=np.int64)]
 
 
-def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Adds COUNTS and n_lines to the columns of docs named in keep."""
-    src = parallel(docs.select(*dict.fromkeys([*keep, "text"])))
-    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in [*COUNTS, "n_lines"])])
+def text_counts(docs: DataFrame) -> DataFrame:
+    """COUNTS and n_lines of text, or of the text in own_row, beside the other columns."""
+    src = parallel(docs)
+    keep = [c for c in src.columns if c != "text"]
+    schema = StructType([*(src.schema[c] for c in keep), *(StructField(c, LongType()) for c in [*COUNTS, "n_lines"])])
 
     def run(batches):
         forget()
         for b in batches:
             for part in (b.slice(x, 1000) for x in range(0, b.num_rows, 1000)):
-                got = counted([t or "" for t in part.column("text").to_pylist()])
+                got = counted([t or "" for t in text_column(part).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *map(pa.array, got)], names=[*keep, *COUNTS, "n_lines"])
 
     return src.mapInArrow(run, schema)
 
 
-def features() -> dict[str, str]:
-    words = "greatest(n_words, 1)"
-    return {
-        "symbol_rate": f"1000 * n_symbols div {words}",
-        "word_length": f"1000 * word_chars div {words}",
-        "dup_rate": "100 * n_dup_lines div greatest(n_lines, 1)",
-        "repeat_rate": f"1000 * n_repeat_words div {words}",
-    }
-
-
 def binned(c: str) -> str:
     """The bin of a value from 0 up: exact below 16, then 16 steps to an octave."""
     top = f"(length(conv(cast({c} AS string), 10, 2)) - 1 - {STEP_BITS})"
@@ -121,74 +134,76 @@ def bin_floor(c: str) -> str:
     return f"CASE WHEN {c} < {2 * step} THEN {c} ELSE shiftleft({c} % {step} + {step}, cast({c} div {step} - 1 AS int)) END"
 
 
-def sketches(feats: DataFrame, names: list[str]) -> DataFrame:
-    """level, lang, source, feature, bin, n: for each source, for each language, and for all."""
-    long = feats.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.expr(binned(f)).alias("bin")) for f in names))).alias("x")).select("lang", "source", "x.*")
+def sketches(feats: DataFrame) -> DataFrame:
+    """level, lang, source, feature, bin, n: for each source of a language (level 0) and for each language (level 1)."""
+    long = feats.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.expr(binned(f)).alias("bin")) for f, _, _ in FEATURES))).alias("x")).select("lang", "source", "x.*")
     fine = long.groupBy("lang", "source", "feature", "bin").agg(F.count("*").alias("n"))
     none = F.lit(None).cast("string")
-    by = [(0, F.col("lang"), F.col("source")), (1, F.col("lang"), none), (2, none, none)]
-    merged = fine.select("feature", "bin", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), a.alias("lang"), b.alias("source")) for k, a, b in by))).alias("g"))
-    return merged.select("g.*", "feature", "bin", "n").groupBy("level", "lang", "source", "feature", "bin").agg(F.sum("n").alias("n"))
+    by = [(0, F.col("source")), (1, none)]
+    merged = fine.select("lang", "feature", "bin", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), a.alias("source")) for k, a in by))).alias("g"))
+    return merged.groupBy("g.level", "lang", "g.source", "feature", "bin").agg(F.sum("n").alias("n"))
 
 
 def fences(sketch: DataFrame, rules: Rules) -> DataFrame:
-    """level, lang, source, size, and low_F and high_F of each feature F."""
-    w = Window.partitionBy("level", "lang", "source", "feature")
-    q = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("size", F.sum("n").over(w))
-    value = F.expr(bin_floor("bin"))
-    q = q.groupBy("level", "lang", "source", "feature").agg(
-        F.max("size").alias("size"), F.min(F.when(4 * F.col("upto") >= F.col("size"), value)).alias("q1"), F.min(F.when(4 * F.col("upto") >= 3 * F.col("size"), value)).alias("q3")
-    )
-    aggs = [F.max("size").alias("size")]
-    for name, both, spread in rules.features:
-        room = F.greatest(rules.reach * (F.col("q3") - F.col("q1")), F.lit(spread))
+    """level, lang, source, and low_F and high_F of each feature F."""
+    group = ["level", "lang", "source", "feature"]
+    w = Window.partitionBy(*group)
+    q = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "size": F.sum("n").over(w), "next": F.lead("bin").over(w.orderBy("bin"))})
+    third = 4 * F.col("upto") >= 3 * F.col("size")
+    q = q.withColumns({"b1": F.min(F.when(4 * F.col("upto") >= F.col("size"), F.col("bin"))).over(w), "b3": F.min(F.when(third, F.col("bin"))).over(w)})
+    # Halvings from ``large`` down to the size of the group.
+    halvings = sum((F.when(F.col("size") < rules.large >> k, 1).otherwise(0) for k in range(rules.large.bit_length())), F.lit(0))
+    ends = (F.col("bin") >= F.col("b3")) & (F.col("next") - F.col("bin") > rules.gap * (1 + halvings))
+    value = lambda c: F.expr(bin_floor(c))
+    q = q.groupBy(*group).agg(F.max("size").alias("size"), F.max("b1").alias("b1"), F.max("b3").alias("b3"), F.min(F.when(ends, F.col("bin"))).alias("last"))
+    # At least a bin, the sketch's rounding; a small group reaches further.
+    room = F.expr(f"{rules.reach} * greatest({bin_floor('b3')} - {bin_floor('b1')}, {bin_floor('(b3 + 1)')} - {bin_floor('b3')}) * (size + 50) div size")
+    aggs = []
+    for name, spread, _ in FEATURES:
         own = F.col("feature") == name
-        aggs.append(F.max(F.when(own, F.col("q3") + room)).alias(f"high_{name}"))
-        aggs.append(F.max(F.when(own, F.col("q1") - room if both else F.lit(-1))).alias(f"low_{name}"))
+        high = value("b3") + room if spread else F.coalesce(value("(last + 1)") - 1, F.lit(ENDLESS))
+        aggs += [F.max(F.when(own, high)).alias(f"high_{name}"), F.max(F.when(own, value("b1") - room if spread else F.lit(-1))).alias(f"low_{name}")]
     return q.groupBy("level", "lang", "source").agg(*aggs)
 
 
 def judge(docs: DataFrame, keep: list[str], rules: Rules = Rules()) -> DataFrame:
-    """The kept columns, COUNTS, base_failed and kept of docs (text, lang, source and those in keep)."""
-    names = [f for f, _, _ in rules.features]
-    cols = list(dict.fromkeys([*keep, "lang", "source"]))
-    counts = written(text_counts(docs, cols), "quality-counts")
-    feats = counts.withColumns({k: F.expr(v) for k, v in features().items()})
+    """own_row (the kept columns), COUNTS, base_failed and kept of docs (text, lang, source)."""
+    own = [row_struct(docs, keep), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
+    counts = written(text_counts(docs.select(*own, *(["text"] if "text" not in keep else []))), "quality-counts")
+    feats = counts.withColumns({f: F.expr(v) for f, _, v in FEATURES})
     # One row for each group: sources and languages, not documents. Spark itself decides by its size whether to broadcast.
-    limits = fences(sketches(feats, names), rules)
-    limits = written(limits, "quality-fences")
-    bounds = [f"{s}_{f}" for f in names for s in ("low", "high")]
+    limits = written(fences(sketches(feats), rules), "quality-fences")
 
     def level(k: int) -> DataFrame:
-        return limits.where(f"level = {k}").select(F.col("lang").alias(f"lang{k}"), F.col("source").alias(f"source{k}"), F.struct("size", *bounds).alias(f"l{k}"))
+        return limits.where(f"level = {k}").select(F.col("lang").alias(f"lang{k}"), F.col("source").alias(f"source{k}"), *(F.col(f"{s}_{f}").alias(f"{s}_{f}{k}") for f, _, _ in FEATURES for s in ("low", "high")))
 
     x = feats.join(level(0), F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")), "left")
-    x = x.join(level(1), F.col("lang").eqNullSafe(F.col("lang1")), "left").join(level(2), F.lit(True), "left")
-    pick = F.when(F.col("l0.size") >= rules.least, F.col("l0")).when(F.col("l1.size") >= rules.least, F.col("l1")).otherwise(F.col("l2"))
-    x = x.withColumn("fence", pick)
-    inside = F.lit(True)
-    for f in names:
-        inside = inside & (F.col(f) <= F.col(f"fence.high_{f}")) & (F.col(f) >= F.col(f"fence.low_{f}"))
+    x = x.join(level(1), F.col("lang").eqNullSafe(F.col("lang1")), "left")
+    inside = F.expr(" AND ".join(f"({f} BETWEEN low_{f}0 AND high_{f}0 OR {f} BETWEEN low_{f}1 AND high_{f}1)" for f, _, _ in FEATURES))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    return x.select(*keep, *COUNTS, failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    return x.select("own_row", *COUNTS, failed.alias("base_failed"), (~failed & inside).alias("kept"))
+
+
+def passed(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs that are kept."""
+    out = judge(docs, docs.columns, rules).where("kept")
+    return out.select(*(F.col("own_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_quality_rules(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs, ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, ["doc_id"]).select("own_row.doc_id", *COUNTS, "base_failed", "kept")
 
 
 def op3_sql(rules: Rules = Rules()) -> str:
-    def q(k: int) -> str:
-        return f"min(CASE WHEN 4 * upto >= {k} * size THEN floor_ END)"
-
     bin_sql = "CASE WHEN v < 16 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)) END"
-    floor_sql = "CASE WHEN b < 32 THEN b ELSE ((b % 16) + 16) << CAST(b // 16 - 1 AS BIGINT) END"
-    names = [f for f, _, _ in rules.features]
-    spreads = " ".join(f"WHEN '{f}' THEN {s}" for f, _, s in rules.features)
-    lows = " ".join(f"WHEN '{f}' THEN {int(b)}" for f, b, _ in rules.features)
-    feats = {"symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "word_length": "1000 * word_chars // greatest(n_words, 1)", "dup_rate": "100 * n_dup_lines // greatest(n_lines, 1)", "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)"}
-    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{f}' AS feature, CAST({feats[f]} AS BIGINT) AS v FROM counts" for f in names)
+
+    def floor_sql(b: str) -> str:
+        return f"CASE WHEN {b} < 32 THEN {b} ELSE (({b} % 16) + 16) << CAST({b} // 16 - 1 AS BIGINT) END"
+
+    spread = ", ".join(f"'{f}'" for f, s, _ in FEATURES if s)
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{f}' AS feature, CAST({v.replace(' div ', ' // ')} AS BIGINT) AS v FROM counts" for f, _, v in FEATURES)
+    halvings = " + ".join(f"(size < {rules.large >> k})::INT" for k in range(rules.large.bit_length()))
     return f"""
 WITH w AS (
   SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i
@@ -217,22 +232,28 @@ WITH w AS (
 ), fine AS (
   SELECT lang, source, feature, {bin_sql} AS b, count(*) AS n FROM feats GROUP BY ALL
 ), lev AS (
-  SELECT 0 AS level, lang, source, feature, b, n FROM fine UNION ALL SELECT 1, lang, NULL, feature, b, n FROM fine UNION ALL SELECT 2, NULL, NULL, feature, b, n FROM fine
+  SELECT 0 AS level, lang, source, feature, b, n FROM fine UNION ALL SELECT 1, lang, NULL, feature, b, n FROM fine
 ), sk AS (
-  SELECT level, lang, source, feature, b, sum(n) AS n FROM lev GROUP BY ALL
+  SELECT level, lang, source, feature, b, CAST(sum(n) AS BIGINT) AS n FROM lev GROUP BY ALL
 ), qu AS (
-  SELECT *, {floor_sql} AS floor_, sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, feature) AS size FROM sk
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY b) AS upto, CAST(sum(n) OVER (PARTITION BY level, lang, source, feature) AS BIGINT) AS size,
+    lead(b) OVER (PARTITION BY level, lang, source, feature ORDER BY b) AS following FROM sk
+), qb AS (
+  SELECT *, min(CASE WHEN 4 * upto >= size THEN b END) OVER (PARTITION BY level, lang, source, feature) AS b1,
+    min(CASE WHEN 4 * upto >= 3 * size THEN b END) OVER (PARTITION BY level, lang, source, feature) AS b3 FROM qu
 ), qs AS (
-  SELECT level, lang, source, feature, max(size) AS size, {q(1)} AS q1, {q(3)} AS q3 FROM qu GROUP BY level, lang, source, feature
+  SELECT level, lang, source, feature, max(size) AS size, max(b1) AS b1, max(b3) AS b3,
+    min(CASE WHEN b >= b3 AND following - b > {rules.gap} * (1 + {halvings}) THEN b END) AS last_ FROM qb GROUP BY level, lang, source, feature
+), ro AS (
+  SELECT *, {floor_sql('b1')} AS q1, {floor_sql('b3')} AS q3, {floor_sql('(last_ + 1)')} - 1 AS tail,
+    {rules.reach} * greatest({floor_sql('b3')} - ({floor_sql('b1')}), ({floor_sql('(b3 + 1)')}) - ({floor_sql('b3')})) * (size + 50) // size AS room FROM qs
 ), fe AS (
-  SELECT level, lang, source, feature, size, q3 + greatest({rules.reach} * (q3 - q1), CASE feature {spreads} END) AS high,
-    CASE WHEN (CASE feature {lows} END) = 1 THEN q1 - greatest({rules.reach} * (q3 - q1), CASE feature {spreads} END) ELSE -1 END AS low FROM qs
+  SELECT level, lang, source, feature, CASE WHEN feature IN ({spread}) THEN q3 + room ELSE coalesce(tail, {ENDLESS}) END AS high, CASE WHEN feature IN ({spread}) THEN q1 - room ELSE -1 END AS low FROM ro
 ), ok AS (
-  SELECT f.doc_id, bool_and(CASE WHEN a.size >= {rules.least} THEN f.v BETWEEN a.low AND a.high WHEN b.size >= {rules.least} THEN f.v BETWEEN b.low AND b.high ELSE f.v BETWEEN c.low AND c.high END) AS inside
+  SELECT f.doc_id, bool_and(f.v BETWEEN a.low AND a.high OR f.v BETWEEN b.low AND b.high) AS inside
   FROM feats f
   LEFT JOIN fe a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM f.lang AND a.source IS NOT DISTINCT FROM f.source AND a.feature = f.feature
-  LEFT JOIN fe b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM f.lang AND b.feature = f.feature
-  LEFT JOIN fe c ON c.level = 2 AND c.feature = f.feature GROUP BY f.doc_id
+  LEFT JOIN fe b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM f.lang AND b.feature = f.feature GROUP BY f.doc_id
 ), base AS (
   SELECT *, (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words) AS base_failed FROM counts
 )
