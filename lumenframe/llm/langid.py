@@ -9,9 +9,14 @@ uniform byte. The trees are then frozen: the code length of a byte depends on it
 ``order`` bytes only, so sorted tables hold it for all strings seen, over all 256 bytes and in
 double precision, and a text is scored whole by searches in them.
 
+A text that no model fits costs more bits a byte than texts of any learnt language: ``limits`` takes
+from the labelled sample, for each language, the cost that its texts hardly ever exceed.
+
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for all
-texts where there is nothing to learn from; ties go to the language first in order; texts are
-scored whole at any length; repeated rows are judged each; extra columns are ignored.
+texts where there is nothing to learn from; rows without lang are not learnt from; ties go to the
+language first in order; texts are scored whole at any length; repeated rows are judged each; the
+caller's columns may have any names, they come back as the struct own_row; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -20,12 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lumenframe.llm.common import forget, parallel, table
+from lumenframe.llm.common import forget, parallel, row_struct, table, text_column
 from lumenframe.llm.kernels import blocks
 
 ORDER = 3
 PAD = b"\n" * ORDER
+#: Bits a byte by which texts of one language differ at least, for samples of a few texts.
+LEAST_SPREAD = 0.25
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -105,25 +113,37 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, sample_bytes: int = 2_000_000) -> Model:
-    """Fits on a sample of (key, lang, text) by a hash of key: about sample_bytes of text for each language, all where there is less."""
+def sampled(labelled: DataFrame, sample_bytes: int) -> DataFrame:
+    """Of (key, lang, text) a sample by a hash of key: about sample_bytes of text for each language, all where there is less."""
+    labelled = labelled.where("lang IS NOT NULL")
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_bytes / max(n or 1, 1)))).otherwise(rate)
-    picked = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < rate * 1_000_000)
-    rows = gram_counts(picked).toPandas()
+    return labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < rate * 1_000_000)
+
+
+def train(labelled: DataFrame, sample_bytes: int = 2_000_000) -> Model:
+    """Fits on a sample of (key, lang, text), bounded for each language."""
+    rows = gram_counts(sampled(labelled, sample_bytes)).toPandas()
     return Model({lang: (x["gram"].to_numpy(), x["n"].to_numpy()) for lang, x in rows.groupby("lang")})
 
 
+def limits(labelled: DataFrame, model: Model, sample_bytes: int = 2_000_000, reach: float = 6.0) -> dict[str, float]:
+    """Bits a byte beyond which a text is in no learnt language: for each language the third quartile of its sampled texts and ``reach`` times the distance from their median to their 99th percentile, or LEAST_SPREAD if that is more, beyond it."""
+    own = predict(sampled(labelled, sample_bytes), ["lang"], model).where("own_row.lang = lang_pred")
+    q = own.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", [0.5, 0.75, 0.99], 1000).alias("q")).collect()
+    return {r[0]: r[1][1] + reach * max(r[1][2] - r[1][0], LEAST_SPREAD) for r in q}
+
+
 def has_letter(t: str | None) -> bool:
     return any(c.isalpha() for c in t or "")
 
 
 def predict(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
-    """The kept columns, lang_pred, score (posterior of the best language, even priors) and bits_per_byte under it."""
-    src = parallel(docs.select(*dict.fromkeys([*keep, "text"])))
-    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, bits_per_byte double"])
+    """own_row (the kept columns), lang_pred, score (posterior of the best language, even priors) and bits_per_byte under it."""
+    src = parallel(docs.select(row_struct(docs, keep), *(["text"] if "text" not in keep else [])))
+    schema = StructType([src.schema["own_row"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
     shared = src.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -131,9 +151,9 @@ def predict(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             for part in (b.slice(x, 1000) for x in range(0, b.num_rows, 1000)):
-                texts = part.column("text").to_pylist()
+                texts = text_column(part).to_pylist()
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-                known = np.array([has_letter(t) for t in texts]) & bool(m.langs)
+                known = np.array([has_letter(t) for t in texts], dtype=bool) & bool(m.langs)
                 if m.langs:
                     bits = m.bits(raw)
                     best = bits.argmin(1)
@@ -143,15 +163,26 @@ def predict(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
                     pred = [m.langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
                 else:
                     score, rate, pred = np.zeros(len(raw)), np.zeros(len(raw)), ["und"] * len(raw)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, rate, 0.0))], names=[*keep, "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([part.column("own_row"), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, rate, 0.0))], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
+def told(docs: DataFrame, key: str = "doc_id", least: float = 0.5, sample_bytes: int = 2_000_000) -> DataFrame:
+    """The rows of docs (key, lang, text) whose language, by models learnt from their own labels, can be told and fits."""
+    labelled = docs.select(F.col(key).alias("key"), "lang", "text")
+    model = train(labelled, sample_bytes)
+    fits = F.lit(False)
+    for lang, most in limits(labelled, model, sample_bytes).items():
+        fits = fits | ((F.col("lang_pred") == lang) & (F.col("bits_per_byte") <= most))
+    out = predict(docs, docs.columns, model).where(fits & (F.col("score") >= least))
+    return out.select(*(F.col("own_row").getField(c).alias(c) for c in docs.columns))
+
+
 HELD_OUT = "crc32(encode(cast(doc_id AS string), 'UTF-8')) % 4 = 2"
 
 
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     learn = docs.where(f"NOT coalesce({HELD_OUT}, false) AND lang IS NOT NULL").select(F.col("doc_id").alias("key"), "lang", "text")
-    return predict(docs, ["doc_id"], train(learn)).select("doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "lang_pred", "score")
+    return predict(docs, ["doc_id"], train(learn)).select("own_row.doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "lang_pred", "score")
