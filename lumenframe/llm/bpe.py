@@ -3,8 +3,8 @@
 1. A rolling hash over 16 bytes cuts every text into chunks of about 512 bytes; equal passages
    get equal cuts. Keys of chunks are counted over all documents.
 2. Chunks that occur more than once are encoded once each, into a dictionary table. Which
-   occurrences may be shared is asked of a bitmap of fixed size made from the counts; its
-   false hits only put a few single chunks into the dictionary too.
+   occurrences may be shared is asked of a bitmap made from the counts, with 16 bits for each shared chunk
+   and at most 128 MB; its false hits only put a few single chunks into the dictionary too.
 3. Documents are dealt into buckets together with the dictionary rows that the bucket needs.
    Chunks outside the dictionary are encoded in place. At each join the words that a cut may
    have split are encoded again, over a window that grows until it starts and ends at white
@@ -16,8 +16,8 @@ Cuts at white space are exact for tokenizers that drop it and never join over it
 characters that libraries class differently are encoded whole by the library.
 
 Defined results: a null text counts as empty and gives no ids; repeated rows give equal rows;
-a null doc_id is kept; texts of any length are encoded whole; an empty table gives an empty
-table.
+a null doc_id is kept; texts of any length are encoded whole; other columns are ignored, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import parallel, table, worker_cache, written
-from lumenframe.llm.kernels import U64, blocks, joined, mix, prefix_hash, window_hash
-from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, id_bucket, text_bytes, unpacked
+from lumenframe.llm.common import drop_written, forget, parallel, table, worker_cache, written
+from lumenframe.llm.kernels import U64, blocks, joined, prefix_hash, window_hash
+from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, gathered, id_bucket, text_bytes, unpacked
 from lumenframe.llm.tokens import UNSURE, _Pieces, byte_symbols
 
 ROLL, MEAN, MOST = 16, 512, 8192
 #: Marks that end a word as a piece of their own; none of them starts a contraction.
 MARKS = ",.;:!?|*#$%&"
-#: Bits of the bitmap of shared chunks.
-MAP_BITS = 1 << 24
+#: Least and most bits of the bitmap of shared chunks, and bits for each.
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 1 << 18, 1 << 30, 16
 
 
 class WordEncoder:
@@ -122,8 +122,10 @@ def chunk_key(chunk: bytes) -> bytes:
     return xxhash.xxh3_128_digest(chunk)
 
 
-def map_slots(keys: list[bytes]) -> np.ndarray:
-    return (mix(np.frombuffer(b"".join(keys), dtype=np.uint64)[::2]) & U64(MAP_BITS - 1)).astype(np.int64)
+def marked_slots(keys: list[bytes], bitmap: np.ndarray) -> np.ndarray:
+    """Indices of the keys whose slot, low bits of the key, is marked."""
+    slot = (np.frombuffer(b"".join(keys), dtype=np.uint64)[::2] & U64(8 * len(bitmap) - 1)).astype(np.int64)
+    return np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
 
 def encode_chunk(chunk: str, enc: WordEncoder) -> tuple[bytes, int, int]:
@@ -166,26 +168,37 @@ def shared_map(docs: DataFrame, tokenizer: str) -> np.ndarray:
     """Bitmap of the slots of chunks that occur more than once."""
 
     def count(batches):
+        forget("word")
         enc = word_encoder(tokenizer)
-        for b in batches:
+        for b in gathered(batches):
             keys = [chunk_key(c) for part in (b.slice(x, 1000) for x in range(0, b.num_rows, 1000)) for cs in _sure_chunks(part, enc) for c in cs]
             if keys:
                 k, n = np.unique(np.frombuffer(b"".join(keys), dtype=np.uint64)[::2].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
 
-    shared = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    found = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = written(found.select("key"), "bpe-shared")
+    bits = min(max(LEAST_BITS, 1 << (CHUNK_BITS * shared.count()).bit_length()), MOST_BITS)
+    slot = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
+    # Slices of 4 KB, merged on the executors; all together are the bitmap, of bounded size.
+    slices = shared.groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for at, own in slices.collect():
+        room = out[(at - 1) * 4096 : at * 4096]
+        room[:] = np.frombuffer(own, dtype=np.uint8)[: len(room)]
+    drop_written(shared)
+    return out
 
-    def bits(batches):
-        own = np.zeros(MAP_BITS, dtype=bool)
-        for b in batches:
-            own[(mix(b.column(0).to_numpy().view(np.uint64)) & U64(MAP_BITS - 1)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
 
-    maps = shared.select("key").coalesce(8).mapInArrow(bits, "bits binary").collect()
-    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
-    for (m,) in maps:  # eight maps of fixed size at most
-        out |= np.frombuffer(m, dtype=np.uint8)
-    return out
+def row_buckets(part: pa.RecordBatch, n: int) -> np.ndarray:
+    """The bucket of each row by its doc_id; rows without one are dealt by their text and place."""
+    import xxhash
+
+    ids = part.column("doc_id").cast(pa.int64())
+    out = ids.fill_null(0).to_numpy(zero_copy_only=False).copy()
+    for r in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+        out[r] = (xxhash.xxh64_intdigest(part.column("text")[r].as_py() or "") >> 1) ^ (r % 64)
+    return id_bucket(out, n)
 
 
 def packed_ids(ids: list[bytes], enc: WordEncoder) -> list[pa.Array]:
@@ -211,16 +224,14 @@ def encode(docs: DataFrame, tokenizer: str, finishing=packed_ids, fields: str =
         held = bitmap.value
 
         def rows():
-            for b in batches:
+            for b in gathered(batches):
                 texts: dict[bytes, bytes] = {}
                 needs: set[tuple[int, bytes]] = set()
                 for part in (b.slice(x, 1000) for x in range(0, b.num_rows, 1000)):
-                    ids = part.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-                    for bucket, cs in zip(id_bucket(ids, n_buckets).tolist(), _sure_chunks(part, enc), strict=True):
+                    for bucket, cs in zip(row_buckets(part, n_buckets).tolist(), _sure_chunks(part, enc), strict=True):
                         keys = [chunk_key(c) for c in cs]
                         if keys:
-                            slot = map_slots(keys)
-                            for k in np.flatnonzero(held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).tolist():
+                            for k in marked_slots(keys, held).tolist():
                                 texts[keys[k]] = cs[k]
                                 needs.add((bucket, keys[k]))
                 if texts:
@@ -232,7 +243,7 @@ def encode(docs: DataFrame, tokenizer: str, finishing=packed_ids, fields: str =
 
         yield from emitted(rows())
 
-    occ = written(docs.mapInArrow(occurrences, SCHEMA), "bpe-occurrences")
+    occ = written(docs.mapInArrow(occurrences, SCHEMA), "bpe-occurrences", "none")
 
     def dictionary(batches):
         enc = word_encoder(tokenizer)
@@ -246,7 +257,7 @@ def encode(docs: DataFrame, tokenizer: str, finishing=packed_ids, fields: str =
                 [pa.array(list(texts), pa.binary()), pa.array([c[0] for c in coded], pa.binary()), pa.array([c[1] for c in coded], pa.int32()), pa.array([c[2] for c in coded], pa.int32())], names=["key", "ids", "head", "tail"]
             )
 
-    entries = written(dealt(occ.where("kind = 0"), parts).mapInArrow(dictionary, "key binary, ids binary, head int, tail int"), "bpe-dictionary")
+    entries = written(dealt(occ.where("kind = 0"), max(parts, n_buckets)).mapInArrow(dictionary, "key binary, ids binary, head int, tail int"), "bpe-dictionary")
 
     def keys_of(batches):
         for b in batches:
@@ -259,9 +270,8 @@ def encode(docs: DataFrame, tokenizer: str, finishing=packed_ids, fields: str =
 
     def texts(batches):
         def rows():
-            for b in batches:
-                ids = b.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-                yield from blocks_by_bucket(b, id_bucket(ids, n_buckets), 1)
+            for b in gathered(batches):
+                yield from blocks_by_bucket(b, row_buckets(b, n_buckets), 1)
 
         yield from emitted(rows())
 
