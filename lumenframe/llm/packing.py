@@ -11,9 +11,10 @@
 Copies have equal keys; doc_id as second sort key lets range partitioning split even a key
 that holds a third of all rows. Nothing but the per-partition totals leaves the executors.
 
-Defined results: a null text counts as empty and gives one piece, its closing id; repeated
-rows are packed each; the order of rows equal in key and doc_id is arbitrary but each id lies in
-exactly one piece; a null doc_id is packed too; an empty table gives an empty table.
+Defined results: a null text counts as empty and gives one piece, its closing id; a text of any
+length is cut into as many sequences as it fills; repeated rows are packed each; the order of
+rows equal in key and doc_id is arbitrary but each id lies in exactly one piece; a null doc_id is packed
+too; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import drop_written, parallel, table, written
+from lumenframe.llm.common import forget, parallel, table, written
 from lumenframe.llm.kernels import MIX_1, U64, blocks, mix, word_hashes
+from lumenframe.llm.moving import buckets_for, text_bytes
 from lumenframe.llm.tokens import byte_encoder
 
 DIMS, BITS = 4, 8
+#: Bytes of text in a range.
+RANGE = 32 << 20
 
 
 def projections(texts: list[bytes]) -> np.ndarray:
@@ -79,6 +83,7 @@ def with_keys(docs: DataFrame, keep: list[str]) -> DataFrame:
     fields = [f"`{c}` {src.schema[c].dataType.simpleString()}" for c in src.columns]
 
     def run(batches):
+        forget("byte")
         for b in batches:
             for part in (b.slice(x, 2000) for x in range(0, b.num_rows, 2000)):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
@@ -91,7 +96,8 @@ def with_keys(docs: DataFrame, keep: list[str]) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids (packed), ids_crc32, doc_tokens, sequence_id, offset, curve_key of docs (doc_id, text)."""
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The number of ranges follows the bytes of text.
+    parts = partitions or buckets_for(text_bytes(docs), RANGE, int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sorted_docs = with_keys(docs, ["doc_id"]).repartitionByRange(parts, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id").withColumn("part", F.spark_partition_id())
 
