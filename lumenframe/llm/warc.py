@@ -2,19 +2,29 @@
 
 The writer stores each record as a gzip member of its own. Of records with equal payloads of
 at least ``least`` bytes the one with the smallest id is a response and the others are revisits
-of it without payload. Each task writes one file under a name of its own attempt; the table of
-files that the tasks return lists only those of the attempts that count, so a lost executor
-leaves at most a file that nobody reads.
+of it without payload; which is which is settled on digests, and no payload is shuffled for it. Each
+task writes one file under a name of its own attempt; the table of files that the tasks return lists
+only those of the attempts that count, so a lost executor leaves at most a file that nobody reads.
 
-The reader deals out byte ranges of files. A task looks for the gzip magic from the start of
-its range, accepts a candidate only if the member decodes whole, starts with a WARC version
-line with readable headers, and ends at the end of the file or at another gzip member, and owns
-the records whose members start inside its range; it reads beyond the range to finish the last.
+The reader deals out byte ranges of files and owns the records whose members start inside a range:
+
+1. Every range is scanned for the gzip magic. A candidate is a member that decodes whole and starts
+   with a WARC version line and readable headers; from it the members that follow each other are
+   walked to the end of the range. A payload may hold archives itself, so such a chain may lie
+   inside a record.
+2. For each file the chains are followed from its start: where the true chain of one range ends, that
+   of the next begins. Chains that nobody arrives at lie inside records. After damage, reading goes on
+   with the next candidate.
+3. The ranges are read along the true chains.
+
+So the records do not depend on how a file is split. A member of any size is read by the range in
+which it starts; ranges inside it have no true chain.
 
 Defined results: a null payload counts as empty; null ids are written and read as null and are
-never chosen as the response of others unless all ids are null; repeated rows give repeated
-records, all but one of which revisit the first if the payload is long enough; an empty table
-writes nothing and reads as an empty table.
+never chosen as the response of others unless all ids are null; rows equal in payload and id are
+ordered by url, and of wholly equal rows one is the response if any is; a payload of any length is
+one record; other columns are ignored, whatever their names; an empty table writes nothing and
+reads as an empty table.
 """
 
 from __future__ import annotations
@@ -35,32 +45,57 @@ VERSION = b"WARC/1.1\r\n"
 RANGE = 4 << 20
 
 
+#: Distinct repeated payloads up to which their digests are broadcast, and parts into which rows are dealt beyond.
+SMALL, SALTS = 200_000, 16
+
+
 def classified(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, payload, digest, refers_to, revisit of (page_id, url, payload)."""
-    p = pages.withColumn("payload", F.coalesce("payload", F.lit(b""))).withColumn("digest", F.sha2("payload", 256))
-    keys = p.where(F.octet_length("payload") >= least)
-    # Partial aggregation keeps one row for each payload and task, however hot a payload is.
-    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    p = p.join(firsts, "digest", "left")
-    return p.withColumn("refers_to", F.col("first")).withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).drop("first")
-
-
-def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record; a revisit if refers_to is given."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    body = http if refers_to is not None else http + payload
+    """page_id, url, payload (null for revisits), digest, n_bytes, refers_to, revisit of (page_id, url, payload)."""
+    p = pages.select("page_id", "url", F.coalesce("payload", F.lit(b"")).alias("payload"))
+    p = p.withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long")})
+    # One row for each digest, id and url: partial aggregation keeps it so for each task, however hot a payload is.
+    kinds = p.where(F.col("n_bytes") >= least).groupBy("digest", "page_id", "url").agg(F.count("*").alias("copies"))
+    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", F.col("copies").alias("twins"))
+    firsts = kinds.groupBy("digest").agg(F.min(rank).alias("f"), F.sum("copies").alias("n")).where("n > 1")
+    firsts = written(firsts.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"), F.col("f.twins").alias("twins")), "warc-firsts")
+    n, n_twins = firsts.agg(F.count("*"), F.count_if(F.col("twins") > 1)).first()
+    if n <= SMALL:
+        x = p.join(F.broadcast(firsts), "digest", "left")
+    else:  # a hot digest meets its row in many parts
+        salts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        x = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salts, ["digest", "salt"], "left")
+    is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
+    x = x.withColumn("revisit", F.col("twins").isNotNull() & ~is_first)
+    cols = ["page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "digest", "n_bytes", F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"), "revisit"]
+    if not n_twins:
+        return x.select(*cols)
+    # Wholly equal rows that come first: one response for each such group, all its other rows revisit it.
+    twin = ~F.col("revisit") & F.coalesce(F.col("twins") > 1, F.lit(False))
+    one = x.where(twin).groupBy("digest", "page_id", "url").agg(F.first("payload").alias("payload"), F.first("n_bytes").alias("n_bytes"), F.first("twins").alias("twins"))
+    again = one.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("twins")))).withColumns({"revisit": F.col("k") > 1, "first_id": F.col("page_id")})
+    return x.where(~twin).select(*cols).unionByName(again.select(*cols))
+
+
+def record(page_id, url, payload: bytes | None, digest: str, refers_to=None, revisit: bool = False, n_bytes: int | None = None) -> bytes:
+    """One WARC record; a revisit has no payload, only its length n_bytes."""
+    n_bytes = len(payload) if n_bytes is None else n_bytes
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n_bytes
+    body = http if revisit else http + payload
+    odd = url is not None and (url != url.strip() or not url.isprintable())
     head = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", quote(url or "", safe=":/?#[]@!$&'()*+,;=%-._~")),
+        ("WARC-Target-URI", quote(url) if odd else url or ""),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
-        ("X-Payload-Length", str(len(payload))),
+        ("X-Payload-Length", str(n_bytes)),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(body))),
     ]
-    if refers_to is not None:
-        head[1:1] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+    if odd:
+        head.append(("X-Target-URI-Quoted", "1"))
+    if revisit:
+        head[1:1] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{'' if refers_to is None else refers_to}>")]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass")
     return VERSION + lines + b"\r\n" + body + b"\r\n\r\n"
 
@@ -87,8 +122,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     system.create_dir(base, recursive=True)
                     out = system.open_output_stream(path, compression=None)
-                for page_id, url, payload, digest, refers_to, revisit in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "revisit")), strict=True):
-                    member = gzip_member(record(page_id, url, payload, digest, refers_to if revisit else None))
+                for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "revisit", "n_bytes")), strict=True):
+                    member = gzip_member(record(*row))
                     out.write(member)
                     size += len(member)
                     n += 1
@@ -96,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([n])], names=["path", "bytes", "records"])
 
-    return written(pages.select("page_id", "url", "payload", "digest", "refers_to", "revisit").mapInArrow(run, "path string, bytes long, records long"), "warc-files")
+    return written(pages.select("page_id", "url", "payload", "digest", "refers_to", "revisit", "n_bytes").mapInArrow(run, "path string, bytes long, records long"), "warc-files")
 
 
 class _Source:
@@ -146,9 +181,14 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
     return (h, rest[:n]) if len(rest) >= n else None
 
 
-def records_in(f, size: int, start: int, end: int):
-    """Headers and blocks of the records whose members start in [start, end)."""
-    src, at, sure = _Source(f, size), start, start == 0
+def member_at(src: _Source, at: int):
+    """(data, end) of the gzip member at a place, or None."""
+    return read_member(src, at) if src.get(at, len(MAGIC))[: len(MAGIC)] == MAGIC else None
+
+
+def chains_in(f, size: int, start: int, end: int) -> list[tuple[int, int, bool, list[int]]]:
+    """(first, stop, whole, starts) of the chains of members found in [start, end): starts are those of the members, stop is where the last ends; a chain that is not whole ends before the range does, at what is no member."""
+    src, at, out = _Source(f, size), start, []
     while at < min(end, size):
         raw = src.get(at, src.chunk)
         hit = raw.find(MAGIC)
@@ -157,29 +197,95 @@ def records_in(f, size: int, start: int, end: int):
             continue
         at += hit
         if at >= end:
-            return
+            break
         first = read_member(src, at, peek=True)
         got = read_member(src, at) if first and first[0].startswith(b"WARC/1.") else None
-        rec = parse(got[0]) if got else None
-        if rec and not sure:  # a member that is stored inside another is not followed by a member
-            rec = rec if got[1] >= size or src.get(got[1], 3)[:3] == MAGIC else None
+        if not got or not parse(got[0]):
+            at += 1
+            continue
+        starts, stop = [at], got[1]
+        while stop < min(end, size) and (got := member_at(src, stop)):
+            starts.append(stop)
+            stop = got[1]
+        out.append((at, stop, stop >= min(end, size), starts))
+        at = stop
+    return out
+
+
+def true_chains(ranges: list[tuple[int, list[tuple[int, int, bool, list[int]]]]], split: int, size: int) -> list[tuple[int, int]]:
+    """(range, entry) of the true chains of a file, from the chains of its ranges: those that the members from its start arrive at."""
+    at, sure, out = 0, True, []
+    for first, chains in sorted(ranges, key=lambda r: r[0]):
+        end = min(first + split, size)
+        while at < end:
+            own = next((c for c in chains if at in c[3]), None) if sure else None
+            if own is None:  # damage, or no archive from here on: go on with the next candidate
+                own = next((c for c in chains if c[0] >= at), None)
+                if own is None:
+                    at, sure = end, False
+                    break
+                at = own[0]
+            out.append((first, at))
+            at, sure = own[1], own[2]
+    return out
+
+
+def records_from(f, size: int, start: int, end: int):
+    """Headers and blocks of the records of the chain of members that starts at a place, as far as they start before end."""
+    src, at = _Source(f, size), start
+    while at < min(end, size) and (got := member_at(src, at)):
+        rec = parse(got[0])
         if rec:
             yield rec
-            at, sure = got[1], True
-        else:
-            at += 1
+        at = got[1]
+
+
+def opened(path: str):
+    from pyarrow import fs
+
+    system, own = (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
+    return system.open_input_file(own)
+
+
+def file_entries(files: DataFrame, split: int) -> DataFrame:
+    """path, bytes, first, entry: the true chains of each range of files listed as (path, bytes)."""
+    spark = files.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("first")).repartition(parts, "path", "first")
+
+    def scan(batches):
+        for b in batches:
+            for path, size, first in zip(*(b.column(c).to_pylist() for c in ("path", "bytes", "first")), strict=True):
+                with opened(path) as f:
+                    c = chains_in(f, size, first, first + split)
+                cols = list(zip(*c, strict=True)) if c else [(), (), (), ()]
+                n = len(c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * max(n, 1)), pa.array([size] * max(n, 1), pa.int64()), pa.array([first] * max(n, 1), pa.int64()), *(pa.array(x if n else [None], t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True))],
+                    names=["path", "bytes", "first", "head", "stop", "whole", "starts"],
+                )
+
+    found = ranges.mapInArrow(scan, "path string, bytes long, first long, head long, stop long, whole boolean, starts array<long>")
+
+    def follow(t: pa.Table) -> pa.Table:
+        """One file: its ranges and their chains, a few numbers for each record."""
+        by: dict[int, list] = {}
+        for first, *c in zip(*(t.column(x).to_pylist() for x in ("first", "head", "stop", "whole", "starts")), strict=True):
+            own = by.setdefault(first, [])
+            if c[0] is not None:
+                own.append((*c[:3], set(c[3])))
+        size = t.column("bytes")[0].as_py()
+        out = true_chains([(k, sorted(v, key=lambda c: c[0])) for k, v in by.items()], split, size)
+        return pa.table({"path": pa.array([t.column("path")[0].as_py()] * len(out), pa.string()), "bytes": pa.array([size] * len(out), pa.int64()), "first": pa.array([x[0] for x in out], pa.int64()), "entry": pa.array([x[1] for x in out], pa.int64())})
+
+    return found.groupBy("path").applyInArrow(follow, "path string, bytes long, first long, entry long").repartition(parts, "path", "first")
 
 
 def read_archives(files: DataFrame, split: int = RANGE) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload of archives listed as (path, bytes)."""
-    ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("first"))
-    spark = files.sparkSession
-    ranges = ranges.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "path", "first")
     schema = "page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
     def run(batches):
-        from pyarrow import fs
-
         rows: list[tuple] = []
         held = 0
         names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
@@ -189,16 +295,16 @@ def read_archives(files: DataFrame, split: int = RANGE) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for b in batches:
-            for path, size, first in zip(*(b.column(c).to_pylist() for c in ("path", "bytes", "first")), strict=True):
-                system, own = (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
-                with system.open_input_file(own) as f:
-                    for h, block in records_in(f, size, first, first + split):
+            for path, size, first, entry in zip(*(b.column(c).to_pylist() for c in ("path", "bytes", "first", "entry")), strict=True):
+                with opened(path) as f:
+                    for h, block in records_from(f, size, entry, first + split):
                         payload = block.partition(b"\r\n\r\n")[2]
                         revisit = h.get("warc-type") == "revisit"
                         ident = [h.get(k, "<urn:page:>")[len("<urn:page:") : -1] or None for k in ("warc-record-id", "warc-refers-to")]
                         digest = h.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
                         n = int(h.get("x-payload-length", 0)) if revisit else len(payload)
-                        rows.append((ident[0], unquote(h.get("warc-target-uri", "")), h.get("warc-type"), ident[1], digest, n, None if revisit else payload))
+                        uri = h.get("warc-target-uri", "")
+                        rows.append((ident[0], unquote(uri) if "x-target-uri-quoted" in h else uri, h.get("warc-type"), ident[1], digest, n, None if revisit else payload))
                         held += len(payload)
                         if held > 4 << 20 or len(rows) >= 2000:
                             yield batch()
@@ -207,11 +313,11 @@ def read_archives(files: DataFrame, split: int = RANGE) -> DataFrame:
         if rows:
             yield batch()
 
-    return ranges.mapInArrow(run, schema)
+    return file_entries(files, split).mapInArrow(run, schema)
 
 
 def op5_warc(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode(F.col("html"), "UTF-8").alias("payload"))
     files = write_archives(classified(pages), scratch_path(spark, "warc"))
     back = read_archives(files)
     return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
