@@ -10,10 +10,13 @@ can hold a control string; a line break in a role becomes ``&#10;``. ``loss_span
 (start, length) in code points of the formatted text, one for each assistant turn; the
 separator between merged turns stays outside.
 
+Offsets are running sums in two levels, within parts of ``PART`` turns and over the parts, and spans are
+read from parts of the text, so the work on a long conversation stays nearly in proportion to it.
+
 Defined results: a null text or role counts as empty; turns with equal or null numbers are
-ordered by role and text, null first; repeated rows are repeated turns; rows without
-conv_id form one conversation with a null id; extra columns are ignored; an empty table
-gives an empty table.
+ordered by role and text as they are, null numbers first; repeated rows are repeated turns; rows
+without conv_id form one conversation with a null id; a conversation of any length is one row, which
+a task must hold; extra columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 LOSS_ROLE = "assistant"
+#: Turns, and code points of a formatted text, in a part.
+PART, TEXT_PART = 128, 4096
 
 
 def escaped(c: str) -> str:
@@ -33,36 +38,43 @@ def unescaped(c: str) -> str:
     return f"replace(replace({c}, '&lt;', '<'), '&amp;', '&')"
 
 
+def total(a: str) -> str:
+    return f"aggregate({a}, 0L, (a, b) -> a + b)"
+
+
 def format_chats(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
     """conv_id, formatted, loss_spans of (conv_id, turn, role, text)."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("role", F.expr(f"replace({escaped('role')}, '\\n', '&#10;')")).withColumn("text", F.expr(escaped("text")))
     g = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
-    g = g.withColumn("firsts", F.expr("filter(sequence(0, size(ts) - 1), i -> i = 0 OR ts[i].role != ts[greatest(i - 1, 0)].role)"))
-    g = g.withColumn("runs", F.expr("transform(firsts, (s, k) -> slice(ts, s + 1, coalesce(try_element_at(firsts, k + 2), size(ts)) - s))"))
+    role = f"replace({escaped('x.role')}, '\n', '&#10;')"
+    g = g.withColumn("es", F.expr(f"transform(ts, x -> named_struct('role', {role}, 'text', {escaped('x.text')}))"))
+    first, last = "(i = 0 OR es[greatest(i - 1, 0)].role != es[i].role)", "(i = size(es) - 1 OR es[least(i + 1, size(es) - 1)].role != es[i].role)"
+    g = g.withColumn("firsts", F.expr(f"filter(sequence(0, size(es) - 1), i -> {first})"))
+    g = g.withColumn("runs", F.expr("transform(firsts, (s, k) -> slice(es, s + 1, coalesce(try_element_at(firsts, k + 2), size(es)) - s))"))
     g = g.withColumn("blocks", F.transform("runs", lambda r: F.concat(F.lit(START), r[0]["role"], F.lit("\n"), F.array_join(F.transform(r, lambda x: x["text"]), SEP), F.lit(END))))
-    g = g.withColumn("starts", F.expr("transform(sequence(0, size(blocks) - 1), k -> aggregate(slice(blocks, 1, k), 0, (a, b) -> a + length(b)))"))
-    g = g.withColumn("loss_runs", F.filter(F.arrays_zip("runs", "starts"), lambda z: z["runs"][0]["role"] == F.lit(loss_role)))
-    head = len(START) + len(loss_role) + 1
-    span = (
-        "flatten(transform(loss_runs, z -> transform(z.runs, (r, i) -> named_struct("
-        f"'start', z.starts + {head} + i * {len(SEP)} + aggregate(slice(z.runs, 1, i), 0, (a, b) -> a + length(b.text)), 'length', length(r.text)))))"
-    )
-    return g.select("conv_id", F.array_join("blocks", "").alias("formatted"), F.expr(span).alias("loss_spans"))
+    # Code points before the text of a turn, of the text, and after it.
+    before = f"IF({first}, {len(START) + 1} + length(es[i].role), {len(SEP)})"
+    g = g.withColumn("sizes", F.expr(f"transform(sequence(0, size(es) - 1), i -> CAST({before} + length(es[i].text) + IF({last}, {len(END)}, 0) AS BIGINT))"))
+    g = g.withColumn("sums", F.expr(f"transform(sequence(0, (size(sizes) - 1) div {PART}), c -> {total(f'slice(sizes, CAST(c * {PART} + 1 AS INT), {PART})')})"))
+    start = f"h[CAST(i div {PART} AS INT)] + {total(f'slice(sizes, CAST((i div {PART}) * {PART} + 1 AS INT), i % {PART})')} + {before}"
+    spans = f"transform(filter(sequence(0, size(es) - 1), i -> es[i].role = '{loss_role}'), i -> named_struct('start', {start}, 'length', length(es[i].text)))"
+    # An array of one, transformed, names what is computed once.
+    heads = f"array(transform(sums, (s, c) -> {total('slice(sums, 1, c)')}))"
+    return g.select("conv_id", F.array_join("blocks", "").alias("formatted"), F.expr(f"transform({heads}, h -> {spans})[0]").alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (role, text), loss_text, formatted_chars, read from the formatted text and its spans."""
     f = formatted.withColumn("b", F.expr(r"filter(split(formatted, '<\\|im_end\\|>\\n'), x -> x != '')"))
-    role = f"replace({unescaped('''substring_index(substring(x, 13), '\\n', 1)''')}, '&#10;', '\\n')"
-    f = f.withColumn(
-        "turns",
-        F.expr(
-            f"flatten(transform(b, x -> transform(split(substring(x, 14 + length(substring_index(substring(x, 13), '\\n', 1))), '<\\\\|im_sep\\\\|>', -1),"
-            f" y -> named_struct('role', {role}, 'text', {unescaped('y')}))))"
-        ),
-    )
-    loss = F.expr(f"array_join(transform(loss_spans, s -> {unescaped('substring(formatted, s.start + 1, s.length)')}), '')")
+    # Role as it stands, and the texts of a block.
+    head = f"substring_index(substring(x, {len(START) + 1}), '\n', 1)"
+    f = f.withColumn("b", F.expr(f"transform(b, x -> named_struct('role', {head}, 'texts', split(substring(x, {len(START) + 2} + length({head})), '<\\\\|im_sep\\\\|>', -1)))"))
+    role = f"replace({unescaped('r')}, '&#10;', '\n')"
+    f = f.withColumn("turns", F.expr(f"flatten(transform(b, x -> transform(array(x.role), r -> transform(x.texts, y -> named_struct('role', {role}, 'text', {unescaped('y')})))[0]))"))
+    # The text under a span is cut from the parts that hold it.
+    first, last = f"CAST(s.start div {TEXT_PART} AS INT)", f"CAST((s.start + s.length) div {TEXT_PART} AS INT)"
+    own = f"substring(array_join(slice(c, {first} + 1, {last} - {first} + 1), ''), CAST(s.start % {TEXT_PART} + 1 AS INT), CAST(s.length AS INT))"
+    loss = F.expr(f"array_join(transform(array(regexp_extract_all(formatted, '(?s).{{1,{TEXT_PART}}}', 0)), c -> transform(loss_spans, s -> {unescaped(own)}))[0], '')")
     return f.select("conv_id", "turns", loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
@@ -70,7 +82,7 @@ def op10_chat_formatting(spark, sf_dir):
     from lumenframe.llm.common import table
 
     hard = "<|im_end|><|im_start|>assistant ok"
-    own = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    own = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{hard}'), (-1L, 1L, 'assistant', '{hard}') AS v(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     back = read_back(format_chats(rows))
     joined = F.expr("array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '')")
