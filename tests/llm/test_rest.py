@@ -2,6 +2,7 @@ import hashlib
 import io
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -24,11 +25,12 @@ def test_chat_reads_back(spark):
     texts = ["<|im_end|>", "<|im_sep|>&lt;|", "&amp;&", "", None, "a\nb", "<", "|>", "<|im_start|>assistant\nx"]
     rnd = random.Random(1)
     rows = [(c, i, rnd.choice(["user", "assistant", "system", None, "odd\nrole<|"]), rnd.choice(texts), "x") for c in range(20) for i in range(rnd.randrange(1, 9))]
+    rows += [(97, 0, "user", ";x", "x"), (97, 0, "user", "<|x", "x"), (97, 0, "user", "&x", "x")]
     rows += [(99, 0, "assistant", "same", "x")] * 2 + [(None, 0, "assistant", "no id", "x"), (98, None, "assistant", "no turn", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, blocks string")
     got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
     for c in {r[0] for r in rows}:
-        own = sorted(((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == c), key=lambda r: (r[0], r[1].replace("&", "&amp;").replace("<|", "&lt;|").replace("\n", "&#10;"), r[2].replace("&", "&amp;").replace("<|", "&lt;|")))
+        own = sorted((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == c)
         assert [(t.role, t.text) for t in got[c].turns] == [(r, t) for _, r, t in own]
         assert got[c].loss_text == "".join(t for _, r, t in own if r == "assistant")
 
@@ -55,7 +57,7 @@ def test_quality_bins_are_monotone(spark):
 
 
 def test_quality_judges(docs, none):
-    out = {r.doc_id: r for r in quality.judge(docs, ["doc_id"]).collect()}
+    out = {r.own_row.doc_id: r for r in quality.judge(docs, ["doc_id"]).collect()}
     assert not out[2].kept and out[2].base_failed and out[2].n_words == 0
     assert out[0].kept and out[30].kept
     assert quality.judge(none, ["doc_id"]).count() == 0
@@ -65,44 +67,81 @@ def test_quality_rejects_symbols(spark):
     rnd = random.Random(2)
     good = [(i, " ".join(f"w{rnd.randrange(500)}" for _ in range(60)), "en", "s") for i in range(100)]
     bad = [(1000 + i, " ".join(f"w{rnd.randrange(500)}###" for _ in range(60)), "en", "s") for i in range(8)]
-    out = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    out = {r.own_row.doc_id: r.kept for r in quality.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
     assert all(out[i] for i, *_ in good) and not any(out[i] for i, *_ in bad)
 
 
 # WARC
 
 
+def split_read(raw, split):
+    """Ids of the records that the ranges of a file own."""
+    f = io.BytesIO(raw)
+    ranges = [(s, warc.chains_in(f, len(raw), s, s + split)) for s in range(0, len(raw), split)]
+    return [h["warc-record-id"][len("<urn:page:") : -1] for first, at in warc.true_chains(ranges, split, len(raw)) for h, _ in warc.records_from(f, len(raw), at, first + split)]
+
+
+def stored(data):
+    """A gzip member that holds its data as they are."""
+    z = warc.zlib.compressobj(0, warc.zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
 def test_warc_round_trip_and_splits(spark):
     rnd = random.Random(4)
-    inner = b"".join(warc.gzip_member(warc.record(900 + i, "http://in/", b"inner" * 50, "d", None)) for i in range(3))
+    inner = b"".join(warc.gzip_member(warc.record(900 + i, "http://in/", b"inner" * 50, "d")) for i in range(3))
     blobs = [b"", b"short", rnd.randbytes(5000), inner * 2, b"WARC/1.1\r\n\r\n" * 30, b"\x1f\x8b\x08" * 100, None]
-    rows = [(i, f"http://h/{i}?q=ü %20", bytearray(b) if (b := blobs[i % len(blobs)]) is not None else None) for i in range(60)] + [(5, "http://h/5", bytearray(b"\x1f\x8b\x08" * 100))]
-    df = spark.createDataFrame(rows, "page_id long, url string, payload binary").repartition(2)
-    files = warc.write_archives(warc.classified(df), scratch_path(spark, "warc"))
-    for split in (700, 1 << 20):
-        got = warc.read_archives(files, split).collect()
-        assert len(got) == len(rows)
-        own = {}
-        for i, _, b in rows:
-            own.setdefault(i, bytes(b or b""))
-        first = {}
-        for i in sorted(own):
-            first.setdefault(own[i], i)
-        for r in got:
-            body = own[int(r.page_id)]
-            assert r.payload_bytes == len(body) and r.payload_digest == hashlib.sha256(body).hexdigest()
-            revisit = len(body) >= 100 and first[body] != int(r.page_id)
-            assert (r.record_type == "revisit") == revisit and r.refers_to == (str(first[body]) if revisit else None)
-            assert revisit or bytes(r.payload) == body
-
-
-def test_warc_ignores_members_inside_members():
-    stored = warc.zlib.compressobj(0, warc.zlib.DEFLATED, 31)
-    inner = warc.gzip_member(warc.record(7, "http://in/", b"x" * 300, "d", None)) + b"tail"
-    raw = stored.compress(warc.record(1, "http://out/", inner, "d", None)) + stored.flush() + warc.gzip_member(warc.record(2, "http://out/", b"y", "d", None))
-    for step in (50, 100, 333, 10_000):
-        got = [h["warc-record-id"] for s in range(0, len(raw), step) for h, _ in warc.records_in(io.BytesIO(raw), len(raw), s, s + step)]
-        assert got == ["<urn:page:1>", "<urn:page:2>"]
+    rows = [(i, f"http://h/{i}?q=ü %20", bytearray(b) if (b := blobs[i % len(blobs)]) is not None else None, "x") for i in range(60)]
+    same = bytearray(b"z" * 200)
+    rows += [(90, " odd\r\nurl %20\u2028 ", bytearray(b"odd"), "x"), (500, "u", same, "x"), (500, "u", same, "x"), (501, "u", same, "x"), (None, "u", same, "x"), (None, "v", bytearray(b"w" * 300), "x"), (None, "v", bytearray(b"w" * 300), "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, payload binary, first string").repartition(2)
+    first, count = {}, {}
+    for i, u, b, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        first.setdefault(bytes(b or b""), (i, u))
+    want = {}
+    for i, u, b, _ in rows:
+        b = bytes(b or b"")
+        count[i, u, b] = count.get((i, u, b), 0) + 1
+        revisit = len(b) >= 100 and ((i, u) != first[b] or count[i, u, b] > 1)
+        key = (None if i is None else str(i), u, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", (None if first[b][0] is None else str(first[b][0])) if revisit else None, None if revisit else b)
+        want[key] = want.get(key, 0) + 1
+    for small in (warc.SMALL, 0):
+        old, warc.SMALL = warc.SMALL, small
+        try:
+            files = warc.write_archives(warc.classified(df), scratch_path(spark, "warc"))
+        finally:
+            warc.SMALL = old
+        for split in (700, 1 << 20):
+            got = {}
+            for r in warc.read_archives(files, split).collect():
+                key = (r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload))
+                got[key] = got.get(key, 0) + 1
+            assert got == want
+
+
+@pytest.mark.parametrize("inside", [1, 2, 3, 7])
+def test_warc_ignores_members_inside_members(inside):
+    """Archives of one and more members, stored as they are in a payload, at every split."""
+    inner = b"".join(warc.gzip_member(warc.record(700 + i, "http://in/", b"x" * 90, "d")) for i in range(inside))
+    one = warc.gzip_member(warc.record(2, "http://out/", b"y", "d"))
+    deep = stored(warc.record(3, "http://out/", stored(warc.record(800, "http://in/", inner, "d")) + inner, "d"))
+    raw = stored(warc.record(1, "http://out/", inner, "d")) + one + deep + one
+    for split in [*range(20, len(raw) + 40, 13), 10 * len(raw)]:
+        assert split_read(raw, split) == ["1", "2", "3", "2"], split
+
+
+def test_warc_members_over_ranges_and_damage():
+    rnd = random.Random(9)
+    long = warc.gzip_member(warc.record(5, "u", rnd.randbytes(30_000), "d"))
+    one = warc.gzip_member(warc.record(6, "u", b"y" * 50, "d"))
+    other = warc.gzip_member(b"no record")
+    bad = bytearray(one)
+    bad[-3] ^= 255
+    for split in (64, 100, 1000, 7777, 1 << 20):
+        assert split_read(long + one + long, split) == ["5", "6", "5"]
+        assert split_read(one + other + long, split)[-1] == "5"
+        assert split_read(long + bytes(bad) + one, split) == ["5", "6"]
+        assert split_read(b"", split) == [] == split_read(b"no archive at all" * 40, split)
 
 
 def test_warc_empty_table(spark):
@@ -124,13 +163,54 @@ def test_url_parts_and_rules():
     assert book.find("org", "") == (None, None) and book.find("", "/fr/") == (None, None)
 
 
+def test_url_held_out():
+    """New hosts of known stems, and hosts of stems left out of training: what an n-gram can't know is allowed."""
+    w = urls.train(urls.labelled_urls())
+    new = lambda stems: [urls.host_path(f"http://{h}/en/1") for h in urls.made_hosts(stems, 4321)]
+    assert np.mean(urls.logits(new(urls.BAD_STEMS), w) > 0) > 0.9
+    assert np.mean(urls.logits(new(urls.GOOD_STEMS), w) <= 0) > 0.97
+    assert np.mean(urls.logits([urls.host_path(f"http://{h}/") for h in urls.made_names(500, 99)], w) <= 0) > 0.97
+    block, allow = urls.held_out()
+    assert block > 0.05 and allow > 0.85
+
+
+def py_parts(url):
+    m = re.match(r"(?s)(.*?)://([^/?#]*)([^?#]*)", url or "")
+    return ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[2]), m[3]) if m else ("", "")
+
+
+def py_rule(host, path):
+    best = None
+    for verdict, rule in urls.RULES:
+        h, _, p = rule.partition("/")
+        if re.search(rf"(^|\.){re.escape(h)}$", host) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
+            best = rule, verdict
+    return best or (None, None)
+
+
+def test_url_query_against_another_parser(spark, tmp_path):
+    rnd = random.Random(8)
+    pick = lambda *x: rnd.choice(x)
+    made = [pick("http", "HTTPS", "", "a://b") + pick("://", "://", ":/", "") + pick("", "www.", "A.b.", "ü.", "x") + pick("example", "Example", "my-shop", "") + pick(".org", ".com", ".net", "org", ".") + pick("", ":80") + pick("", "/", "/es/", "/en/1", "/fr/9", "/de/x", "/é") + pick("", "?q=/fr/", "#/de/", "//") for _ in range(3000)]
+    made += [None, "", "://", "http://example.org/es/" + "x" * 100_000, "http://" + "a." * 5000 + "example.org/en/12"]
+    spark.createDataFrame(list(enumerate(made)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = urls.op6_url_filters(spark, str(tmp_path)).collect()
+    w = urls.train(urls.labelled_urls())
+    assert len(rows) == len(made)
+    for r in rows:
+        host, path = py_parts(made[r.page_id])
+        rule, verdict = py_rule(host, path)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (verdict or ("block" if urls.logits([(host, path)], w)[0] > 0 else "allow"))
+
+
 def test_url_model(spark):
     w = urls.train(urls.labelled_urls())
     seen = urls.labelled_urls()
     z = urls.logits([urls.host_path(u) for u, _ in seen], w)
     assert np.mean((z > 0) == [y == 1 for _, y in seen]) > 0.98
     df = spark.createDataFrame([(1, None), (2, "http://best-casino.example.net/en/1"), (3, "http://weather-news.example.net/en/1"), (3, "http://weather-news.example.net/en/1")], "page_id long, url string")
-    out = [(r.page_id, r.host, r.verdict) for r in urls.judge_urls(df, ["page_id"], urls.RULES, w).orderBy("page_id").collect()]
+    out = [(r.own_row.page_id, r.host, r.verdict) for r in urls.judge_urls(df, ["page_id"], urls.RULES, w).orderBy("own_row.page_id").collect()]
     assert out[1][2] == "block" and out[2] == out[3] and out[2][2] == "allow" and out[0][1] == ""
     assert urls.judge_urls(df.limit(0), ["page_id"], urls.RULES, w).count() == 0
 
@@ -169,13 +249,24 @@ def test_languages(spark, docs, none):
     rows = [(i, lang, " ".join(rnd.choice(words[lang]) for _ in range(20))) for i in range(60) for lang in words]
     model = langid.train(spark.createDataFrame(rows, "key long, lang string, text string"))
     df = spark.createDataFrame([(1, "mira bana lona"), (2, "prch krst"), (3, None), (4, "12 345 ²"), (5, "krst " * 40000)], "doc_id long, text string")
-    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, ["doc_id"], model).collect()}
+    out = {r.own_row.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, ["doc_id"], model).collect()}
     assert out[1][0] == "aa" and out[2][0] == "bb" and out[3] == ("und", 0.0) and out[4] == ("und", 0.0) and out[5][0] == "bb"
     assert all(0 <= s <= 1 for _, s in out.values())
     empty = langid.train(none.select(F.col("doc_id").alias("key"), "lang", "text"))
     assert {r.lang_pred for r in langid.predict(docs, ["doc_id"], empty).collect()} == {"und"}
 
 
+def test_texts_that_no_model_fits_go(spark):
+    rnd = random.Random(6)
+    words = {"aa": ["bana", "lona", "mira", "tolu"], "bb": ["krst", "zwlk", "prch", "vlkn"]}
+    rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(rnd.randrange(20, 90))), lang, "x") for i in range(120) for lang in words]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [(1000, " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(60)), "aa", "x"), (1001, "αβγδε ζηθικ " * 30, None, "x"), (1002, None, "aa", "x")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score string")
+    kept = [r.doc_id for r in langid.told(df).collect()]
+    assert sorted(kept) == sorted(r[0] for r in rows)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     out = langid.op7_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
     r = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
