@@ -261,7 +261,7 @@ def test_texts_that_no_model_fits_go(spark):
     words = {"aa": ["bana", "lona", "mira", "tolu"], "bb": ["krst", "zwlk", "prch", "vlkn"]}
     rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(rnd.randrange(20, 90))), lang, "x") for i in range(120) for lang in words]
     letters = "abcdefghijklmnopqrstuvwxyz"
-    odd = [(1000, " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(60)), "aa", "x"), (1001, "αβγδε ζηθικ " * 30, None, "x"), (1002, None, "aa", "x")]
+    odd = [(1000, " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(60)), None, "x"), (1001, "αβγδε ζηθικ " * 30, None, "x"), (1002, None, "aa", "x")]
     df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score string")
     kept = [r.doc_id for r in langid.told(df).collect()]
     assert sorted(kept) == sorted(r[0] for r in rows)
