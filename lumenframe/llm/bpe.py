@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import drop_written, forget, parallel, table, worker_cache, written
 from lumenframe.llm.kernels import U64, blocks, joined, prefix_hash, window_hash
 from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, gathered, id_bucket, text_bytes, unpacked
-from lumenframe.llm.tokens import UNSURE, _Pieces, byte_symbols
+from lumenframe.llm.tokens import CACHE, LONGEST, UNSURE, byte_symbols
 
 ROLL, MEAN, MOST = 16, 512, 8192
 #: Marks that end a word as a piece of their own; none of them starts a contraction.
@@ -42,6 +44,40 @@ MARKS = ",.;:!?|*#$%&"
 LEAST_BITS, MOST_BITS, CHUNK_BITS = 1 << 18, 1 << 30, 16
 
 
+class _Words(dict):
+    """word -> packed ids; words not met before are encoded.
+
+    Letters of the Latin blocks lower-case one by one and are one piece, so such a word needs the
+    merges only; a mark after a letter is a piece of its own, so a word with one is its two parts.
+    """
+
+    def __init__(self, enc: WordEncoder):
+        super().__init__()
+        self.enc, self.code = enc, "H" if enc.dtype == "<u2" else "I"
+
+    def __missing__(self, word: str) -> bytes:
+        enc = self.enc
+        if enc.plain and len(word) < 200:
+            if word[-1] in MARKS and len(word) > 1 and word[-2].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+            if word.isalpha() and max(word) < "\u0250":
+                low = word.lower()
+                if low.isalpha():
+                    return self.keep(word, [t.id for t in enc.merges(low.encode().decode("latin-1").translate(enc.symbols))])
+        return self.keep(word, enc.ids(word))
+
+    def keep(self, word: str, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        packed = packed.tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = packed
+        return packed
+
+
 class WordEncoder:
     """Encodes texts word by word with a tokenizer file that drops white space."""
 
@@ -56,23 +92,40 @@ class WordEncoder:
         first = (pre.get("pretokenizers") or [pre])[0]
         self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "\\s" in str(first.get("pattern"))
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words = _Pieces(self._word, self.dtype)
+        self.merges, self.words, self.plain = self.library.model.tokenize, _Words(self), False
         norm = [x.get("type") for x in (model.get("normalizer") or {}).get("normalizers", ())]
         second = (pre.get("pretokenizers") or [{}])[-1]
-        self.plain = norm == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+" in (first.get("pattern") or {}).get("Regex", "") and second.get("type") == "ByteLevel" and not second.get("use_regex") and not second.get("add_prefix_space")
+        plain = norm == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+" in (first.get("pattern") or {}).get("Regex", "") and second.get("type") == "ByteLevel" and not second.get("use_regex") and not second.get("add_prefix_space")
         self.symbols = {b: c for c, b in byte_symbols().items()}
-        self.plain = self.plain and all(self._word(w) == self.ids(w) for w in ("a", "The", "word,", "straße.", "Été", "ÀÇÑÖ|", "don't", "x1", "naïve***"))
-
-    def _word(self, word: str) -> list[int]:
-        """Ids of a word. Letters of the Latin blocks lower-case one by one and are one piece, and a mark after a letter is another, so these need the merges only."""
-        if self.plain and len(word) < 200:
-            if len(word) > 1 and word[-1] in MARKS and word[-2].isalpha():
-                return np.frombuffer(self.words[word[:-1]] + self.words[word[-1]], dtype=self.dtype).tolist()
-            if word.isalpha() and max(word) < "\u0250":
-                low = word.lower()
-                if low.isalpha():
-                    return [t.id for t in self.library.model.tokenize(low.encode().decode("latin-1").translate(self.symbols))]
-        return self.ids(word)
+        self.pieces = self._decoder_table(model)
+        probes = ("a", "The", "word,", "straße.", "Été", "ÀÇÑÖ|", "don't", "x1", "naïve***")
+        want = [self.words[w] for w in probes]
+        self.words.clear()
+        self.plain = plain
+        self.plain = plain and [self.words[w] for w in probes] == want
+        self.words.clear()
+
+    def _decoder_table(self, model: dict):
+        """Bytes of all tokens, each with a space after it, one after the other, where each starts, and their lengths, if the file names no decoder, so that tokens are joined by spaces; else None."""
+        if model.get("decoder"):
+            return None
+        size = self.library.get_vocab_size()
+        tokens = [self.library.id_to_token(i) for i in range(size)]
+        if None in tokens:
+            return None
+        own = [t.encode() + b" " for t in tokens]
+        length = np.array([len(x) for x in own], dtype=np.int64)
+        table = np.frombuffer(b"".join(own), dtype=np.uint8), np.cumsum(length) - length, length
+        probe = self.ids("Naïve 東京 don't <|endoftext|> x1, é") + [0, size - 1]
+        return table if self.joined(probe, table).decode() == self.library.decode(probe, skip_special_tokens=False) else None
+
+    @staticmethod
+    def joined(ids, table) -> bytes:
+        """The bytes of the tokens, with spaces between."""
+        buf, start, length = table
+        n = length[ids]
+        end = np.cumsum(n)
+        return buf[np.repeat(start[ids] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)][:-1].tobytes()
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -320,7 +373,10 @@ def wide(ids: bytes, width: int) -> bytes:
 
 def decoded(ids: bytes, enc: WordEncoder) -> str:
     """The library's decode, special tokens kept."""
-    return enc.library.decode(np.frombuffer(ids, enc.dtype).tolist(), skip_special_tokens=False)
+    own = np.frombuffer(ids, enc.dtype)
+    if enc.pieces is not None:
+        return enc.joined(own, enc.pieces).decode()
+    return enc.library.decode(own.tolist(), skip_special_tokens=False)
 
 
 def decode(encoded: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:

@@ -2,18 +2,20 @@
 
 1. Each text becomes a hashed vector of its words, projected to ``DIMS`` signs-of-hash sums and
    squashed to ``BITS`` bits a dimension; the Hilbert index of that cell is its key.
-2. The texts are range-sorted by (key, doc_id) and encoded where they then lie. The encoded
-   table, with each document's place within its partition, is written to the shared folder.
-3. One row for each partition gives where its tokens start in the whole stream. Documents are
+2. The texts are range-sorted by the key, and by a hash of doc_id where keys are equal, and encoded where
+   they then lie. Borders of the ranges come from a sample of at most ``SAMPLE`` rows, so that keys are computed once;
+   they decide how even the ranges are, not the result. The encoded table, with each document's place
+   within its range, is written to the shared folder.
+3. One row for each range gives where its tokens start in the whole stream. Documents are
    cut where the stream passes a multiple of the sequence length, so neighbours on the curve
    share sequences and only the very last sequence is padded.
 
-Copies have equal keys; doc_id as second sort key lets range partitioning split even a key
-that holds a third of all rows. Nothing but the per-partition totals leaves the executors.
+Copies have equal keys; the hash of doc_id lets ranges split even a key that holds a third of all
+rows. Nothing but the sample and the totals of ranges leaves the executors.
 
 Defined results: a null text counts as empty and gives one piece, its closing id; a text of any
 length is cut into as many sequences as it fills; repeated rows are packed each; the order of
-rows equal in key and doc_id is arbitrary but each id lies in exactly one piece; a null doc_id is packed
+rows equal in key and hash is arbitrary but each id lies in exactly one piece; a null doc_id is packed
 too; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
@@ -28,12 +30,12 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import forget, parallel, table, written
 from lumenframe.llm.kernels import MIX_1, U64, blocks, mix, word_hashes
-from lumenframe.llm.moving import buckets_for, text_bytes
+from lumenframe.llm.moving import buckets_for
 from lumenframe.llm.tokens import byte_encoder
 
 DIMS, BITS = 4, 8
-#: Bytes of text in a range.
-RANGE = 32 << 20
+#: Bytes of text in a range, and most rows of the sample from which borders are taken.
+RANGE, SAMPLE = 32 << 20, 1_000_000
 
 
 def projections(texts: list[bytes]) -> np.ndarray:
@@ -78,9 +80,9 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def with_keys(docs: DataFrame, keep: list[str]) -> DataFrame:
-    src = parallel(docs.select(*dict.fromkeys([*keep, "text"])))
-    fields = [f"`{c}` {src.schema[c].dataType.simpleString()}" for c in src.columns]
+def with_keys(docs: DataFrame, bounds: np.ndarray | None = None) -> DataFrame:
+    """doc_id, text, curve_key, sort_key (the curve's key, then bits of a hash of doc_id) and the number of its range, of docs (doc_id, tie, text)."""
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "text"))
 
     def run(batches):
         forget("byte")
@@ -88,35 +90,49 @@ def with_keys(docs: DataFrame, keep: list[str]) -> DataFrame:
             for part in (b.slice(x, 2000) for x in range(0, b.num_rows, 2000)):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
                 key = hilbert(projections(raw))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key)], names=[*part.schema.names, "curve_key"])
+                own = (key << 31) | (part.column("tie").to_numpy().view(np.uint64) >> U64(33)).astype(np.int64)
+                where = np.searchsorted(bounds, own, side="right") if bounds is not None else np.zeros(len(own), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(key), pa.array(own), pa.array(where.astype(np.int32))], names=["doc_id", "text", "curve_key", "sort_key", "range_no"])
 
-    return src.mapInArrow(run, ", ".join([*fields, "curve_key long"]))
+    return docs.mapInArrow(run, f"{fields}, curve_key long, sort_key long, range_no int")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids (packed), ids_crc32, doc_tokens, sequence_id, offset, curve_key of docs (doc_id, text)."""
     spark = docs.sparkSession
-    # The number of ranges follows the bytes of text.
-    parts = partitions or buckets_for(text_bytes(docs), RANGE, int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sorted_docs = with_keys(docs, ["doc_id"]).repartitionByRange(parts, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id").withColumn("part", F.spark_partition_id())
+    src = parallel(docs.select("doc_id", F.xxhash64("doc_id").alias("tie"), "text"))
+    # The number of ranges follows the bytes of text; several fall to a partition.
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    parts = partitions or buckets_for(size or 0, RANGE, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = min(100 * 4 * parts, SAMPLE)
+    share = min(1.0, wanted / max(rows, 1))
+    sample = with_keys(src.where(F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))))
+    cuts = [i / (4 * parts) for i in range(1, min(4 * parts, SAMPLE // 100))]
+    bounds = np.unique(np.array(sample.agg(F.percentile_approx("sort_key", cuts, 100_000)).first()[0] or [], dtype=np.int64)) if cuts else np.empty(0, dtype=np.int64)
+    sorted_docs = with_keys(src, bounds).repartitionById(parts, F.col("range_no") % parts).sortWithinPartitions("range_no", "sort_key")
 
     def encode(batches):
         enc = byte_encoder(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        before = 0
+        now, before = None, 0
         for b in batches:
             for part in (b.slice(x, 500) for x in range(0, b.num_rows, 500)):
                 ids = [enc.packed(t or "") + end for t in part.column("text").to_pylist()]
                 n = np.array([len(x) // enc.width for x in ids], dtype=np.int64)
-                place = before + np.cumsum(n) - n
-                before += int(n.sum())
+                upto, own = np.cumsum(n) - n, part.column("range_no").to_numpy()
+                # Places start anew with each range.
+                new = np.flatnonzero(np.concatenate([[own[0] != now], own[1:] != own[:-1]]))
+                place = upto + before
+                for s in new.tolist():
+                    place[s:] = upto[s:] - upto[s]
+                now, before = own[-1], int(place[-1] + n[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("part"), part.column("doc_id"), part.column("curve_key"), pa.array(place), pa.array(n), pa.array(ids, pa.binary())], names=["part", "doc_id", "curve_key", "place", "n", "ids"]
+                    [part.column("range_no"), part.column("doc_id"), part.column("curve_key"), pa.array(place), pa.array(n), pa.array(ids, pa.binary())], names=["part", "doc_id", "curve_key", "place", "n", "ids"]
                 )
 
-    encoded = written(sorted_docs.mapInArrow(encode, f"part int, doc_id {id_type}, curve_key long, place long, n long, ids binary"), "packing-encoded")
-    # A row for each partition, however many documents there are.
+    encoded = written(sorted_docs.select("range_no", "doc_id", "curve_key", "text").mapInArrow(encode, f"part int, doc_id {id_type}, curve_key long, place long, n long, ids binary"), "packing-encoded")
+    # A row for each range, however many documents there are.
     totals = encoded.groupBy("part").agg(F.sum("n").alias("total"))
     firsts = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("first"))
     placed = encoded.join(F.broadcast(firsts), "part").withColumn("place", F.col("place") + F.coalesce("first", F.lit(0))).drop("part", "first")
@@ -151,5 +167,5 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, p
 def op1_packing(spark, sf_dir):
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")

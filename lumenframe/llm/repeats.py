@@ -363,11 +363,23 @@ def repeated_spans(windows: DataFrame, partitions: int, width: int, n_text: int)
                     docs.append(t.column("doc_id").to_numpy())
                     starts.append(t.column("start").to_numpy())
                     texts.extend(t.column("run").to_pylist())
+                key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
+                del keys, docs, starts
+                # Of equal runs only that of the smallest document is sorted; the others go whole.
+                known: dict[bytes, int] = {}
+                for r in np.argsort(doc, kind="stable").tolist():
+                    known.setdefault(texts[r], r)
+                gone = doc[np.array([known[x] for x in texts], dtype=np.int64)] < doc
+                if gone.any():
+                    out = pa.RecordBatch.from_arrays([pa.array(key[gone]), pa.array(at[gone]), pa.array(np.array([len(texts[r]) for r in np.flatnonzero(gone)], dtype=np.int32))], names=["text_key", "start", "length"])
+                    yield from blocks_by_bucket(out, id_bucket(key[gone], n_text), 0)
+                    texts = [texts[r] for r in np.flatnonzero(~gone).tolist()]
+                    key, doc, at = key[~gone], doc[~gone], at[~gone]
+                del known
                 size = np.array([len(x) for x in texts], dtype=np.int64)
                 buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
                 del texts
-                key, at, rank = np.concatenate(keys), np.concatenate(starts).astype(np.int64), np.unique(np.concatenate(docs), return_inverse=True)[1].astype(np.int32)
-                del keys, docs, starts
+                at, rank = at.astype(np.int64), np.unique(doc, return_inverse=True)[1].astype(np.int32)
                 # A window is told by its run and its place; ids count by rank only.
                 count, begin = size - width + 1, np.cumsum(size) - size
                 run_of = np.repeat(np.arange(len(size), dtype=np.int32), count)
