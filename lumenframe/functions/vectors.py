@@ -72,3 +72,51 @@ def ranked(a: Column, k: int) -> Column:
     """The k largest entries as (value, index), ties by index."""
     pairs = F.transform(a, lambda x, i: F.struct((-x).alias("neg"), i.alias("idx")))
     return F.transform(F.slice(F.sort_array(pairs), 1, k), lambda p: F.struct((-p["neg"]).alias("value"), p["idx"].alias("idx")))
+
+
+def axpy(alpha: float, a: Column, b: Column) -> Column:
+    """alpha a + b."""
+    return F.zip_with(a, b, lambda x, y: alpha * x + y)
+
+
+def powx(a: Column, exponent: float) -> Column:
+    return F.transform(a, lambda x: F.pow(x, F.lit(exponent)))
+
+
+def sign(a: Column) -> Column:
+    return F.transform(a, lambda x: F.signum(x))
+
+
+def intersection_distance(a: Column, b: Column) -> Column:
+    """1 - sum of minima over the lesser sum of two histograms."""
+    return 1 - total(F.zip_with(a, b, lambda x, y: F.least(x, y))) / (F.least(total(a), total(b)) + 1e-6)
+
+
+def weighted_distances(a: Column, b: Column, variances: Column, inverse: list[list[float]], p: float = 3.0) -> dict[str, Column]:
+    """Dissimilarities with a parameter: Minkowski (without the root), standardised Euclidean (squared) and Mahalanobis (squared)."""
+    gap = F.zip_with(a, b, lambda x, y: x - y)
+    rows = F.array(*(F.array(*map(F.lit, r)) for r in inverse))
+    return {
+        "minkowski": total(F.transform(gap, lambda x: F.pow(F.abs(x), F.lit(p)))),
+        "seuclidean": total(F.zip_with(gap, variances, lambda x, v: x * x / v)),
+        "mahalanobis": total(F.zip_with(gap, F.transform(rows, lambda r: dot(r, gap)), lambda x, y: x * y)),
+    }
+
+
+def bool_distances(a: Column, b: Column) -> dict[str, Column]:
+    """Dissimilarities of two arrays of truth values; those of equal arrays are 0 where a denominator vanishes."""
+    count = lambda f: F.aggregate(F.zip_with(a, b, lambda x, y: F.when(f(x, y), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    n, both, differ, first = F.size(a), count(lambda x, y: x & y), count(lambda x, y: x != y), count(lambda x, y: x & ~y)
+    none = n - both - differ
+    over = lambda x, y: F.when(y == 0, 0.0).otherwise(x / F.nullif(y, F.lit(0)))
+    crossed = first * (differ - first)
+    return {
+        "yule": over(2 * crossed, crossed + both * none),
+        "matching": differ.cast("double"),
+        "dice": over(differ, differ + 2 * both),
+        "rogerstanimoto": over(2 * differ, differ + n),
+        "russellrao": (n - both).cast("double"),
+        "sokalsneath": over(2 * differ, both + 2 * differ),
+        "kulsinski": 1 - (over(both, both + first) + over(both, both + differ - first)) / 2,
+        "jaccard_bool": over(differ, differ + both),
+    }
