@@ -128,3 +128,82 @@ def components(edges: DataFrame) -> DataFrame:
         if now == total:
             return labels
         total = now
+
+
+def meaningful(points: np.ndarray, steps: list[tuple[int, int, float, int]]) -> list[list[int]]:
+    """The clusters of a dendrogram that are most meaningful in their branches: with the least number of false alarms."""
+    n = len(points)
+    low, high, members, best, chosen, nfa = [], [], [], [], [], []
+    box = lambda i: (points[i], points[i]) if i < n else (low[i - n], high[i - n])
+    for a, b, _, _ in steps:
+        (la, ha), (lb, hb) = box(a), box(b)
+        low.append(np.minimum(la, lb))
+        high.append(np.maximum(ha, hb))
+        members.append([x for i in (a, b) for x in ([i] if i < n else members[i - n])])
+    volume = [min(float(np.prod(h - o)) or 0.001, 0.999999) for o, h in zip(low, high, strict=True)]
+    for k, (a, b, _, size) in enumerate(steps):
+        own = log_nfa(n, size, volume[k])
+        nfa.append(own)
+        below = [i - n for i in (a, b) if i >= n]
+        least = min((best[i] for i in below), default=np.inf)
+        alone = sum(nfa[i] for i in below) + (len(below) == 1)
+        if not below or (own < least and (own < alone or len(below) == 2)):
+            best.append(own)
+            chosen.append([k])
+        else:
+            best.append(min(own, least))
+            chosen.append([c for i in below for c in chosen[i]])
+    return [members[c] for c in chosen[-1]] if chosen else []
+
+
+def meaningful_clusters(rows: DataFrame, key: str, order: str, features: list[str], method: str = "single") -> DataFrame:
+    """key, order, cluster of the members of meaningful clusters; features lie between 0 and 1; groups are images, of bounded size."""
+    kind, okind = rows.schema[key].dataType.simpleString(), rows.schema[order].dataType.simpleString()
+    g = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, F.array(*(F.col(c).cast("double") for c in features)).alias("x")))).alias("r"))
+    g = g.select(key, F.transform("r", lambda e: e[order]).alias("o"), F.transform("r", lambda e: e["x"]).alias("x"))
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for k, o, x in zip(pdf[key], pdf["o"], pdf["x"], strict=True):
+                p = np.stack(x)
+                out += [(k, o[i], c) for c, own in enumerate(meaningful(p, merge_steps(p, method))) for i in own]
+            yield pd.DataFrame(out, columns=[key, order, "cluster"])
+
+    return g.mapInPandas(run, f"{key} {kind}, {order} {okind}, cluster int")
+
+
+def evidence_clusters(rows: DataFrame, cluster: str, item: str, least: int) -> DataFrame:
+    """node, component: items clustered anew by single linkage of those that at least ``least`` clusters hold together."""
+    from lumenframe.operators.matching import cooccurrence
+
+    pairs = cooccurrence(rows, cluster, item).where(F.col("n") >= least).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    items = rows.select(F.col(item).alias("a")).distinct()
+    return components(pairs.unionByName(items.select("a", F.col("a").alias("b"))))
+
+
+def learned_components(rows: DataFrame, features: str, k: int) -> tuple[list[float], list[list[float]]]:
+    """Mean and the first k principal directions, by Spark's own learner; each direction's largest entry is positive."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    v = rows.select(array_to_vector(doubles(F.col(features))).alias("v"))
+    mean = v.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
+    pc = PCA(k=k, inputCol="v", outputCol="c").fit(v).pc.toArray().T
+    pc = pc * np.sign(pc[np.arange(len(pc)), np.abs(pc).argmax(1)])[:, None]
+    return mean.tolist(), pc.tolist()
+
+
+def pca_decoded(rows: DataFrame, mean: list[float], vectors: list[list[float]]) -> DataFrame:
+    """Adds decoded: the vector that a code stands for."""
+    out = F.array(*map(F.lit, mean))
+    for i, v in enumerate(vectors):
+        part = F.transform(F.array(*map(F.lit, v)), lambda y: F.col("code")[i] * y)  # noqa: B023
+        out = F.zip_with(out, part, lambda x, y: x + y)
+    return rows.withColumn("decoded", out)
+
+
+def vocabulary(rows: DataFrame, features: str, words: int, seed: int = 1) -> list[list[float]]:
+    """Centres of a k-means vocabulary, in a fixed order."""
+    return sorted(c.tolist() for c in kmeans(rows, features, words, seed).clusterCenters())

@@ -33,6 +33,13 @@ def proposals(boxes: DataFrame, width: int, height: int, share: float = 0.2, lea
     return boxes.withColumns(clamped(width, height)).where((w >= side) & (h >= side) & (w >= low * h) & (w <= high * h))
 
 
+def detector_output(boxes: DataFrame, width: int, height: int, most: int, confidence: float = 0.2, share: float = 0.1, least: int = 32) -> DataFrame:
+    """The ``most`` best boxes of each image with some confidence, of plausible size and shape after clipping; adds rank."""
+    from lumenframe.operators.ranking import top
+
+    return top(proposals(boxes.where(F.col("score") >= confidence), width, height, share, least, 0.125, 8.0), most)
+
+
 def steady_groups(rows: DataFrame, key: str, value: str, most: float = 0.5) -> DataFrame:
     """Groups whose coefficient of variation, with the population's deviation, is at most ``most``."""
     g = rows.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count("*").alias("n"))

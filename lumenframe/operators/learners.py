@@ -132,3 +132,126 @@ def two_way_cut(weights: np.ndarray) -> np.ndarray:
         if value < best:
             best, side = value, a
     return side
+
+
+def kernel(features: Column, vector: Column, kind: str = "rbf", gamma: float = 1.0, coef0: float = 0.0, degree: int = 3) -> Column:
+    """Kernel of two vectors: linear, polynomial, radial basis or sigmoid."""
+    from lumenframe.functions.vectors import dot, total
+
+    if kind == "rbf":
+        return F.exp(-gamma * total(F.zip_with(features, vector, lambda x, y: (x - y) * (x - y))))
+    z = dot(features, vector)
+    return {"linear": lambda: z, "poly": lambda: F.pow(gamma * z + coef0, F.lit(float(degree))), "sigmoid": lambda: F.tanh(gamma * z + coef0)}[kind]()
+
+
+def decision_values(rows: DataFrame, key: str, features: str, vectors: DataFrame, rho: float, **how) -> DataFrame:
+    """key, value: the sum of coefficients times kernels over a table of support vectors (coef, vector), less rho.
+
+    Every row meets every vector: the model is a bounded table, whose size Spark checks before it is broadcast.
+    """
+    x = rows.select(key, doubles(F.col(features)).alias("f")).join(vectors.select("coef", "vector"), how="cross")
+    return x.groupBy(key).agg((F.sum(F.col("coef") * kernel(F.col("f"), F.col("vector"), **how)) - rho).alias("value"))
+
+
+def stump_votes(rows: DataFrame, stumps: list[tuple[str, float, float, float]]) -> Column:
+    """Sum of the votes of boosted stumps (feature, cut, vote at most the cut, vote above)."""
+    out = F.lit(0.0)
+    for c, cut, low, high in stumps:
+        out = out + F.when(F.col(c) <= cut, low).otherwise(high)
+    return out
+
+
+def boosted_stumps(rows: DataFrame, features: list[str], label: str, rounds: int = 5, cuts: int = 16) -> list[tuple[str, float, float, float]]:
+    """Gentle boosting: each round takes the stump with the least weighted squared error; label is -1 or 1.
+
+    Cuts are quantiles, a bounded array; a round is one aggregation over the table.
+    """
+    q = rows.agg(*(F.percentile_approx(c, [i / (cuts + 1) for i in range(1, cuts + 1)], 10_000).alias(c) for c in features)).first()
+    candidates = [(c, float(v)) for c in features for v in sorted(set(q[c] or []))]
+    y, chosen = F.col(label).cast("double"), []
+    for _ in range(rounds):
+        w = F.exp(-y * stump_votes(rows, chosen))
+        aggs = []
+        for i, (c, v) in enumerate(candidates):
+            low = F.col(c) <= v
+            aggs += [F.sum(F.when(low, w)).alias(f"w{i}"), F.sum(F.when(low, w * y)).alias(f"y{i}")]
+        r = rows.agg(F.sum(w).alias("w"), F.sum(w * y).alias("y"), *aggs).first()
+        best = None
+        for i, (c, v) in enumerate(candidates):
+            wl, yl = r[f"w{i}"] or 0.0, r[f"y{i}"] or 0.0
+            wh, yh = r["w"] - wl, r["y"] - yl
+            a, b = (yl / wl if wl > 1e-12 else 0.0), (yh / wh if wh > 1e-12 else 0.0)
+            gain = a * yl + b * yh
+            if best is None or gain > best[0] + 1e-12:
+                best = gain, (c, v, a, b)
+        if best is None:
+            break
+        chosen.append(best[1])
+    return chosen
+
+
+# Usual settings of the update rules.
+RULES = {"sgd": {"rate": 0.5, "momentum": 0.0}, "momentum": {"rate": 0.1, "momentum": 0.9}, "nesterov": {"rate": 0.1, "momentum": 0.9}, "adagrad": {"rate": 0.5}, "rmsprop": {"rate": 0.05, "decay": 0.9}, "adadelta": {"rate": 1.0, "decay": 0.9}, "adam": {"rate": 0.1, "b1": 0.9, "b2": 0.999}}
+
+
+def updated(rule: str, g: np.ndarray, state: dict, eps: float = 1e-6) -> np.ndarray:
+    """The step that an update rule takes against a gradient; state carries its memory."""
+    s = RULES[rule]
+    if rule in ("sgd", "momentum", "nesterov"):
+        old = state.get("v", np.zeros_like(g))
+        state["v"] = v = s["momentum"] * old + s["rate"] * g
+        return (1 + s["momentum"]) * v - s["momentum"] * old if rule == "nesterov" else v
+    if rule == "adam":
+        state["t"] = t = state.get("t", 0) + 1
+        state["m"] = s["b1"] * state.get("m", 0.0) + (1 - s["b1"]) * g
+        state["s"] = s["b2"] * state.get("s", 0.0) + (1 - s["b2"]) * g * g
+        return s["rate"] * np.sqrt(1 - s["b2"] ** t) / (1 - s["b1"] ** t) * state["m"] / (np.sqrt(state["s"]) + eps)
+    if rule == "adagrad":
+        state["s"] = state.get("s", 0.0) + g * g
+        return s["rate"] * g / (np.sqrt(state["s"]) + eps)
+    state["s"] = s["decay"] * state.get("s", 0.0) + (1 - s["decay"]) * g * g
+    if rule == "rmsprop":
+        return s["rate"] * g / (np.sqrt(state["s"]) + eps)
+    step = np.sqrt((state.get("d", 0.0) + eps) / (state["s"] + eps)) * g
+    state["d"] = s["decay"] * state.get("d", 0.0) + (1 - s["decay"]) * step * step
+    return s["rate"] * step
+
+
+def solved(rows: DataFrame, features: list[str], label: str, rule: str = "adam", steps: int = 20) -> list[float]:
+    """Weights, with the intercept last, of a logistic model (label 0 or 1) after full-batch steps of an update rule; a step is one aggregation."""
+    w, state = np.zeros(len(features) + 1), {}
+    for _ in range(steps):
+        z = sum((F.col(c) * float(v) for c, v in zip(features, w[:-1], strict=True)), F.lit(float(w[-1])))
+        gap = 1 / (1 + F.exp(-z)) - F.col(label)
+        g = rows.agg(*(F.avg(gap * F.col(c)) for c in features), F.avg(gap)).first()
+        w = w - updated(rule, np.array([x or 0.0 for x in g], dtype=float), state)
+    return w.tolist()
+
+
+def normalised_cuts(affinity: DataFrame, key: str, most: float = 0.5, least: int = 2) -> DataFrame:
+    """key, node, part: recursive two-way cuts of the affinities (key, i, j, w) of small groups, while the cut value is at most ``most`` and parts keep ``least`` nodes."""
+    kind = affinity.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted({*pdf["i"].tolist(), *pdf["j"].tolist()})
+        at = {v: k for k, v in enumerate(nodes)}
+        w = np.zeros((len(nodes), len(nodes)))
+        for i, j, v in zip(pdf["i"].tolist(), pdf["j"].tolist(), pdf["w"].tolist(), strict=True):
+            w[at[i], at[j]] = w[at[j], at[i]] = v
+        part, todo = np.zeros(len(nodes), dtype=int), [np.arange(len(nodes))]
+        while todo:
+            own = todo.pop()
+            if len(own) < 2 * least:
+                continue
+            sub = w[np.ix_(own, own)]
+            side = two_way_cut(sub)
+            a, b = own[side], own[~side]
+            cut, d = sub[side][:, ~side].sum(), sub.sum(1)
+            value = cut / max(d[side].sum(), 1e-12) + cut / max(d[~side].sum(), 1e-12)
+            if min(len(a), len(b)) >= least and value <= most:
+                new = b if own[0] in a else a
+                part[new] = part.max() + 1
+                todo += [a, b]
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(nodes), "node": nodes, "part": part})
+
+    return affinity.select(key, "i", "j", "w").groupBy(key).applyInPandas(run, f"{key} {kind}, node long, part int")

@@ -30,3 +30,11 @@ def with_default(rows: DataFrame, images: DataFrame, width: int, height: int, la
     fill = {"label": F.lit(label), "score": F.lit(0.0), "x1": F.lit(0), "y1": F.lit(0), "x2": F.lit(width - 1), "y2": F.lit(height - 1)}
     x = images.select("image_id").join(rows, "image_id", "left")
     return x.withColumns({c: F.coalesce(c, v) for c, v in fill.items()})
+
+
+def representatives(rows: DataFrame, key: str, cluster: str, order: str, score: str, n: int) -> DataFrame:
+    """key, cluster, first (least order) and best (highest score, then least order) of clusters 0 to n - 1; an empty cluster gives the last of its group."""
+    own = rows.groupBy(key, cluster).agg(F.min(order).alias("first"), F.max(F.struct(F.col(score), (-F.col(order)).alias("neg"))).alias("m"))
+    last = rows.groupBy(key).agg(F.max(order).alias("last")).withColumn(cluster, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    x = last.join(own, [key, cluster], "left")
+    return x.select(key, cluster, F.coalesce("first", "last").alias("first"), F.coalesce(-F.col("m.neg"), F.col("last")).alias("best"))

@@ -37,3 +37,91 @@ def sampled_proposals(matched: DataFrame, high: float = 0.7, low: float = 0.3) -
 def bounding(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rectangle around the boxes of each group."""
     return rows.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n"))
+
+
+def blob_shapes(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Area, centroid and eccentricity of each component, from the moments of its pixels (x, y)."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    g = pixels.groupBy(*keys).agg(F.count("*").alias("area"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    n = F.col("area")
+    g = g.withColumns({"cx": F.col("sx") / n, "cy": F.col("sy") / n})
+    g = g.withColumns({"m20": F.col("sxx") - F.col("cx") * F.col("sx"), "m02": F.col("syy") - F.col("cy") * F.col("sy"), "m11": F.col("sxy") - F.col("cx") * F.col("sy")})
+    half, room = (F.col("m20") + F.col("m02")) / 2, F.sqrt(4 * F.col("m11") * F.col("m11") + (F.col("m20") - F.col("m02")) * (F.col("m20") - F.col("m02"))) / 2
+    # Rounding may leave a share a little above one.
+    share = F.coalesce((half - room) / F.nullif(half + room, F.lit(0.0)), F.lit(1.0))
+    return g.select(*keys, "area", "cx", "cy", F.sqrt(F.greatest(1 - share, F.lit(0.0))).alias("eccentricity"))
+
+
+def hull_area(points: list[tuple[int, int]]) -> float:
+    """Area of the convex hull, by the two chains of points in order."""
+    p = sorted(set(points))
+    if len(p) < 3:
+        return 0.0
+
+    def chain(q):
+        out = []
+        for r in q:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (r[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (r[0] - out[-2][0]):
+                out.pop()
+            out.append(r)
+        return out[:-1]
+
+    h = chain(p) + chain(p[::-1])
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(h, h[1:] + h[:1], strict=True))) / 2
+
+
+def solidity(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Area over the area of the hull of the pixels' centres; null for components without a hull. A component is a group of its own."""
+    import pandas as pd
+
+    first_last = pixels.groupBy(*keys, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    # Only the ends of each row of pixels can be corners.
+    kinds = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = hull_area([*zip(pdf["lo"].tolist(), pdf["y"].tolist(), strict=True), *zip(pdf["hi"].tolist(), pdf["y"].tolist(), strict=True)])
+        return pd.DataFrame([[*pdf[keys].iloc[0].tolist(), int(pdf["n"].sum()), int(pdf["n"].sum()) / a if a else None]], columns=[*keys, "area", "solidity"])
+
+    return first_last.groupBy(*keys).applyInPandas(run, f"{kinds}, area long, solidity double")
+
+
+def labelled_blobs(pixels: DataFrame, key: str, diagonal: bool = True) -> DataFrame:
+    """key, x, y, blob: components of the set pixels (x, y) of small images under 4 or 8 neighbours; isolated pixels are left out."""
+    import pandas as pd
+
+    kind = pixels.schema[key].dataType.simpleString()
+    steps = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if diagonal else [])]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = {p: i for i, p in enumerate(sorted(set(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))))}
+        up = list(range(len(at)))
+
+        def root(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        met = set()
+        for (y, x), i in at.items():
+            for dx, dy in steps:
+                j = at.get((y + dy, x + dx))
+                if j is not None:
+                    a, b = sorted((root(i), root(j)))
+                    up[b] = a
+                    met |= {i, j}
+        rows = [(pdf[key].iloc[0], x, y, root(i)) for (y, x), i in at.items() if i in met]
+        return pd.DataFrame(rows, columns=[key, "x", "y", "blob"])
+
+    return pixels.select(key, "x", "y").groupBy(key).applyInPandas(run, f"{key} {kind}, x int, y int, blob int")
+
+
+def text_lines(rows: DataFrame, stumps: list[tuple[str, float, float, float]], key: str = "image_id", line: str = "line") -> DataFrame:
+    """key, line, n, rectangle and probability of lines of text: plausible regions with a positive boosted vote, in groups of two or more with even heights."""
+    from lumenframe.operators.learners import stump_votes
+
+    good = strokes(rows)
+    good = good.withColumn("v", stump_votes(good, stumps)).where("v > 0")
+    h = F.col("y2") - F.col("y1")
+    g = good.groupBy(key, line).agg(F.count("*").alias("n"), F.avg("v").alias("vote"), (F.stddev_pop(h) / F.avg(h)).alias("cv"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    return g.where("n >= 2 AND cv <= 0.5").select(key, line, "n", "x1", "y1", "x2", "y2", F.round(vote_probability("vote"), 6).alias("p"))

@@ -20,12 +20,24 @@ def differences(a: str, b: str) -> tuple[Column, Column]:
 
 
 def near_duplicates(rows: DataFrame, partial: int = PARTIAL, total: int = TOTAL, dims: int = 32) -> DataFrame:
-    """id, duplicate_of: for each row the first earlier row of its bucket that is within both limits."""
-    r = rows.withColumn("code", code(dims=dims))
-    a = r.select("code", F.col("id").alias("duplicate_of"), F.col("feat").alias("f1"))
-    p = r.join(a, "code").where("duplicate_of < id")
+    """id, duplicate_of: for each row the first earlier row of its bucket that is within both limits.
+
+    Equal signatures are one, with their first row, so copies meet no copies; the bucket join of what is left is
+    split by Spark where a bucket is large.
+    """
+    one = rows.groupBy("feat").agg(F.min("id").alias("first")).withColumn("code", code(dims=dims))
+    other = one.select("code", F.col("first").alias("duplicate_of"), F.col("feat").alias("f1"))
     most, s = differences("feat", "f1")
-    return p.where((most <= partial) & (s <= total)).groupBy("id").agg(F.min("duplicate_of").alias("duplicate_of"))
+    near = one.join(other, "code").where("duplicate_of <= first").where((most <= partial) & (s <= total))
+    best = near.groupBy("feat").agg(F.min("duplicate_of").alias("duplicate_of"))
+    return rows.select("id", "feat").join(best, "feat").where("duplicate_of < id").select("id", "duplicate_of")
+
+
+def same_picture(cld: str, ehd: str, other_cld: str, other_ehd: str, near: int = 30, texture_near: int = 170) -> Column:
+    """2 if colour codes differ by at most 10 each and 32 in all, 1 if colour and texture are not far apart, else 0."""
+    most, s = differences(cld, other_cld)
+    _, texture = differences(ehd, other_ehd)
+    return F.when((most <= 10) & (s <= 32), 2).when((s <= near) & (texture <= texture_near), 1).otherwise(0)
 
 
 def better_copy(q1: str, q2: str) -> Column:
