@@ -144,3 +144,42 @@ def dictionary_report(rows: DataFrame, label: str) -> DataFrame:
     g = rows.groupBy(label).agg(F.count("*").alias("n"))
     w = Window.orderBy(label)
     return g.select((F.row_number().over(w) - 1).alias("ord"), label, "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4).alias("share"))
+
+
+def vendor_points(lines: DataFrame, width: int, height: int, stride: int = 219) -> DataFrame:
+    """path, k and five points (left eye, right eye, nose, corners of the mouth) of lines ``path n`` and n groups of stride tokens.
+
+    A face with a point outside the image is bad, and one bad face discards the whole line.
+    """
+    # Offsets of the x of the five points, counted from the start of the line.
+    starts = (217, 219, 101, 177, 209)
+    x = lines.withColumn("t", tokens("value")).withColumn("n", prefix_number(F.col("t")[1], "int")).where("n >= 1")
+    at = lambda k, i: F.floor(F.coalesce(F.try_element_at(F.col("t"), i + k * stride + 1).try_cast("double"), F.lit(-1.0)) + 0.5).cast("int")
+    points = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.array(*(at(k, F.lit(s + j)) for s in starts for j in (0, 1))))
+    x = x.select(F.col("t")[0].alias("path"), points.alias("faces"))
+    good = F.forall("faces", lambda p: F.forall(F.transform(p, lambda v, i: (v >= 0) & (v < F.when(i % 2 == 0, width).otherwise(height))), lambda ok: ok))
+    return x.where(good).select("path", F.posexplode("faces").alias("k", "points"))
+
+
+def box_files(lists: DataFrame, boxes: DataFrame, classes: DataFrame) -> DataFrame:
+    """part, name, ord, class_id and corners: lists (part, ord, name) of train and test images, files of boxes (name, value) with lines ``- {bndbox: [x1, y1, x2, y2], name: label}``, and class names (ord, label)."""
+    line = r"bndbox:\s*\[\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*\]\s*,\s*name:\s*([^}\s]+)"
+    rows = boxes.select("name", F.posexplode(F.filter(F.split("value", "\n"), lambda s: s.rlike(line))).alias("k", "s"))
+    rows = rows.select("name", "k", F.regexp_extract("s", line, 5).alias("label"), *(F.regexp_extract("s", line, i + 1).cast("int").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))))
+    ids = classes.select("label", F.col("ord").alias("class_id"))
+    return lists.join(rows, "name").join(ids, "label").select("part", "name", "k", "class_id", "x1", "y1", "x2", "y2")
+
+
+def roi_lines(truth: DataFrame, proposals: DataFrame, key: str = "image_id") -> DataFrame:
+    """key and ``id n`` with n times four corners: truths first, then proposals, each by ord."""
+    side = lambda df, first: df.select(key, F.lit(first).alias("part"), "ord", "x1", "y1", "x2", "y2")
+    one = F.concat_ws(" ", *(F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")))
+    g = side(truth, 0).unionByName(side(proposals, 1)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "ord", one.alias("s")))).alias("d"))
+    return g.select(key, F.concat_ws(" ", F.col(key).cast("string"), F.size("d").cast("string"), F.array_join(F.transform("d", lambda x: x["s"]), " ")).alias("line"))
+
+
+def line_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines of each text: line ends, and a last line without one."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    ends = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    return texts.select(key, (ends + F.when((t == "") | t.endswith("\n"), 0).otherwise(1)).cast("long").alias("n_lines"))
