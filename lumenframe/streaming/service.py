@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.operators.signatures import PARTIAL, TOTAL
+
 
 def label_stream(items: DataFrame, label: Column, score: Column, least: float) -> DataFrame:
     """Adds label and score; what reaches no label gets null and -1."""
@@ -30,6 +32,48 @@ def post_lines(batch: DataFrame, cols: list[str]) -> DataFrame:
     return batch.agg(F.array_join(F.array_sort(F.collect_list(line)), "\\n").alias("body"))
 
 
+def new_in_stream(stream: DataFrame, key: str = "code", partial: int = PARTIAL, total: int = TOTAL) -> DataFrame:
+    """Insert-if-new over a stream of signatures (code, id, feat): a row is new if no row of its bucket so far is near; the bucket's signatures are its state.
+
+    Adds is_new and duplicate_of, the first row that it resembles. State grows with the new signatures of a bucket, as the store itself does.
+    """
+    import pandas as pd
+
+    def step(own, frames, state):
+        known_ids, known = (list(x) for x in state.get) if state.exists else ([], [])
+        for pdf in frames:
+            out = []
+            for i, f in sorted(zip(pdf["id"].tolist(), (list(map(int, x)) for x in pdf["feat"]), strict=True)):
+                hit = next((k for k, g in zip(known_ids, known, strict=True) if near(f, g)), None)
+                if hit is None:
+                    known_ids.append(i)
+                    known.append(f)
+                out.append((own[0], i, hit is None, hit))
+            yield pd.DataFrame(out, columns=[key, "id", "is_new", "duplicate_of"]).astype({"duplicate_of": "Int64"})
+        state.update((known_ids, known))
+
+    def near(a, b) -> bool:
+        d = [abs(x - y) for x, y in zip(a, b, strict=True)]
+        return max(d) <= partial and sum(d) <= total
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, id long, is_new boolean, duplicate_of long", "ids array<long>, feats array<array<int>>", "append", "NoTimeout")
+
+
+def scheduled(spark: SparkSession, pool: str):
+    """Runs the jobs of a block in a scheduler pool, of which a configuration says whether it is first in, first out or fair."""
+    import contextlib
+
+    @contextlib.contextmanager
+    def inside():
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        try:
+            yield
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    return inside()
+
+
 def first_of_each(items: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     """Insert-if-new: one row of each key, with state kept no longer than the watermark."""
     return items.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
