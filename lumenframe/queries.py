@@ -12,7 +12,7 @@ from lumenframe.functions import pixels as P
 from lumenframe.functions import text as T
 from lumenframe.functions import vectors as V
 from lumenframe.operators import cluster as C
-from lumenframe.operators import filters, histograms, labels, matching, ordering, ranking, signatures, statistics
+from lumenframe.operators import augment, filters, histograms, labels, matching, ordering, ranking, signatures, statistics
 from lumenframe.operators.nms import nms, spatial_peaks
 from lumenframe.plans import detection
 from lumenframe.session import BOXES_SQL, boxes, scratch, table
@@ -103,7 +103,7 @@ def label_map_keep(spark, d):
 SELECT image_id, ord, label, mapped FROM j WHERE image_id NOT IN (SELECT image_id FROM j WHERE mapped IS NULL)""")
 def label_map_all_or_nothing(spark, d):
     v = voc_rows(spark, d).withColumn("image_id", F.expr("image_id * 10 + ord % 10"))
-    return filters.all_or_nothing(v, F.broadcast(labels.label_map(spark)), "image_id", "label").select("image_id", "ord", "label", "mapped")
+    return filters.all_or_nothing(v, labels.label_map(spark), "image_id", "label").select("image_id", "ord", "label", "mapped")
 
 
 @query(f"""{WITH}, v AS (SELECT image_id, ord, CASE label_id WHEN 0 THEN 'cat' WHEN 1 THEN 'None' WHEN 2 THEN 'person.other' WHEN 3 THEN 'furniture.diningtable' ELSE 'animal.cow' END AS label FROM boxes)
@@ -180,7 +180,9 @@ def quota_per_label(spark, d):
     return ordering.first_per_label(e, "event_type", ["event_id"], 50)
 
 
-@query()
+@query(f"""{WITH}, q AS (SELECT label_id, image_id, row_number() OVER (PARTITION BY label_id ORDER BY image_id, ord) AS r FROM boxes WHERE score >= 0.8),
+f AS (SELECT label_id, image_id AS till FROM q WHERE r = 200), e AS (SELECT till FROM (SELECT till, row_number() OVER (ORDER BY till) AS k FROM f) WHERE k = 5)
+SELECT DISTINCT image_id FROM boxes LEFT JOIN f USING (label_id) WHERE (till IS NULL OR image_id <= till) AND image_id <= coalesce((SELECT till FROM e), 9223372036854775807)""")
 def quota_exact(spark, d):
     g = boxes(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ord", "label_id", "score"))).alias("r"))
     g = g.select("image_id", F.transform("r", lambda x: x["label_id"].cast("string")).alias("labels"), F.transform("r", lambda x: x["score"]).alias("scores"))
@@ -233,28 +235,11 @@ def box_delta_decode(spark, d):
 _jit = "SELECT image_id, ord, k, side, x1 - CASE WHEN side = 0 THEN bw ELSE 0 END AS x1, y1 - CASE WHEN side = 1 THEN bh ELSE 0 END AS y1, x2 + CASE WHEN side = 2 THEN bw ELSE 0 END AS x2, y2 + CASE WHEN side = 3 THEN bh ELSE 0 END AS y2 FROM j WHERE CASE side WHEN 0 THEN x1 - bw > 1 WHEN 1 THEN y1 - bh > 1 WHEN 2 THEN x2 + bw < {w} - 1 ELSE y2 + bh < {h} - 1 END".format(w=BIG_W, h=BIG_H)
 
 
-def jittered(b: DataFrame) -> DataFrame:
-    """Each sane box with one side moved outwards by 1 to 12 fortieths of its length, as far as it stays in the image."""
-    s = b.where(B.sane(BIG_W, BIG_H))
-    j = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    j = j.withColumns({"bw": F.expr("CAST(floor((x2 - x1) * k * 25 / 1000.0D + 0.5D) AS INT)"), "bh": F.expr("CAST(floor((y2 - y1) * k * 25 / 1000.0D + 0.5D) AS INT)")})
-    move = lambda c, side, by, sign: (F.col(c) + sign * F.when(F.col("side") == side, F.col(by)).otherwise(0)).alias(c)
-    ok = F.expr(f"CASE side WHEN 0 THEN x1 - bw > 1 WHEN 1 THEN y1 - bh > 1 WHEN 2 THEN x2 + bw < {BIG_W - 1} ELSE y2 + bh < {BIG_H - 1} END")
-    return j.where(ok).select("image_id", "ord", "k", "side", move("x1", 0, "bw", -1), move("y1", 1, "bh", -1), move("x2", 2, "bw", 1), move("y2", 3, "bh", 1))
-
-
-@query(f"""{WITH}, s AS (SELECT * FROM boxes WHERE ord <= 3 AND x2 <= {BIG_W} AND y2 <= {BIG_H} AND x2 - x1 >= 0.2 * (y2 - y1) AND y2 - y1 >= 0.2 * (x2 - x1)),
-k AS (SELECT s.*, CAST(k AS INT) AS k, CAST(side AS INT) AS side FROM s, range(1, 13) a(k), range(0, 4) b(side)),
-j AS (SELECT *, CAST(floor((x2 - x1) * k * 25 / 1000.0 + 0.5) AS INT) AS bw, CAST(floor((y2 - y1) * k * 25 / 1000.0 + 0.5) AS INT) AS bh FROM k) {_jit}""")
-def box_jitter(spark, d):
-    return jittered(boxes(spark, d).where("ord <= 3"))
-
-
 @query(f"""{WITH}, s AS (SELECT * FROM boxes WHERE x2 <= {BIG_W} AND y2 <= {BIG_H} AND x2 - x1 >= 0.2 * (y2 - y1) AND y2 - y1 >= 0.2 * (x2 - x1)),
 k AS (SELECT s.*, CAST(k AS INT) AS k, CAST(side AS INT) AS side FROM s, range(1, 13) a(k), range(0, 4) b(side)),
 j AS (SELECT *, CAST(floor((x2 - x1) * k * 25 / 1000.0 + 0.5) AS INT) AS bw, CAST(floor((y2 - y1) * k * 25 / 1000.0 + 0.5) AS INT) AS bh FROM k) {_jit}""")
-def box_jitter_all(spark, d):
-    return jittered(boxes(spark, d))
+def box_jitter(spark, d):
+    return augment.jittered(boxes(spark, d), BIG_W, BIG_H)
 
 
 _patch = f"""big AS (SELECT image_id, x1, y1, x2, y2, x2 - x1 AS w, y2 - y1 AS h FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY (x2 - x1) * (y2 - y1) DESC, ord) AS r FROM boxes) WHERE r = 1),
@@ -265,20 +250,9 @@ UNION ALL SELECT image_id, 'left', le, y1, le + w, y2 FROM e WHERE le > 0
 UNION ALL SELECT image_id, 'right', ri - w, y1, ri, y2 FROM e WHERE ri < {BIG_W}"""
 
 
-def patches(b: DataFrame, width: int, height: int) -> DataFrame:
-    """Four neighbours of the largest box of each image that share a fifth of it, as far as they lie in the image."""
-    top = b.groupBy("image_id").agg(F.max(F.struct(((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("a"), (-F.col("ord")).alias("neg"), *B.SIDES)).alias("m")).select("image_id", *(f"m.{c}" for c in B.SIDES))
-    e = top.withColumns({"w": F.expr("x2 - x1"), "h": F.expr("y2 - y1")})
-    far = {"up": "y1 - h * 8 / 10.0D", "down": "y2 + h * 8 / 10.0D", "le": "x1 - w * 8 / 10.0D", "ri": "x2 + w * 8 / 10.0D"}
-    e = e.withColumns({k: F.expr(f"CAST({v} AS INT)") for k, v in far.items()})
-    one = lambda name, ok, *c: F.when(F.expr(ok), F.struct(F.lit(name).alias("side"), *(F.expr(x).alias(k) for x, k in zip(c, B.SIDES, strict=True))))
-    all_ = F.array(one("up", "up > 0", "x1", "up", "x2", "up + h"), one("down", f"down < {height}", "x1", "down - h", "x2", "down"), one("left", "le > 0", "le", "y1", "le + w", "y2"), one("right", f"ri < {width}", "ri - w", "y1", "ri", "y2"))
-    return e.select("image_id", F.explode(F.array_compact(all_)).alias("p")).select("image_id", "p.*")
-
-
 @query(f"{WITH}, {_patch}")
 def negative_patches(spark, d):
-    return patches(boxes(spark, d), BIG_W, BIG_H)
+    return augment.patches(boxes(spark, d), BIG_W, BIG_H)
 
 
 @query(f"""{WITH}, p AS ({_patch.replace('big AS', 'SELECT * FROM (WITH big AS', 1)})), o AS (
@@ -286,7 +260,7 @@ def negative_patches(spark, d):
 SELECT image_id, side FROM o WHERE m < 0.5""")
 def negative_patches_clear(spark, d):
     b = boxes(spark, d)
-    p = patches(b, BIG_W, BIG_H).withColumn("ord", F.xxhash64("side"))
+    p = augment.patches(b, BIG_W, BIG_H).withColumn("ord", F.xxhash64("side"))
     return matching.without_overlap(p, b, 0.5, "augment").select("image_id", "side")
 
 
@@ -325,7 +299,14 @@ def nms_greedy(spark, d):
     return nms(boxes(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES_SQL}, r AS (
+  SELECT image_id, ord, score, x1 AS x, y1 AS y, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS r FROM boxes
+), walk(image_id, r, kept) AS (
+  SELECT image_id, CAST(1 AS BIGINT), [{{'ord': ord, 'score': score, 'x': x, 'y': y}}] FROM r WHERE r = 1
+  UNION ALL SELECT w.image_id, r.r, CASE WHEN len(w.kept) >= 10 OR len(list_filter(w.kept, lambda k: abs(k.x - r.x) <= 40 AND abs(k.y - r.y) <= 40)) > 0 THEN w.kept ELSE list_append(w.kept, {{'ord': r.ord, 'score': r.score, 'x': r.x, 'y': r.y}}) END
+  FROM walk w JOIN r ON r.image_id = w.image_id AND r.r = w.r + 1
+), last AS (SELECT image_id, arg_max(kept, r) AS kept FROM walk GROUP BY image_id), u AS (SELECT image_id, unnest(kept) AS k FROM last)
+SELECT image_id, k.ord AS ord, k.x AS x, k.y AS y, k.score AS score FROM u""")
 def grid_peaks(spark, d):
     return spatial_peaks(boxes(spark, d).select("image_id", "ord", "score", F.col("x1").alias("x"), F.col("y1").alias("y")), 40, 10)
 
@@ -582,15 +563,9 @@ def voc_read_back(b: DataFrame) -> DataFrame:
     return D.voc_rows(back).drop("has_size")
 
 
-@query(f"""{WITH}, i AS (SELECT image_id AS i, ord, label_id, x1, y1, x2, y2 FROM boxes WHERE ord <= 4) SELECT i || '' AS image, CAST(row_number() OVER (PARTITION BY i ORDER BY ord) - 1 AS INT) AS ord, label_id || '' AS label,
-  greatest(x1, 1) AS x1, greatest(y1, 1) AS y1, greatest(x2, 1) AS x2, greatest(y2, 1) AS y2 FROM i""")
-def voc_round_trip(spark, d):
-    return voc_read_back(boxes(spark, d).where("ord <= 4"))
-
-
 @query(f"""{WITH}, i AS (SELECT image_id AS i, ord, label_id, x1, y1, x2, y2 FROM boxes) SELECT i || '' AS image, CAST(row_number() OVER (PARTITION BY i ORDER BY ord) - 1 AS INT) AS ord, label_id || '' AS label,
   greatest(x1, 1) AS x1, greatest(y1, 1) AS y1, greatest(x2, 1) AS x2, greatest(y2, 1) AS y2 FROM i""")
-def voc_round_trip_all(spark, d):
+def voc_round_trip(spark, d):
     return voc_read_back(boxes(spark, d))
 
 
@@ -735,27 +710,17 @@ def agglomerative_clusters(spark, d):
     return C.agglomerative(b, "image_id", "ord", ["cx", "cy"], "average")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 700 AS a, l_partkey % 900 + 1000 AS b FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 23 = 0),
-x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM x UNION SELECT r.n, x.b FROM r JOIN x ON r.m = x.a)
-SELECT n AS node, min(m) AS component FROM r GROUP BY n""")
-def connected_components(spark, d):
-    e = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_suppkey % 23 = 0").select(F.expr("l_orderkey % 700").alias("a"), F.expr("l_partkey % 900 + 1000").alias("b")).distinct()
-    return C.components(e)
-
-
 @query()
-def connected_components_all(spark, d):
+def connected_components(spark, d):
     """Components of orders (even nodes, twice the key) and parts (odd nodes) over all line items."""
     e = table(spark, d, "lineitem").select(F.expr("2 * l_orderkey").alias("a"), F.expr("2 * l_partkey + 1").alias("b")).distinct()
     return C.components(e)
 
 
-@query("SELECT event_id, user_id, CASE WHEN value >= 50 THEN event_type ELSE 'null' END AS label, CASE WHEN value >= 50 THEN value ELSE -1.0 END AS score FROM events")
-def stream_label_microbatch(spark, d):
+def event_stream(spark, d) -> DataFrame:
+    """Events as a stream; a single file is named by a pattern that fits it alone."""
     path = f"{d}/events.parquet"
-    items = service.poll_stream(spark, path if not _is_file(spark, path) else f"{d}/events*.parquet", table(spark, d, "events").schema)
-    out = service.label_stream(items.select("event_id", "user_id", "event_type", "value"), F.col("event_type"), F.col("value"), 50.0).select("event_id", "user_id", "label", "score")
-    return service.run_to_end(out, scratch(spark, "stream"), scratch(spark, "stream-state"))
+    return service.poll_stream(spark, f"{d}/event[s].parquet" if _is_file(spark, path) else path, table(spark, d, "events").schema)
 
 
 def _is_file(spark, path: str) -> bool:
@@ -763,9 +728,15 @@ def _is_file(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
+@query("SELECT event_id, user_id, CASE WHEN value >= 50 THEN event_type ELSE 'null' END AS label, CASE WHEN value >= 50 THEN value ELSE -1.0 END AS score FROM events")
+def stream_label_microbatch(spark, d):
+    items = event_stream(spark, d).select("event_id", "user_id", "event_type", "value")
+    out = service.label_stream(items, F.col("event_type"), F.col("value"), 50.0).select("event_id", "user_id", "label", "score")
+    return service.run_to_end(out, scratch(spark, "stream"), scratch(spark, "stream-state"))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
-    path = f"{d}/events.parquet"
-    items = service.poll_stream(spark, path if not _is_file(spark, path) else f"{d}/events*.parquet", table(spark, d, "events").schema)
-    out = items.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+    """Insert-if-new with a watermark, which is longer here than the events span: state of older keys is dropped."""
+    out = service.first_of_each(event_stream(spark, d).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), ["user_id", "event_type"], "ts", "10000 days").select("user_id", "event_type")
     return service.run_to_end(out, scratch(spark, "stream"), scratch(spark, "stream-state"))

@@ -83,12 +83,18 @@ def platt_probability(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(learners.platt(F.col("embedding")[0].cast("double"), -4.0, 0.1), 6).alias("p"))
 
 
-@query(f"{WITH} SELECT image_id, round(quantile_cont(score, 0.5), 6) AS median_score, CAST(count(*) AS BIGINT) AS n FROM boxes GROUP BY image_id")
+@query(f"""{WITH}, s AS (SELECT image_id, list_sort(list(score)) AS v, count(*) AS n FROM boxes GROUP BY image_id)
+SELECT image_id, CASE WHEN n % 2 = 1 THEN v[least((n + 1) // 2, n - 1) + 1] ELSE (v[n // 2 + 1] + v[least(n // 2 + 1, n - 1) + 1]) / 2 END AS median_score, CAST(n AS BIGINT) AS n FROM s""")
 def median_score(spark, d):
-    return boxes(spark, d).groupBy("image_id").agg(F.round(F.percentile("score", 0.5), 6).alias("median_score"), F.count("*").alias("n"))
+    """The surveyed median: the element after the middle one, or the mean of the two after it; never beyond the last."""
+    g = boxes(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list("score")).alias("v"), F.count("*").alias("n"))
+    at = lambda i: F.col("v")[F.least(i, F.col("n") - 1).cast("int")]
+    half = F.floor(F.col("n") / 2)
+    return g.select("image_id", F.when(F.col("n") % 2 == 1, at(half + 1)).otherwise((at(half) + at(half + 1)) / 2).alias("median_score"), "n")
 
 
-@query()
+@query("""WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('7|' || o_orderkey), o_orderkey) AS n, count(*) OVER () AS t FROM orders)
+SELECT o_orderkey, CASE WHEN n <= floor(t * 0.1 + 0.5) THEN 'val' WHEN n <= 2 * floor(t * 0.1 + 0.5) THEN 'test' ELSE 'train' END AS split FROM n""")
 def shuffled_split(spark, d):
     s = ordering.shuffled_rank(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 7)
     return ordering.prefix_split(ordering.row_numbers(s, ["shuffle_key", "o_orderkey"])).select("o_orderkey", "split")

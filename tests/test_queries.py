@@ -3,6 +3,7 @@ import sys
 
 import pytest
 
+import lumenframe.queries_more  # noqa: F401
 import lumenframe.queries_regions  # noqa: F401
 from lumenframe.queries import ORACLES, QUERIES
 from tests.conftest import ROOT

@@ -81,7 +81,7 @@ def test_connected_components_of_all_rows(spark, small_dir, items):
         a, b = 2 * o, 2 * p + 1
         both = want.get(a, {a}) | want.get(b, {b})
         want.update(dict.fromkeys(both, both))
-    rows = QUERIES["connected_components_all"](spark, small_dir).collect()
+    rows = QUERIES["connected_components"](spark, small_dir).collect()
     assert {r.node: r.component for r in rows} == {n: min(c) for n, c in want.items()}
     assert len(rows) == len(want) and len(set(map(frozenset, want.values()))) == 3
 
@@ -121,11 +121,11 @@ def test_jitter_of_all_boxes(spark, small_dir, items):
                     to = box[side] + (by if side > 1 else -by)
                     if to > 1 if side < 2 else to < (639, 479)[side - 2]:
                         want.add((image, i, k, side, *(to if c == side else v for c, v in enumerate(box))))
-    got = [tuple(r) for r in QUERIES["box_jitter_all"](spark, small_dir).collect()]
+    got = [tuple(r) for r in QUERIES["box_jitter"](spark, small_dir).collect()]
     assert len(got) == len(want) and set(got) == want and max(r[1] for r in got) > 20
 
 
 def test_voc_of_all_objects(spark, small_dir, items):
     want = {(str(image), i, str(label), *(max(v, 1) for v in box)) for image, rows in boxes_by_image(items).items() for i, (label, _, *box) in enumerate(rows)}
-    got = QUERIES["voc_round_trip_all"](spark, small_dir).select("image", "ord", "label", "x1", "y1", "x2", "y2").collect()
+    got = QUERIES["voc_round_trip"](spark, small_dir).select("image", "ord", "label", "x1", "y1", "x2", "y2").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
