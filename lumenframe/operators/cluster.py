@@ -22,27 +22,36 @@ def merge_steps(points: np.ndarray, method: str) -> list[tuple[int, int, float,
     d = ((points[:, None] - points[None]) ** 2).sum(2)
     d = d if squared else np.sqrt(d)
     np.fill_diagonal(d, np.inf)
-    ids, size, live, out = list(range(n)), np.ones(n), np.ones(n, dtype=bool), []
+    recur = {
+        "single": lambda x, y, a, b, s, h: np.minimum(x, y),
+        "complete": lambda x, y, a, b, s, h: np.maximum(x, y),
+        "average": lambda x, y, a, b, s, h: (a * x + b * y) / (a + b),
+        "weighted": lambda x, y, a, b, s, h: (x + y) / 2,
+        "ward": lambda x, y, a, b, s, h: ((a + s) * x + (b + s) * y - s * h) / (a + b + s),
+        "centroid": lambda x, y, a, b, s, h: (a * x + b * y) / (a + b) - a * b * h / (a + b) ** 2,
+        "median": lambda x, y, a, b, s, h: (x + y) / 2 - h / 4,
+    }[method]
+    # The nearest of each cluster is kept, so that a merge looks at a few rows and not at all pairs; gone clusters are infinitely far.
+    ids, size, out = list(range(n)), np.ones(n), []
+    near = d.argmin(1) if n else np.empty(0, dtype=int)
+    best = d[np.arange(n), near]
     for step in range(n - 1):
-        m = np.where(live[:, None] & live[None], d, np.inf)
-        i, j = divmod(int(m.argmin()), n)
-        i, j = min(i, j), max(i, j)
+        i = int(best.argmin())
+        j = int(near[i])
         h, a, b = d[i, j], size[i], size[j]
-        k = live.copy()
-        k[[i, j]] = False
-        x, y, s = d[i, k], d[j, k], size[k]
-        d_new = {
-            "single": lambda: np.minimum(x, y),
-            "complete": lambda: np.maximum(x, y),
-            "average": lambda: (a * x + b * y) / (a + b),
-            "weighted": lambda: (x + y) / 2,
-            "ward": lambda: ((a + s) * x + (b + s) * y - s * h) / (a + b + s),
-            "centroid": lambda: (a * x + b * y) / (a + b) - a * b * h / (a + b) ** 2,
-            "median": lambda: (x + y) / 2 - h / 4,
-        }[method]()
-        d[i, k] = d[k, i] = d_new
-        live[j] = False
+        new = recur(d[i], d[j], a, b, size, h)
+        new[[i, j]] = np.inf
+        d[i] = d[:, i] = new
+        d[j] = d[:, j] = np.inf
         size[i] = a + b
+        best[j] = np.inf
+        stale = (near == i) | (near == j)
+        stale[i] = True
+        closer = ~stale & ((new < best) | ((new == best) & (i < near)))
+        best[closer], near[closer] = new[closer], i
+        rows = np.flatnonzero(stale)
+        near[rows] = d[rows].argmin(1)
+        best[rows] = d[rows, near[rows]]
         p, q = sorted((ids[i], ids[j]))
         out.append((p, q, float(np.sqrt(h) if squared else h), int(a + b)))
         ids[i] = n + step
@@ -82,6 +91,16 @@ def log_nfa(n: int, k: int, p: float, tests: float = 1.0) -> float:
     return (top + log(total) + log(tests)) / log(10)
 
 
+def false_alarms(rows: DataFrame, n: str, k: str, p: str) -> DataFrame:
+    """Adds log_nfa of the columns n, k and p."""
+
+    @F.pandas_udf("double")
+    def value(n: pd.Series, k: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([log_nfa(int(a), int(b), float(c)) for a, b, c in zip(n, k, p, strict=True)])
+
+    return rows.withColumn("log_nfa", value(n, k, p))
+
+
 def linear_scores(rows: DataFrame, features: str, weights: list[list[float]], biases: list[float], k: int = 3) -> DataFrame:
     """Adds best: the k largest of w x + b over the classes of a fixed table."""
     f = doubles(F.col(features))

@@ -11,6 +11,14 @@ def valid_images(images: DataFrame, least: int = 32) -> DataFrame:
     return images.where((F.col("width") >= least) & (F.col("height") >= least) & (F.col("channels") == 3) & (F.col("depth") == 8))
 
 
+def decoded_images(images: DataFrame) -> DataFrame:
+    """origin, width, height, channels and depth of Spark's image source; images that can't be decoded are dropped."""
+    i = F.col("image")
+    # The modes of one, three and four channels of eight bits.
+    depth = F.when(i["mode"].isin(0, 16, 24), 8).otherwise(0)
+    return images.where(i.isNotNull() & (i["height"] > 0)).select(i["origin"].alias("origin"), i["width"].alias("width"), i["height"].alias("height"), i["nChannels"].alias("channels"), depth.alias("depth"))
+
+
 def reject_groups(rows: DataFrame, key: str, listed: Column, banned: Column, share: float = 0.4) -> DataFrame:
     """Rows of the groups in which at most a share is listed and nothing is banned."""
     bad = rows.groupBy(key).agg(F.count_if(listed).alias("listed"), F.count_if(banned).alias("banned"), F.count("*").alias("n"))

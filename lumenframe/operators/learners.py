@@ -60,7 +60,29 @@ def platt(value: Column, a: float, b: float) -> Column:
     return F.when(z >= 0, F.exp(-z) / (1 + F.exp(-z))).otherwise(1 / (1 + F.exp(z)))
 
 
-def coupled(r: np.ndarray, rounds: int = 100) -> np.ndarray:
+# Most rounds, and the disagreement at which they end, of the published iteration.
+ROUNDS, CLOSE = 100, 0.005
+
+
+def coupled_probabilities(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """key, p: probabilities of n classes from the pairwise ones of each key, an array of r[0, 1], r[0, 2], ..."""
+    kind = rows.schema[key].dataType.simpleString()
+    at = [(i, j) for i in range(n) for j in range(i + 1, n)]
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for v in pdf["r"]:
+                r = np.zeros((n, n))
+                for (i, j), x in zip(at, v, strict=True):
+                    r[i, j], r[j, i] = x, 1 - x
+                out.append(coupled(r).tolist())
+            yield pd.DataFrame({key: pdf[key], "p": out})
+
+    return rows.select(key, "r").mapInPandas(run, f"{key} {kind}, p array<double>")
+
+
+def coupled(r: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Class probabilities from pairwise ones r[i, j] by minimising the squared disagreement (fixed-point iteration)."""
     n = len(r)
     q = -(r * r.T)
@@ -68,7 +90,7 @@ def coupled(r: np.ndarray, rounds: int = 100) -> np.ndarray:
     p = np.full(n, 1 / n)
     for _ in range(max(rounds, n)):
         qp = q @ p
-        if np.abs(qp - p @ qp).max() < 0.005 / n:
+        if np.abs(qp - p @ qp).max() < CLOSE / n:
             break
         for t in range(n):
             d = (p @ q @ p - q[t] @ p) / q[t, t]

@@ -754,3 +754,20 @@ def stream_new_signatures(spark, d):
     signed(spark, d).select("code", "id", "feat").repartitionByRange(4, "id").write.parquet(path)
     s = service.poll_stream(spark, path, "code long, id long, feat array<int>", 1)
     return service.run_to_end(service.new_in_stream(s, "code", 24, 420), scratch(spark, "stream"), scratch(spark, "stream-state"))
+
+
+_nfa = "list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))))"
+
+
+@query(f"{WITH}, b AS (SELECT image_id, ord, 20 + ord AS n, 1 + ord % 15 AS k, CAST(0.05 + score * 0.5 AS DOUBLE) AS p FROM boxes) SELECT image_id, ord, round(log10({_nfa}), 5) AS log_nfa FROM b")
+def false_alarms(spark, d):
+    b = boxes(spark, d).select("image_id", "ord", (20 + F.col("ord")).alias("n"), (1 + F.col("ord") % 15).alias("k"), (0.05 + F.col("score") * 0.5).alias("p"))
+    return C.false_alarms(b, "n", "k", "p").select("image_id", "ord", F.round("log_nfa", 5).alias("log_nfa"))
+
+
+@query()
+def coupled_probabilities(spark, d):
+    """Probabilities of four classes from logistic pairwise ones."""
+    r = F.transform(F.slice(V.doubles("embedding"), 1, 6), lambda x: 1 / (1 + F.exp(-4 * x)))
+    p = learners.coupled_probabilities(table(spark, d, "embeddings").select("vec_id", r.alias("r")), "vec_id", 4)
+    return p.select("vec_id", F.round(F.array_max("p"), 4).alias("top"), F.round(V.total(F.col("p")), 4).alias("total"))

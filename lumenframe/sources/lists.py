@@ -9,9 +9,14 @@ from lumenframe.functions.text import prefix_number, tokens
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, ord, value of the lines that are not blank. One file's order is kept by reading it whole."""
-    t = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    x = t.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
+    """file, ord, value of the lines that are not blank.
+
+    Files are read in splits; a row for each split, of which there are few, tells how many lines stand before it.
+    """
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = t.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = splits.select("file", "at", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("at")) - F.col("n")).alias("before"))
+    x = t.join(F.broadcast(before), ["file", "at"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("ord"), "value")
     return x.where(F.trim("value") != "")
 
 

@@ -284,3 +284,67 @@ def test_normalised_cuts(spark):
     rows = [(1, i, j, 1.0 if (i < 5) == (j < 5) else 0.02 * rnd.random()) for i in range(10) for j in range(i)]
     got = {r.node: r.part for r in learners.normalised_cuts(spark.createDataFrame(rows, "img long, i long, j long, w double"), "img", 0.3).collect()}
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(5, 10)}) == 1 and got[0] != got[9]
+
+
+def test_image_source(spark, tmp_path):
+    """Bitmaps of 40 x 36 and 8 x 40 pixels, and a file that is none, through Spark's image source."""
+    import struct
+
+    from lumenframe.operators import filters
+
+    for name, w, h in (("a", 40, 36), ("b", 8, 40)):
+        row = (w * 3 + 3) // 4 * 4
+        body = bytes(row * h)
+        (tmp_path / f"{name}.bmp").write_bytes(b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 0, 0, 0, 0) + body)
+    (tmp_path / "c.bmp").write_bytes(b"no image")
+    i = filters.decoded_images(spark.read.format("image").option("dropInvalid", False).load(f"file://{tmp_path}"))
+    assert sorted((r.width, r.height, r.channels, r.depth) for r in i.collect()) == [(8, 40, 3, 8), (40, 36, 3, 8)]
+    assert [r.width for r in filters.valid_images(i, 32).collect()] == [40]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    want = {}
+    for name in ("a", "b"):
+        lines = [f"{name} line {i}" * (i % 5) for i in range(3000)]
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+        want |= {(name, i): v for i, v in enumerate(lines) if v}
+    from lumenframe.sources import lists
+
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = {(r.file[-5], r.ord): r.value for r in lists.read_lines(spark, f"file://{tmp_path}").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == want
+
+
+@pytest.mark.parametrize("method", cluster.LINKS)
+def test_merges_against_all_pairs(method):
+    """The merge of least distance at each step, by the recurrence over a full matrix."""
+    p = np.random.default_rng(14).random((30, 2))
+    p[7] = p[3]
+    squared = method in ("ward", "centroid", "median")
+    d = {(i, j): float(((p[i] - p[j]) ** 2).sum()) ** (1.0 if squared else 0.5) for i in range(30) for j in range(i)}
+    size, want = dict.fromkeys(range(30), 1), []
+    far = lambda x, y: d[max(x, y), min(x, y)]
+    for step in range(29):
+        h, i, j = min((v, b, a) for (a, b), v in d.items())
+        a, b, new = size.pop(i), size.pop(j), 30 + step
+        want.append((h**0.5 if squared else h, a + b))
+        fresh = {}
+        for k, s in size.items():
+            x, y = far(i, k), far(j, k)
+            fresh[new, k] = {"single": min(x, y), "complete": max(x, y), "average": (a * x + b * y) / (a + b), "weighted": (x + y) / 2, "ward": ((a + s) * x + (b + s) * y - s * h) / (a + b + s), "centroid": (a * x + b * y) / (a + b) - a * b * h / (a + b) ** 2, "median": (x + y) / 2 - h / 4}[method]
+        d = {k: v for k, v in d.items() if not {i, j} & set(k)} | fresh
+        size[new] = a + b
+    got = cluster.merge_steps(p, method)
+    assert [(s[2], s[3]) for s in got] == [(pytest.approx(h), n) for h, n in want]
+
+
+def test_coupled_probabilities(spark):
+    """Pairwise probabilities that come from class probabilities give these back."""
+    p = np.array([0.1, 0.2, 0.3, 0.4])
+    r = [float(p[i] / (p[i] + p[j])) for i in range(4) for j in range(i + 1, 4)]
+    got = learners.coupled_probabilities(spark.createDataFrame([(1, r)], "id long, r array<double>"), "id", 4).first().p
+    assert got == pytest.approx(p.tolist(), abs=0.01)
