@@ -3,7 +3,7 @@
 1. A rolling hash over 16 bytes cuts every text into chunks of about 512 bytes; equal passages
    get equal cuts. Keys of chunks are counted over all documents.
 2. Chunks that occur more than once are encoded once each, into a dictionary table. Which
-   occurrences may be shared is asked of a bitmap made from the counts, with 16 bits for each shared chunk
+   occurrences may be shared is asked of a bitmap made from the counts, with 128 bits for each shared chunk
    and at most 128 MB; its false hits only put a few single chunks into the dictionary too.
 3. Documents are dealt into buckets together with the dictionary rows that the bucket needs.
    Chunks outside the dictionary are encoded in place. At each join the words that a cut may
@@ -24,8 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import sys
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +33,13 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import drop_written, forget, parallel, table, worker_cache, written
 from lumenframe.llm.kernels import U64, blocks, joined, prefix_hash, window_hash
 from lumenframe.llm.moving import SCHEMA, blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, gathered, id_bucket, text_bytes, unpacked
-from lumenframe.llm.tokens import CACHE, LONGEST, UNSURE, byte_symbols
+from lumenframe.llm.tokens import CACHE, LONGEST, UNSURE, byte_symbols, little_endian
 
 ROLL, MEAN, MOST = 16, 512, 8192
 #: Marks that end a word as a piece of their own; none of them starts a contraction.
 MARKS = ",.;:!?|*#$%&"
 #: Least and most bits of the bitmap of shared chunks, and bits for each.
-LEAST_BITS, MOST_BITS, CHUNK_BITS = 1 << 18, 1 << 30, 16
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 1 << 18, 1 << 30, 128
 
 
 class _Words(dict):
@@ -53,7 +51,7 @@ class _Words(dict):
 
     def __init__(self, enc: WordEncoder):
         super().__init__()
-        self.enc, self.code = enc, "H" if enc.dtype == "<u2" else "I"
+        self.enc = enc
 
     def __missing__(self, word: str) -> bytes:
         enc = self.enc
@@ -67,10 +65,7 @@ class _Words(dict):
         return self.keep(word, enc.ids(word))
 
     def keep(self, word: str, ids: list[int]) -> bytes:
-        packed = array(self.code, ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        packed = packed.tobytes()
+        packed = little_endian(ids, self.enc.dtype)
         if len(word) <= LONGEST:
             if len(self) >= CACHE:
                 self.clear()
