@@ -135,36 +135,54 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 class _Source:
-    """A file read forward in chunks, of which the last few are kept."""
+    """A file read forward through a buffer; what is asked for is seen in the buffer, not copied."""
 
     def __init__(self, f, size: int, chunk: int = 1 << 20):
         self.f, self.size, self.chunk, self.buf, self.at = f, size, chunk, b"", 0
 
-    def get(self, start: int, n: int) -> bytes:
-        """Bytes from start; at least n of them unless the file ends before."""
+    def fill(self, start: int, n: int) -> None:
         end = min(start + n, self.size)
         if not (self.at <= start and end <= self.at + len(self.buf)):
             self.f.seek(start)
             self.buf, self.at = self.f.read(max(n, self.chunk)), start
-        return self.buf[start - self.at :]
+
+    def view(self, start: int, n: int) -> memoryview:
+        """n bytes from start, or as many as there are."""
+        self.fill(start, n)
+        return memoryview(self.buf)[start - self.at : start - self.at + n]
+
+    def find(self, mark: bytes, start: int, end: int) -> int | None:
+        """The first place of mark from start on and before end."""
+        while start < min(end, self.size):
+            self.fill(start, len(mark))
+            hit = self.buf.find(mark, start - self.at)
+            if hit >= 0:
+                return self.at + hit if self.at + hit < end else None
+            start = max(start + 1, self.at + len(self.buf) - len(mark) + 1)
+        return None
+
+
+#: Compressed bytes given to the decoder at a time: what lies behind a member is handed back as a copy.
+FEED = 1 << 13
 
 
 def read_member(src: _Source, start: int, peek: bool = False):
     """(data, end) of the gzip member at start, or None; with peek only its first bytes."""
     z = zlib.decompressobj(31)
-    out, at = [], start
+    out, at, feed = [], start, FEED
     try:
         while not z.eof:
-            raw = src.get(at, src.chunk)
-            if not raw:
+            raw = src.view(at, feed)
+            if not len(raw):
                 return None
             if peek:
                 return z.decompress(raw, len(VERSION)), at
             out.append(z.decompress(raw))
             at += len(raw) - len(z.unused_data)
+            feed = min(2 * feed, src.chunk)
     except zlib.error:
         return None
-    return b"".join(out), at
+    return out[0] if len(out) == 1 else b"".join(out), at
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -183,21 +201,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
 
 def member_at(src: _Source, at: int):
     """(data, end) of the gzip member at a place, or None."""
-    return read_member(src, at) if src.get(at, len(MAGIC))[: len(MAGIC)] == MAGIC else None
+    return read_member(src, at) if src.view(at, len(MAGIC)) == MAGIC else None
 
 
 def chains_in(f, size: int, start: int, end: int) -> list[tuple[int, int, bool, list[int]]]:
     """(first, stop, whole, starts) of the chains of members found in [start, end): starts are those of the members, stop is where the last ends; a chain that is not whole ends before the range does, at what is no member."""
     src, at, out = _Source(f, size), start, []
-    while at < min(end, size):
-        raw = src.get(at, src.chunk)
-        hit = raw.find(MAGIC)
-        if hit < 0:
-            at += max(1, len(raw) - len(MAGIC) + 1)
-            continue
-        at += hit
-        if at >= end:
-            break
+    while (at := src.find(MAGIC, at, end)) is not None:
         first = read_member(src, at, peek=True)
         got = read_member(src, at) if first and first[0].startswith(b"WARC/1.") else None
         if not got or not parse(got[0]):
