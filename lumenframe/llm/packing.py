@@ -2,12 +2,11 @@
 
 1. Each text becomes a hashed vector of its words, projected to ``DIMS`` signs-of-hash sums and
    squashed to ``BITS`` bits a dimension; the Hilbert index of that cell is its key.
-2. The texts are range-sorted by the key, and by a hash of doc_id where keys are equal, and encoded where
-   they then lie. Borders of the ranges come from a sample of at most ``SAMPLE`` rows, so that keys are computed once;
-   they decide how even the ranges are, not the result. The encoded table, with each document's place
-   within its range, is written to the shared folder.
-3. One row for each range gives where its tokens start in the whole stream. Documents are
-   cut where the stream passes a multiple of the sequence length, so neighbours on the curve
+2. The same pass encodes the text, and the encoded table is written to the shared folder with the number of the
+   range that each document falls to: by its key, and by a hash of doc_id where keys are equal. Borders of
+   the ranges come from a sample of at most ``SAMPLE`` rows; they decide how even the ranges are, not the result.
+3. One row for each range gives where its tokens start in the whole stream. The ids are range-sorted, and documents
+   are cut where the stream passes a multiple of the sequence length, so neighbours on the curve
    share sequences and only the very last sequence is padded.
 
 Copies have equal keys; the hash of doc_id lets ranges split even a key that holds a third of all
@@ -44,8 +43,10 @@ def projections(texts: list[bytes]) -> np.ndarray:
     for i, j in blocks(texts):
         words, count = word_hashes(texts[i:j])
         at = np.concatenate([[0], np.cumsum(count)])
+        # Four independent signs from the parts of one mixed hash.
+        mixed = mix(words ^ U64(MIX_1)).view(np.uint16).reshape(-1, 4)
         for d in range(DIMS):
-            sign = ((mix(words * U64(2 * d + 1) ^ U64(MIX_1)) >> U64(40)).astype(np.float64) / (1 << 23)) - 1.0
+            sign = mixed[:, d] / 32768.0 - 1.0
             total = np.concatenate([[0.0], np.cumsum(sign)])
             out[i:j, d] = (total[at[1:]] - total[at[:-1]]) / np.sqrt(np.maximum(count, 1))
     cell = (1 / (1 + np.exp(-1.5 * out)) * (1 << BITS)).astype(np.int64)
@@ -80,21 +81,48 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def with_keys(docs: DataFrame, bounds: np.ndarray | None = None) -> DataFrame:
-    """doc_id, text, curve_key, sort_key (the curve's key, then bits of a hash of doc_id) and the number of its range, of docs (doc_id, tie, text)."""
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "text"))
+def sort_keys(raw: list[bytes], tie: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The curve's key of each text, and the key to sort by: the curve's, then bits of a hash of doc_id."""
+    key = hilbert(projections(raw))
+    return key, (key << 31) | (tie.to_numpy().view(np.uint64) >> U64(33)).astype(np.int64)
+
+
+def range_bounds(src: DataFrame, rows: int, ranges: int) -> np.ndarray:
+    """Borders of about as many ranges of sort keys, from a sample of (tie, text)."""
+    wanted = min(100 * ranges, SAMPLE)
+    share = min(1.0, wanted / max(rows, 1))
+    cuts = [i / ranges for i in range(1, min(ranges, SAMPLE // 100))]
+    if not cuts:
+        return np.empty(0, dtype=np.int64)
+
+    def run(batches):
+        for b in batches:
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sort_keys(raw, b.column("tie"))[1])], names=["sort_key"])
+
+    picked = src.select("tie", "text").where(F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = picked.mapInArrow(run, "sort_key long").agg(F.percentile_approx("sort_key", cuts, 100_000)).first()[0]
+    return np.unique(np.array(found or [], dtype=np.int64))
+
+
+def encoded(src: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """doc_id, curve_key, sort_key, range_no, n and ids (packed, with the closing one) of (doc_id, tie, text)."""
+    id_type = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         forget("byte")
+        enc = byte_encoder(tokenizer)
+        end = np.array([end_id], dtype=enc.dtype).tobytes()
         for b in batches:
-            for part in (b.slice(x, 2000) for x in range(0, b.num_rows, 2000)):
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-                key = hilbert(projections(raw))
-                own = (key << 31) | (part.column("tie").to_numpy().view(np.uint64) >> U64(33)).astype(np.int64)
-                where = np.searchsorted(bounds, own, side="right") if bounds is not None else np.zeros(len(own), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(key), pa.array(own), pa.array(where.astype(np.int32))], names=["doc_id", "text", "curve_key", "sort_key", "range_no"])
+            for part in (b.slice(x, 1000) for x in range(0, b.num_rows, 1000)):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                key, own = sort_keys([t.encode("utf-8", "surrogatepass") for t in texts], part.column("tie"))
+                ids = [enc.packed(t) + end for t in texts]
+                n = np.array([len(x) // enc.width for x in ids], dtype=np.int64)
+                where = np.searchsorted(bounds, own, side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key), pa.array(own), pa.array(where), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "curve_key", "sort_key", "range_no", "n", "ids"])
 
-    return docs.mapInArrow(run, f"{fields}, curve_key long, sort_key long, range_no int")
+    return src.mapInArrow(run, f"doc_id {id_type}, curve_key long, sort_key long, range_no int, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, partitions: int | None = None) -> DataFrame:
@@ -105,59 +133,36 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, p
     # The number of ranges follows the bytes of text; several fall to a partition.
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
     parts = partitions or buckets_for(size or 0, RANGE, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wanted = min(100 * 4 * parts, SAMPLE)
-    share = min(1.0, wanted / max(rows, 1))
-    sample = with_keys(src.where(F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))))
-    cuts = [i / (4 * parts) for i in range(1, min(4 * parts, SAMPLE // 100))]
-    bounds = np.unique(np.array(sample.agg(F.percentile_approx("sort_key", cuts, 100_000)).first()[0] or [], dtype=np.int64)) if cuts else np.empty(0, dtype=np.int64)
-    sorted_docs = with_keys(src, bounds).repartitionById(parts, F.col("range_no") % parts).sortWithinPartitions("range_no", "sort_key")
-
-    def encode(batches):
-        enc = byte_encoder(tokenizer)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
-        now, before = None, 0
-        for b in batches:
-            for part in (b.slice(x, 500) for x in range(0, b.num_rows, 500)):
-                ids = [enc.packed(t or "") + end for t in part.column("text").to_pylist()]
-                n = np.array([len(x) // enc.width for x in ids], dtype=np.int64)
-                upto, own = np.cumsum(n) - n, part.column("range_no").to_numpy()
-                # Places start anew with each range.
-                new = np.flatnonzero(np.concatenate([[own[0] != now], own[1:] != own[:-1]]))
-                place = upto + before
-                for s in new.tolist():
-                    place[s:] = upto[s:] - upto[s]
-                now, before = own[-1], int(place[-1] + n[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("range_no"), part.column("doc_id"), part.column("curve_key"), pa.array(place), pa.array(n), pa.array(ids, pa.binary())], names=["part", "doc_id", "curve_key", "place", "n", "ids"]
-                )
-
-    encoded = written(sorted_docs.select("range_no", "doc_id", "curve_key", "text").mapInArrow(encode, f"part int, doc_id {id_type}, curve_key long, place long, n long, ids binary"), "packing-encoded")
+    ids = written(encoded(src, tokenizer, end_id, range_bounds(src, rows, 4 * parts)), "packing-encoded", "snappy")
     # A row for each range, however many documents there are.
-    totals = encoded.groupBy("part").agg(F.sum("n").alias("total"))
-    firsts = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("first"))
-    placed = encoded.join(F.broadcast(firsts), "part").withColumn("place", F.col("place") + F.coalesce("first", F.lit(0))).drop("part", "first")
+    totals = ids.groupBy("range_no").agg(F.sum("n").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ids.join(F.broadcast(totals.select("range_no", before.alias("first"))), "range_no")
+    placed = placed.repartitionById(parts, F.col("range_no") % parts).sortWithinPartitions("range_no", "sort_key").drop("sort_key")
     schema = f"doc_id {id_type}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"
 
     def cut(batches):
+        now, upto = None, 0
         for b in batches:
             for part in (b.slice(x, 500) for x in range(0, b.num_rows, 500)):
-                places, counts, ids = (part.column(c).to_pylist() for c in ("place", "n", "ids"))
-                rows: list[tuple] = []
-                for r, (place, n, blob) in enumerate(zip(places, counts, ids, strict=True)):
-                    width = len(blob) // n
-                    at = 0
+                out: list[tuple] = []
+                for r, (own, first, n, blob) in enumerate(zip(*(part.column(c).to_pylist() for c in ("range_no", "first", "n", "ids")), strict=True)):
+                    if own != now:  # places go on within a range and start anew with each
+                        now, upto = own, first
+                    width, at = len(blob) // n, 0
                     while at < n:
-                        seq, off = divmod(place + at, length)
+                        seq, off = divmod(upto + at, length)
                         k = min(n - at, length - off)
                         piece = blob[at * width : (at + k) * width]
                         wide = piece if width == 4 else np.frombuffer(piece, "<u2").astype("<u4").tobytes()
-                        rows.append((r, at, k, piece, zlib.crc32(wide), n, seq, off))
+                        out.append((r, at, k, piece, zlib.crc32(wide), n, seq, off))
                         at += k
-                if rows:
-                    c = list(zip(*rows, strict=True))
-                    own = pa.array(c[0])
+                    upto += n
+                if out:
+                    c = list(zip(*out, strict=True))
+                    own_row = pa.array(c[0])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(own), *(pa.array(c[i], pa.binary() if i == 3 else pa.int64()) for i in range(1, 8)), part.column("curve_key").take(own)],
+                        [part.column("doc_id").take(own_row), *(pa.array(c[i], pa.binary() if i == 3 else pa.int64()) for i in range(1, 8)), part.column("curve_key").take(own_row)],
                         names=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"],
                     )
 
