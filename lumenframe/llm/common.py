@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import sys
 import types
@@ -83,7 +85,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/lumenframe/{spark.sparkContext.applicationId}"
 
 
+_swept: set[str] = set()
+
+
+def swept_at_exit(spark: SparkSession) -> None:
+    """Deletes the application's folder when the driver's Python ends: what is left there nobody can name any more."""
+    at, jvm = shared_dir(spark), spark._jvm
+    if at in _swept:
+        return
+    _swept.add(at)
+
+    def sweep() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone before
+            p = jvm.org.apache.hadoop.fs.Path(at)
+            p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+    atexit.register(sweep)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
+    swept_at_exit(spark)
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
