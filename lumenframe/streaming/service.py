@@ -26,12 +26,6 @@ def poll_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def post_lines(batch: DataFrame, cols: list[str]) -> DataFrame:
-    """What a batch posts: its rows as comma-separated values, joined by a literal backslash and n."""
-    line = F.concat_ws(",", *cols)
-    return batch.agg(F.array_join(F.array_sort(F.collect_list(line)), "\\n").alias("body"))
-
-
 def new_in_stream(stream: DataFrame, key: str = "code", partial: int = PARTIAL, total: int = TOTAL) -> DataFrame:
     """Insert-if-new over a stream of signatures (code, id, feat): a row is new if no row of its bucket so far is near; the bucket's signatures are its state.
 
