@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import audit, bpe, chat, embeddings, jaccard, langid, packing, quality, repeats, urls, warc
+from lumenframe.llm import audit, bpe, chat, collocations, embeddings, jaccard, langid, packing, quality, repeats, urls, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_embedding_dedup": embeddings.op8_embedding_dedup,
         "op9_suffix_dedup": repeats.op9_suffix_dedup,
         "op10_chat_formatting": chat.op10_chat_formatting,
+        "op11_collocations": collocations.op11_collocations,
         "op13_filter_audit": audit.op13_filter_audit,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.OP5_SQL,
         "op8_embedding_dedup": embeddings.OP8_SQL,
         "op10_chat_formatting": chat.OP10_SQL,
+        "op11_collocations": collocations.OP11_SQL,
         "op13_filter_audit": audit.OP13_SQL,
     }
