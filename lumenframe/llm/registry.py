@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import audit, bpe, chat, collocations, embeddings, jaccard, langid, packing, quality, repeats, urls, warc
+from lumenframe.llm import audit, bpe, chat, collocations, embeddings, jaccard, langid, packing, quality, repeats, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_suffix_dedup": repeats.op9_suffix_dedup,
         "op10_chat_formatting": chat.op10_chat_formatting,
         "op11_collocations": collocations.op11_collocations,
+        "op12_toxicity": toxicity.op12_toxicity,
         "op13_filter_audit": audit.op13_filter_audit,
     }
 
