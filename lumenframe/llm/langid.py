@@ -1,7 +1,8 @@
 """Language identification by prediction by partial matching.
 
 Training counts byte strings of up to four bytes per language on a sample of labelled texts
-whose expected size is bounded (``sample_bytes`` for each language). From the counts come
+whose expected size is bounded (``sample_bytes`` for each language, ``MAX_LANGS`` languages). Only strings that end in a text
+count, so the counts depend on the texts alone, not on how they are dealt out. From the counts come
 variable-order byte context trees: a byte is predicted in its longest known context, and an
 unknown byte escapes to the next shorter one (escape method C: a context seen n times with d
 different bytes gives a byte seen c times c / (n + d) and the escape d / (n + d)), down to a
@@ -34,6 +35,8 @@ ORDER = 3
 PAD = b"\n" * ORDER
 #: Bits a byte by which texts of one language differ at least, for samples of a few texts.
 LEAST_SPREAD = 0.25
+#: Languages at most: a model of some MB of each goes to every worker.
+MAX_LANGS = 500
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -42,8 +45,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for lang, texts in _by_lang(b):
-                buf = np.frombuffer(b"".join(PAD + t for t in texts), dtype=np.uint8).astype(np.uint32)
-                gram = (buf[:-3] << 24) | (buf[1:-2] << 16) | (buf[2:-1] << 8) | buf[3:]
+                gram = grams(texts)
                 g, n = np.unique(gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
@@ -51,6 +53,15 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return out.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def grams(texts: list[bytes]) -> np.ndarray:
+    """The four bytes that end at each byte of each text, as integers; before a text stands PAD, and no window ends in it."""
+    buf = np.frombuffer(b"".join(PAD + t for t in texts), dtype=np.uint8).astype(np.uint32)
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(size + ORDER) - size - ORDER
+    own = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+    return (buf[own] << 24) | (buf[own + 1] << 16) | (buf[own + 2] << 8) | buf[own + 3]
+
+
 def _by_lang(batch):
     by: dict[str, list[bytes]] = {}
     for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -98,29 +109,28 @@ class Model:
         """Code lengths, a row for each text and a column for each language."""
         out = np.zeros((len(texts), len(self.langs)))
         for i, j in blocks(texts, 1 << 19):
-            raw = np.frombuffer(b"".join(PAD + t for t in texts[i:j]), dtype=np.uint8).astype(np.uint32)
-            gram = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
             # Each string of a block is looked up once.
-            gram, where = np.unique(gram, return_inverse=True)
-            size = np.array([len(t) for t in texts[i:j]])
-            start = np.cumsum(size + ORDER) - size - ORDER
+            gram, where = np.unique(grams(texts[i:j]), return_inverse=True)
+            edge = np.cumsum([0, *map(len, texts[i:j])])
             for k, levels in enumerate(self.levels):
                 bits = np.full(len(gram), 8.0)
                 for level in levels:
                     bits = level.bits(gram, bits)
                 run = np.concatenate([[0.0], np.cumsum(bits[where])])
-                out[i:j, k] = run[start + size] - run[start]
+                out[i:j, k] = np.diff(run[edge])
         return out
 
 
 def sampled(labelled: DataFrame, sample_bytes: int) -> DataFrame:
     """Of (key, lang, text) a sample by a hash of key: about sample_bytes of text for each language, all where there is less."""
     labelled = labelled.where("lang IS NOT NULL")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    rate = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_bytes / max(n or 1, 1)))).otherwise(rate)
-    return labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < rate * 1_000_000)
+    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: models go whole to every task")
+    if not sizes:
+        return labelled
+    rate = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, min(1.0, sample_bytes / max(n or 1, 1)))))
+    return labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
 
 
 def train(labelled: DataFrame, sample_bytes: int = 2_000_000) -> Model:
