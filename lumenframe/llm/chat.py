@@ -69,7 +69,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     # Role as it stands, and the texts of a block.
     head = f"substring_index(substring(x, {len(START) + 1}), '\n', 1)"
     f = f.withColumn("b", F.expr(f"transform(b, x -> named_struct('role', {head}, 'texts', split(substring(x, {len(START) + 2} + length({head})), '<\\\\|im_sep\\\\|>', -1)))"))
-    role = f"replace({unescaped('r')}, '&#10;', '\n')"
+    # What was escaped last is undone first.
+    role = unescaped("replace(r, '&#10;', '\n')")
     f = f.withColumn("turns", F.expr(f"flatten(transform(b, x -> transform(array(x.role), r -> transform(x.texts, y -> named_struct('role', {role}, 'text', {unescaped('y')})))[0]))"))
     # The text under a span is cut from the parts that hold it.
     first, last = f"CAST(s.start div {TEXT_PART} AS INT)", f"CAST((s.start + s.length) div {TEXT_PART} AS INT)"

@@ -24,7 +24,7 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 def test_chat_reads_back(spark):
     texts = ["<|im_end|>", "<|im_sep|>&lt;|", "&amp;&", "", None, "a\nb", "<", "|>", "<|im_start|>assistant\nx"]
     rnd = random.Random(1)
-    rows = [(c, i, rnd.choice(["user", "assistant", "system", None, "odd\nrole<|"]), rnd.choice(texts), "x") for c in range(20) for i in range(rnd.randrange(1, 9))]
+    rows = [(c, i, rnd.choice(["user", "assistant", "system", None, "odd\nrole<|", "a&#10;b", "&amp;#10;", "&lt;|", "<|im_end|>"]), rnd.choice(texts), "x") for c in range(20) for i in range(rnd.randrange(1, 9))]
     rows += [(97, 0, "user", ";x", "x"), (97, 0, "user", "<|x", "x"), (97, 0, "user", "&x", "x")]
     rows += [(99, 0, "assistant", "same", "x")] * 2 + [(None, 0, "assistant", "no id", "x"), (98, None, "assistant", "no turn", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, blocks string")
