@@ -4,7 +4,8 @@
    squashed to ``BITS`` bits a dimension; the Hilbert index of that cell is its key.
 2. The same pass encodes the text, and the encoded table is written to the shared folder with the number of the
    range that each document falls to: by its key, and by a hash of doc_id where keys are equal. Borders of
-   the ranges come from a sample of at most ``SAMPLE`` rows; they decide how even the ranges are, not the result.
+   the ranges come from a sample of at most ``SAMPLE`` rows; they decide how even the ranges are, not the result. Where there are
+   more ranges than the sample has hundreds of rows, each is cut again by quantiles of the sort keys written for it.
 3. One row for each range gives where its tokens start in the whole stream. The ids are range-sorted, and documents
    are cut where the stream passes a multiple of the sequence length, so neighbours on the curve
    share sequences and only the very last sequence is padded.
@@ -89,9 +90,8 @@ def sort_keys(raw: list[bytes], tie: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def range_bounds(src: DataFrame, rows: int, ranges: int) -> np.ndarray:
     """Borders of about as many ranges of sort keys, from a sample of (tie, text)."""
-    wanted = min(100 * ranges, SAMPLE)
-    share = min(1.0, wanted / max(rows, 1))
-    cuts = [i / ranges for i in range(1, min(ranges, SAMPLE // 100))]
+    share = min(1.0, 100 * ranges / max(rows, 1))
+    cuts = [i / ranges for i in range(1, ranges)]
     if not cuts:
         return np.empty(0, dtype=np.int64)
 
@@ -105,6 +105,14 @@ def range_bounds(src: DataFrame, rows: int, ranges: int) -> np.ndarray:
     return np.unique(np.array(found or [], dtype=np.int64))
 
 
+def cut_again(ids: DataFrame, parts: int) -> DataFrame:
+    """ids with every range in about as many parts: range_no counts the parts, in order of sort keys. The join is left to Spark, which knows the sizes."""
+    borders = ids.groupBy("range_no").agg(F.percentile_approx("sort_key", [i / parts for i in range(1, parts)], 100 * parts).alias("borders"))
+    # Sorted borders: those up to the key are counted; equal ones leave a part empty.
+    part = F.size(F.filter("borders", lambda x: x <= F.col("sort_key")))
+    return ids.join(borders, "range_no").withColumn("range_no", (F.col("range_no").cast("long") * parts + part)).drop("borders")
+
+
 def encoded(src: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray) -> DataFrame:
     """doc_id, curve_key, sort_key, range_no, n and ids (packed, with the closing one) of (doc_id, tie, text)."""
     id_type = src.schema["doc_id"].dataType.simpleString()
@@ -133,12 +141,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, p
     # The number of ranges follows the bytes of text; several fall to a partition.
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
     parts = partitions or buckets_for(size or 0, RANGE, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = written(encoded(src, tokenizer, end_id, range_bounds(src, rows, 4 * parts)), "packing-encoded", "snappy")
+    again = -(-4 * parts // (SAMPLE // 100))
+    ids = written(encoded(src, tokenizer, end_id, range_bounds(src, rows, -(-4 * parts // again))), "packing-encoded", "snappy")
+    if again > 1:
+        ids = written(cut_again(ids, again), "packing-ranges", "snappy")
     # A row for each range, however many documents there are.
     totals = ids.groupBy("range_no").agg(F.sum("n").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ids.join(F.broadcast(totals.select("range_no", before.alias("first"))), "range_no")
-    placed = placed.repartitionById(parts, F.col("range_no") % parts).sortWithinPartitions("range_no", "sort_key").drop("sort_key")
+    placed = placed.repartitionById(parts, (F.col("range_no") % parts).cast("int")).sortWithinPartitions("range_no", "sort_key").drop("sort_key")
     schema = f"doc_id {id_type}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"
 
     def cut(batches):

@@ -1,14 +1,17 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from lumenframe.llm import bpe, packing  # noqa: E402
 from lumenframe.llm.tokens import ByteLevelEncoder  # noqa: E402
+from tests.llm.conftest import WORDS  # noqa: E402
 
 HARD = [
     "", " ", "  a  b\n\nc \t d\n", "don't we'LL I'M it's ''s 'S", "<|endoftext|>", "x <|endoftext|> y", "a  <|startoftext|>b", "\x1c\x1d a\x1fb", "É é ﬁ ½ Ⅷ ² ٣",
@@ -86,6 +89,29 @@ def test_packing_is_gapless_and_whole(docs, corpus):
     assert all(e == 64 for e in ends[:-1]) and sorted(by) == list(range(len(by)))
 
 
+def test_packing_with_more_ranges_than_the_sample_can_cut(spark, monkeypatch):
+    """Ranges are cut in two levels, also where a third of all rows are copies and one has no id; none holds more than thrice the mean."""
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice(WORDS) + str(rnd.randrange(40)) for _ in range(12))) for i in range(2400)] + [(i, "the same text " * 3) for i in range(2400, 3600)] + [(None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tables = {}
+    keep = packing.written
+    monkeypatch.setattr(packing, "written", lambda t, name, *a: tables.setdefault(name, keep(t, name, *a)))
+    monkeypatch.setattr(packing, "SAMPLE", 2000)
+    monkeypatch.setattr(packing, "RANGE", sum(len(t) for _, t in rows) // 50)
+    out = packing.pack(df, P.path("byte_bpe_50k.json"), 64).collect()
+    sizes = [r["count"] for r in tables["packing-ranges"].groupBy("range_no").count().collect()]
+    assert len(sizes) > 120 and max(sizes) <= 3 * len(rows) / len(sizes)
+    ordered = tables["packing-ranges"].groupBy("range_no").agg(F.min("sort_key").alias("a"), F.max("sort_key").alias("b")).orderBy("range_no").collect()
+    assert all(x.b <= y.a for x, y in zip(ordered, ordered[1:], strict=False))
+    place = 0
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.sequence_id * 64 + r.offset == place
+        place += r.length
+    lib = library("byte_bpe_50k.json")
+    assert place == sum(len(lib.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
 def test_packing_empty_table(none):
     assert packing.pack(none, P.path("byte_bpe_50k.json")).count() == 0
 
