@@ -42,6 +42,8 @@ DEPTH = 2
 SEGMENT_BITS, LEAST_BITS, MOST_BITS = 18, 18, 29
 #: Bytes of text that a task looks at together; longer texts are cut at separators.
 BATCH = 6 << 20
+#: Hashes that a task gathers before it sends their cells.
+HELD = 12_000_000
 #: Rows of a group from which a level of the best is taken.
 GROUP = 1 << 16
 
@@ -181,17 +183,26 @@ def sketch(docs: DataFrame, least: int, longest: int, bits: int) -> list[np.ndar
         forget()
 
         def blocks():
+            held, n = [], 0
             for w in batches_of_words(batches):
-                h = np.concatenate([w.phrases(n)[1] for n in range(1, longest + 1)])
-                for row in range(DEPTH):
-                    cell = np.sort(cells(h, row, bits))
-                    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, dtype=np.int64)
-                    n = np.minimum(np.diff(first, append=len(cell)), least).astype(kind)
-                    cell = cell[first]
-                    edge = np.searchsorted(cell, np.arange(segments + 1, dtype=np.int64) << SEGMENT_BITS)
-                    for s in np.flatnonzero(np.diff(edge)).tolist():
-                        i, j = edge[s], edge[s + 1]
-                        yield row * segments + s, 0, block_of(cell[i:j] & np.uint32((1 << SEGMENT_BITS) - 1), n[i:j])
+                held += [w.phrases(n)[1] for n in range(1, longest + 1)]
+                n = sum(map(len, held))
+                if n >= HELD:
+                    yield from blocks_of(held)
+                    held = []
+            yield from blocks_of(held)
+
+        def blocks_of(held):
+            for row in range(DEPTH if held else 0):
+                cell = np.concatenate([cells(h, row, bits) for h in held])
+                cell.sort()
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, dtype=np.int64)
+                n = np.minimum(np.diff(first, append=len(cell)), least).astype(kind)
+                cell = cell[first]
+                edge = np.searchsorted(cell, np.arange(segments + 1, dtype=np.int64) << SEGMENT_BITS)
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    i, j = edge[s], edge[s + 1]
+                    yield row * segments + s, 0, block_of(cell[i:j] & np.uint32((1 << SEGMENT_BITS) - 1), n[i:j])
 
         yield from emitted(blocks())
 
@@ -239,13 +250,16 @@ def frequent(docs: DataFrame, least: int, longest: int) -> DataFrame:
     return written(counts.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
 
 
-def scored(counts: DataFrame) -> DataFrame:
-    """lang, phrase, a, l, r, score of phrases of two words or more: by the cut with the lowest score."""
+def scored(counts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """lang, phrase, a, l, r, score of candidates (lang, phrase, f): by the cut with the lowest score."""
     n_words = "length(phrase) - length(replace(phrase, ' ', '')) + 1"
-    cuts = counts.where("instr(phrase, ' ') > 0").select("lang", "phrase", F.col("f").alias("a"), F.explode(F.expr(f"sequence(1, {n_words} - 1)")).alias("k"))
-    cuts = cuts.withColumn("left", F.expr("substring_index(phrase, ' ', k)")).withColumn("right", F.expr("substring(phrase, length(left) + 2)"))
-    part = lambda side, f: counts.where("phrase != ''").select("lang", F.col("phrase").alias(side), F.col("f").alias(f))
-    both = cuts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"])
+    cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.expr(f"sequence(1, {n_words} - 1)")).alias("k"))
+    part = lambda f: counts.where("phrase != ''").select(F.col("lang").alias(f"{f}_lang"), F.col("phrase").alias(f"{f}_phrase"), F.col("f").alias(f))
+    # Parts are keys of the joins only: the phrase and the cut are all that is shuffled.
+    head = F.expr("substring_index(phrase, ' ', k)")
+    rest = F.expr("substring(phrase, length(substring_index(phrase, ' ', k)) + 2)")
+    both = cuts.join(part("l"), (F.col("lang") == F.col("l_lang")) & (head == F.col("l_phrase"))).select("lang", "phrase", "a", "k", "l")
+    both = both.join(part("r"), (F.col("lang") == F.col("r_lang")) & (rest == F.col("r_phrase"))).select("lang", "phrase", "a", "k", "l", "r")
     exact = "CAST({} AS DECIMAL(15, 0))".format
     # A part occurs as often as the whole at least, so scores are up to a million.
     score = F.expr(f"({exact('a')} * {exact('a')} * CAST(1000000 AS DECIMAL(7, 0))) div ({exact('l')} * {exact('r')})")
@@ -273,9 +287,9 @@ def best_of(rows: DataFrame, by: str, order: list, most: int, n: int) -> DataFra
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int = 50, most: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of docs (text, lang): the first ``most`` of each language."""
     counts = frequent(docs, least, longest)
-    held = subsumed(counts)
-    alone = scored(counts).join(held, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a"))).drop("longer")
-    alone = written(alone, "collocations")
+    # What goes anyhow is not scored.
+    left = counts.where("instr(phrase, ' ') > 0").join(subsumed(counts), ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("f")))
+    alone = written(scored(counts, left.select("lang", "phrase", "f")), "collocations")
     top = best_of(alone, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], most, alone.count())
     words = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
     out = written(top.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations-best")
