@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.session import written
+
 PARTIAL, TOTAL = 2, 8
 
 
@@ -19,18 +21,54 @@ def differences(a: str, b: str) -> tuple[Column, Column]:
     return F.expr(f"array_max({d})"), F.expr(f"aggregate({d}, 0, (s, x) -> s + x)")
 
 
+def near_pairs(rows: DataFrame, others: DataFrame, keys: list[str], partial: int, total: int) -> DataFrame:
+    """keys, id, other_id of rows and others (keys, id, feat) of one bucket that are within both limits.
+
+    Sums of the components at even and at odd places differ by ``total`` at most, so within a bucket only rows in neighbouring bands of both meet.
+    """
+    half = lambda odd: f"aggregate(filter(feat, (x, i) -> i % 2 = {odd}), 0L, (s, x) -> s + x)"
+    band = lambda odd: F.expr(f"CAST(floor({half(odd)} / {total + 1}) AS BIGINT)")
+    beside = lambda c: F.explode(F.sequence(c - 1, c + 1))
+    a = rows.select(*keys, "id", "feat", band(0).alias("even"), band(1).alias("odd")).withColumn("even", beside(F.col("even"))).withColumn("odd", beside(F.col("odd")))
+    b = others.select(*keys, F.col("id").alias("other_id"), F.col("feat").alias("other"), band(0).alias("even"), band(1).alias("odd"))
+    most, s = differences("feat", "other")
+    return a.join(b, [*keys, "even", "odd"]).where((most <= partial) & (s <= total)).select(*keys, "id", "other_id")
+
+
+def left_out(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, duplicate_of: the rows that a scan which keeps a row unless it resembles a kept earlier one would not keep, and the first kept one that each resembles.
+
+    pairs (keys, id, other_id) holds every near pair, earlier row as other_id. In each round rows without an undecided earlier neighbour
+    are kept, what resembles them goes, and what has gone holds nobody back. The first undecided row of a bucket is
+    settled in each round, most are in the first few.
+    """
+    every = written(pairs.where("other_id < id").distinct(), "near-pairs")
+    open_, gone = every, []
+    later = lambda df: df.select(*keys, F.col("id").alias("other_id")).distinct()
+    while not open_.isEmpty():
+        kept = open_.select(*keys, "other_id").distinct().join(later(open_), [*keys, "other_id"], "left_anti")
+        out = written(open_.join(kept, [*keys, "other_id"], "left_semi").select(*keys, "id").distinct(), "near-out")
+        gone.append(out)
+        open_ = written(open_.join(out, [*keys, "id"], "left_anti").join(later(out), [*keys, "other_id"], "left_anti"), "near-open")
+    if not gone:
+        return every.select(*keys, "id", F.col("other_id").alias("duplicate_of")).limit(0)
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    held = every.join(out, [*keys, "id"], "left_semi").join(later(out), [*keys, "other_id"], "left_anti")
+    return held.groupBy(*keys, "id").agg(F.min("other_id").alias("duplicate_of"))
+
+
 def near_duplicates(rows: DataFrame, partial: int = PARTIAL, total: int = TOTAL, dims: int = 32) -> DataFrame:
-    """id, duplicate_of: for each row the first earlier row of its bucket that is within both limits.
+    """id, duplicate_of of the rows (id, feat) that are no first of their kind, in order of id: a row is a copy of the first kept row of its bucket that is within both limits, else it is kept.
 
-    Equal signatures are one, with their first row, so copies meet no copies; the bucket join of what is left is
-    split by Spark where a bucket is large.
+    Equal signatures are one, with their first row: what is near one is near all.
     """
-    one = rows.groupBy("feat").agg(F.min("id").alias("first")).withColumn("code", code(dims=dims))
-    other = one.select("code", F.col("first").alias("duplicate_of"), F.col("feat").alias("f1"))
-    most, s = differences("feat", "f1")
-    near = one.join(other, "code").where("duplicate_of <= first").where((most <= partial) & (s <= total))
-    best = near.groupBy("feat").agg(F.min("duplicate_of").alias("duplicate_of"))
-    return rows.select("id", "feat").join(best, "feat").where("duplicate_of < id").select("id", "duplicate_of")
+    one = written(rows.groupBy("feat").agg(F.min("id").alias("id")).withColumn("code", code(dims=dims)), "signatures")
+    firsts = one.select("code", "id", "feat")
+    out = left_out(near_pairs(firsts, firsts, ["code"], partial, total), ["code"])
+    told = one.join(out, ["code", "id"], "left").select("feat", F.col("id").alias("first"), F.coalesce("duplicate_of", "id").alias("duplicate_of"))
+    return rows.select("id", "feat").join(told, "feat").where("duplicate_of < id").select("id", "duplicate_of")
 
 
 def same_picture(cld: str, ehd: str, other_cld: str, other_ehd: str, near: int = 30, texture_near: int = 170) -> Column:

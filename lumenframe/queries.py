@@ -456,8 +456,17 @@ def signature_code(spark, d):
     return codes(spark, d).select("id", signatures.code().alias("code"))
 
 
-@query(f"""WITH {_codes}, c AS (SELECT id, feat, {_code_sql.replace('{dims}', '6')} AS code FROM codes), p AS (SELECT a.id, b.id AS o, list_transform(list_zip(a.feat, b.feat), lambda z: abs(z[1] - z[2])) AS g FROM c a JOIN c b ON a.code = b.code AND b.id < a.id)
-SELECT id, min(o) AS duplicate_of FROM p WHERE list_max(g) <= 24 AND list_sum(g) <= 420 GROUP BY id""")
+def scan_sql(bucket: str, partial: int = 24, total: int = 420) -> str:
+    """A recursive scan of c (bucket columns, id, feat) in order of id: m is the first kept row that a row resembles, or null where it is kept."""
+    gap = "list_transform(list_zip(x.feat, c.feat), lambda z: abs(z[1] - z[2]))"
+    on = " AND ".join(f"r.{k} = c.{k}" for k in bucket.split(", "))
+    return f"""c AS (SELECT *, row_number() OVER (PARTITION BY {bucket} ORDER BY id) AS n FROM c0),
+r AS (SELECT DISTINCT {bucket}, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, feat INT[])[]) AS kept, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS m FROM c
+UNION ALL SELECT {', '.join(f'c.{k}' for k in bucket.split(', '))}, c.n, CASE WHEN len(near) = 0 THEN list_append(kept, {{'id': c.id, 'feat': c.feat}}) ELSE kept END, c.id, CASE WHEN len(near) > 0 THEN near[1].id END
+  FROM (SELECT r.*, c.id AS own, list_filter(r.kept, lambda x: list_max({gap}) <= {partial} AND list_sum({gap}) <= {total}) AS near FROM r JOIN c ON {on} AND c.n = r.n + 1) r JOIN c ON {on} AND c.n = r.n + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_codes}, c0 AS (SELECT CAST(id AS BIGINT) AS id, feat, {_code_sql.replace('{dims}', '6')} AS code FROM codes), {scan_sql('code')} SELECT id, m AS duplicate_of FROM r WHERE m IS NOT NULL""")
 def near_duplicate_signatures(spark, d):
     return signatures.near_duplicates(codes(spark, d), 24, 420, 6)
 

@@ -13,7 +13,7 @@ from lumenframe.functions import vectors as V
 from lumenframe.operators import augment, faces, filters, histograms, images, labels, learners, matching, ordering, ranking, regions, signatures
 from lumenframe.operators import cluster as C
 from lumenframe.plans import detection
-from lumenframe.queries import BIG_H, BIG_W, BOXES_SQL, NAMED, WITH, _code_sql, _codes, _decode_sql, _delta, _px, _vec, boxes, codes, iou_duck, pixel_rows, query
+from lumenframe.queries import BIG_H, BIG_W, BOXES_SQL, NAMED, WITH, _code_sql, _codes, _decode_sql, _delta, _px, _vec, boxes, codes, iou_duck, pixel_rows, query, scan_sql
 from lumenframe.session import scratch, table
 from lumenframe.sources import lists as L
 from lumenframe.sources import models, stores
@@ -166,9 +166,12 @@ def signed(spark, d) -> DataFrame:
     return codes(spark, d).select("id", "feat", (F.col("id") % 3).cast("int").alias("class_id"), signatures.code(dims=6).alias("code"))
 
 
-@query(f"""{_sig}, m AS (SELECT a.id FROM c a JOIN c b ON a.class_id = b.class_id AND a.code = b.code AND (b.id % 2 = 0 OR b.id < a.id) WHERE a.id % 2 = 1
-  AND list_max(list_transform(list_zip(a.feat, b.feat), lambda z: abs(z[1] - z[2]))) <= 24 AND list_sum(list_transform(list_zip(a.feat, b.feat), lambda z: abs(z[1] - z[2]))) <= 420)
-SELECT class_id, code, id FROM c WHERE id % 2 = 1 AND id NOT IN (SELECT id FROM m)""")
+_near = "list_max(list_transform(list_zip(a.feat, b.feat), lambda z: abs(z[1] - z[2]))) <= 24 AND list_sum(list_transform(list_zip(a.feat, b.feat), lambda z: abs(z[1] - z[2]))) <= 420"
+
+
+@query(f"""{_sig.replace("WITH", "WITH RECURSIVE").replace("c AS", "s0 AS")}, c0 AS (SELECT class_id, code, CAST(id AS BIGINT) AS id, feat FROM s0 a WHERE id % 2 = 1
+  AND NOT EXISTS (SELECT 1 FROM s0 b WHERE b.id % 2 = 0 AND a.class_id = b.class_id AND a.code = b.code AND {_near})), {scan_sql('class_id, code')}
+SELECT class_id, code, id FROM r WHERE id IS NOT NULL AND m IS NULL""")
 def signature_store(spark, d):
     """Signatures with even ids are in the store; of the others those that resemble none are appended."""
     s, path = signed(spark, d), scratch(spark, "signatures")
@@ -747,11 +750,16 @@ def image_cuts(spark, d):
     return learners.normalised_cuts(p.select("image_id", "i", "j", F.exp(-gap / 5000.0).alias("w")), "image_id")
 
 
-@query()
+@query(f"{_sig.replace('WITH', 'WITH RECURSIVE').replace('c AS', 's0 AS')}, c0 AS (SELECT code, CAST(id AS BIGINT) AS id, feat FROM s0), {scan_sql('code')} SELECT code, id, m IS NULL AS is_new, m AS duplicate_of FROM r WHERE id IS NOT NULL")
 def stream_new_signatures(spark, d):
     """Signatures as a stream: which are new to their bucket, and which earlier one the others resemble."""
     path = scratch(spark, "signature-stream")
-    signed(spark, d).select("code", "id", "feat").repartitionByRange(4, "id").write.parquet(path)
+    rows = signed(spark, d).select("code", "id", "feat")
+    # Four files in order of id, written one after the other: a source reads the oldest first.
+    cuts = [None, *rows.agg(F.percentile_approx("id", [0.25, 0.5, 0.75])).first()[0], None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = rows if low is None else rows.where(F.col("id") > low)
+        (part if high is None else part.where(F.col("id") <= high)).coalesce(1).write.mode("append").parquet(path)
     s = service.poll_stream(spark, path, "code long, id long, feat array<int>", 1)
     return service.run_to_end(service.new_in_stream(s, "code", 24, 420), scratch(spark, "stream"), scratch(spark, "stream-state"))
 

@@ -46,18 +46,11 @@ def append_signatures(rows: DataFrame, path: str) -> None:
 
 
 def new_signatures(rows: DataFrame, stored: DataFrame | None, partial: int = 2, total: int = 8) -> DataFrame:
-    """Insert if new: the rows (class_id, code, id, feat) that neither the store nor an earlier row of their class and code resembles.
+    """Insert if new: the rows (class_id, code, id, feat) that resemble neither a stored row of their class and code nor an earlier row, in order of id, that is itself inserted."""
+    from lumenframe.operators.signatures import left_out, near_pairs
 
-    A row that resembles only rows that are themselves left out is left out too, as in a scan that
-    keeps the first of each chain would not: the first match wins over all rows seen.
-    """
-    from lumenframe.operators.signatures import differences
-
-    seen = rows.select("class_id", "code", "id", "feat", F.lit(1).alias("batch"))
+    keys = ["class_id", "code"]
+    fresh = rows
     if stored is not None:
-        seen = seen.unionByName(stored.select("class_id", "code", "id", "feat", F.lit(0).alias("batch")))
-    other = seen.select("class_id", "code", F.col("id").alias("other_id"), F.col("feat").alias("other"), F.col("batch").alias("other_batch"))
-    most, s = differences("feat", "other")
-    early = (F.col("other_batch") == 0) | (F.col("other_id") < F.col("id"))
-    known = rows.join(other, ["class_id", "code"]).where(early & (most <= partial) & (s <= total)).select("class_id", "code", "id").distinct()
-    return rows.join(known, ["class_id", "code", "id"], "left_anti")
+        fresh = rows.join(near_pairs(rows, stored, keys, partial, total).select(*keys, "id").distinct(), [*keys, "id"], "left_anti")
+    return fresh.join(left_out(near_pairs(fresh, fresh, keys, partial, total), keys), [*keys, "id"], "left_anti")

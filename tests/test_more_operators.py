@@ -162,8 +162,14 @@ def test_signature_store(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     stores.append_signatures(df.where("id < 20"), path)
     got = {r.id for r in stores.new_signatures(df.where("id >= 20"), stores.read_by(spark, path)).collect()}
-    want = {i for c, _, i, f in rows if i >= 20 and not any(c == c2 and (j < 20 or j < i) and j != i and py_near(f, g) for c2, _, j, g in rows)}
-    assert got == want
+    kept = [(c, i, f) for c, _, i, f in rows if i < 20]
+    for c, _, i, f in rows[20:]:
+        if not any(c == c2 and py_near(f, g) for c2, _, g in kept):
+            kept.append((c, i, f))
+    assert got == {i for _, i, _ in kept if i >= 20}
+    # A chain: the second resembles the first, the third only the second, which is not inserted.
+    chain = spark.createDataFrame([(1, 0, i, [2 * i] * 4) for i in range(1, 6)], "class_id int, code long, id long, feat array<int>")
+    assert {r.id for r in stores.new_signatures(chain, None).collect()} == {1, 3, 5}
 
 
 def test_quota_scan(spark):
