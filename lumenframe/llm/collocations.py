@@ -5,7 +5,7 @@
    where they meet, so sketches merge in any order. A cell holds all phrases that fall to it, so it
    overestimates: a phrase with a light cell can't be frequent.
 2. The merged sketch shrinks to a bit for each cell, heavy or light, and goes to all tasks. A second pass over the
-   texts counts exactly, as text, only phrases all of whose cells are heavy. No frequent phrase is lost, and what
+   texts counts exactly, as text, only phrases all of whose cells are heavy; counts move as sorted, compressed blocks. No frequent phrase is lost, and what
    is not frequent after all goes by its exact count.
 3. Candidates are joined with the counts of both parts of each of their cuts, scored in exact decimals, and
    compared with the longer candidates that hold them; the best of a language are kept by levels.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import drop_written, forget, parallel, table, written
 from lumenframe.llm.kernels import BASE, MIX_2, U64, lower_ascii, mix, prefix_hash, span_hash
-from lumenframe.llm.moving import by_bucket, emitted, gathered, text_bytes
+from lumenframe.llm.moving import blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, gathered, text_bytes, unpacked
 
 DEPTH = 2
 #: Cells of a segment, and the least and most cells of a row, as powers of two.
@@ -44,6 +44,8 @@ SEGMENT_BITS, LEAST_BITS, MOST_BITS = 18, 18, 29
 BATCH = 6 << 20
 #: Hashes that a task gathers before it sends their cells.
 HELD = 12_000_000
+#: Rows of phrases and counts that are added up together before they are sent or kept, and bytes of text to a bucket of them.
+HELD_ROWS, BUCKET = 1_000_000, 16 << 20
 #: Rows of a group from which a level of the best is taken.
 GROUP = 1 << 16
 
@@ -222,14 +224,50 @@ def sketch(docs: DataFrame, least: int, longest: int, bits: int) -> list[np.ndar
     return list(out.reshape(DEPTH, -1))
 
 
+def summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(["lang", "phrase", "f"])
+
+
+def phrase_buckets(phrase: pa.Array, n: int) -> np.ndarray:
+    """A bucket for each phrase, by a hash of its bytes."""
+    out = []
+    for i in range(0, len(phrase), 1 << 17):
+        part = pa.concat_arrays([phrase.slice(i, 1 << 17)])
+        _, offsets, data = part.buffers()
+        at = np.frombuffer(offsets, dtype=np.int32)[: len(part) + 1].astype(np.int64)
+        buf = np.frombuffer(data, dtype=np.uint8)[: at[-1]] if data is not None else np.empty(0, dtype=np.uint8)
+        out.append((span_hash(prefix_hash(buf), at[:-1], at[1:]) % U64(n)).astype(np.int32))
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int32)
+
+
+def counted_blocks(counts, buckets: int):
+    """Sums of counts (record batches) as blocks for each bucket: sorted by phrase, they take a third of the bytes of rows."""
+
+    def blocks_of(held):
+        t = summed([pa.Table.from_batches(held)]).sort_by("phrase").combine_chunks()
+        for b in t.to_batches():
+            yield from blocks_by_bucket(b, phrase_buckets(b.column("phrase"), buckets), 0)
+
+    held, n = [], 0
+    for c in counts:
+        held.append(c)
+        n += c.num_rows
+        if n >= HELD_ROWS:
+            yield from blocks_of(held)
+            held, n = [], 0
+    if held:
+        yield from blocks_of(held)
+
+
 def frequent(docs: DataFrame, least: int, longest: int) -> DataFrame:
     """lang, phrase, f of all phrases with f >= least; f of the empty phrase counts all words of a language."""
     src = parallel(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, text_bytes(src) / 4)))))
+    size = text_bytes(src)
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / 4)))))
     heavy = src.sparkSession.sparkContext.broadcast(sketch(src, least, longest, bits))
+    buckets = buckets_for(size, BUCKET, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(batches):
-        forget()
+    def survivors(batches):
         maps = heavy.value
         for w in batches_of_words(batches):
             if not len(w.id):
@@ -243,11 +281,27 @@ def frequent(docs: DataFrame, least: int, longest: int) -> DataFrame:
                     hit = (maps[row][c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
                     at, h = at[hit], h[hit]
                 if len(at):
-                    found = w.counted(at, size)
-                    yield from (found.slice(i, 20_000) for i in range(0, found.num_rows, 20_000))
+                    yield w.counted(at, size)
+
+    def run(batches):
+        forget()
+        yield from emitted(counted_blocks(survivors(batches), buckets))
 
-    counts = src.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return written(counts.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    def add_up(batches):
+        for _, rows in by_bucket(batches):
+            held, n = [], 0
+            for _, block in rows:
+                held.append(unpacked(block))
+                n += len(held[-1])
+                if n >= HELD_ROWS:
+                    held = [summed(held)]
+                    n = len(held[0]) // 2
+            t = summed(held)
+            t = t.filter(pc.or_(pc.greater_equal(t.column("f"), least), pc.equal(t.column("phrase"), "")))
+            yield from t.combine_chunks().to_batches(max_chunksize=20_000)
+
+    blocks = dealt(src.mapInArrow(run, "bucket int, kind int, block binary"), buckets)
+    return written(blocks.mapInArrow(add_up, "lang string, phrase string, f long"), "phrases")
 
 
 def scored(counts: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -72,6 +72,8 @@ def test_longer_phrases_small_groups_and_batches(spark, monkeypatch):
     rows = [("en", text), ("en", text.upper()), (None, "a b c d " * 50)]
     monkeypatch.setattr(c, "BATCH", 700)
     monkeypatch.setattr(c, "GROUP", 100)
+    monkeypatch.setattr(c, "HELD_ROWS", 50)
+    monkeypatch.setattr(c, "HELD", 60)
     assert got(c.collocations(table(spark, rows, 2), least=10, longest=4, most=40)) == plain(rows, longest=4, most=40)
 
 
