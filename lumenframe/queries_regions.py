@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
 from lumenframe.operators import cluster as C
-from lumenframe.operators import learners, matching, ordering, regions
+from lumenframe.operators import extremal, learners, matching, ordering, regions
 from lumenframe.queries import _W, _pg, _px, _vec, BOXES_SQL, WITH, boxes, iou_duck, pixel_rows, pred_truth, query
-from lumenframe.session import table
+from lumenframe.queries_more import _grid, grid
+from lumenframe.session import table, written
 
 _region = "SELECT image_id, ord, (x2 - x1) * (y2 - y1) // 40 AS area, score AS eccentricity, CAST(x1 AS DOUBLE) / 400 AS solidity, CAST(ord % 4 AS INT) AS holes, CAST(x1 % 50 AS DOUBLE) AS stroke_sd, CAST(y1 % 60 AS DOUBLE) AS stroke_mean, x1, y1, x2, y2 FROM boxes"
 
@@ -117,3 +118,59 @@ def mean_score_over_crops(spark, d):
     """Mean of scores of three decimals, in whole millionths, so that no rounding of halves enters."""
     total = F.sum(F.round(F.col("score") * 1000).cast("long")) * 1000
     return boxes(spark, d).groupBy("image_id", "label_id").agg(F.floor(total / F.count("*")).alias("mean_millionths"), F.count("*").alias("n"))
+
+
+# Regions from pixels: the grids of queries_more
+
+_level_sql = """rc AS (SELECT img, x, y, v, x AS qx, y AS qy FROM gd UNION SELECT r.img, r.x, r.y, r.v, g.x, g.y FROM rc r JOIN gd g ON g.img = r.img AND g.v <= r.v AND abs(g.x - r.qx) + abs(g.y - r.qy) = 1),
+cp AS (SELECT img, x, y, v AS level, count(*) AS area, min(qy * 65536 + qx) AS seed FROM rc GROUP BY 1, 2, 3, 4), nd AS (SELECT img, level, seed, min(area) AS area FROM cp GROUP BY 1, 2, 3),
+st AS (SELECT DISTINCT ON (n.img, n.level, n.seed) n.*, c.x, c.y FROM nd n JOIN cp c USING (img, level, seed)),
+an AS (SELECT s.img, s.level, s.seed, s.area, c.level AS alevel, c.seed AS aseed, c.area AS aarea FROM st s JOIN (SELECT DISTINCT cp.img, cp.level, cp.seed, cp.area, rc.qx, rc.qy FROM cp JOIN rc USING (img, x, y)) c ON c.img = s.img AND c.qx = s.x AND c.qy = s.y AND c.level >= s.level),
+vr AS (SELECT img, level, seed, area, max(CASE WHEN alevel <= level + 2 THEN aarea END) AS reach FROM an GROUP BY 1, 2, 3, 4), vq AS (SELECT *, (reach - area) / area AS variation FROM vr),
+pa AS (SELECT a.img, a.level, a.seed, arg_min(struct_pack(l := alevel, s := aseed), alevel) AS p FROM an a WHERE alevel > level GROUP BY 1, 2, 3),
+pq AS (SELECT v.*, p.p, q.variation AS above FROM vq v LEFT JOIN pa p ON p.img = v.img AND p.level = v.level AND p.seed = v.seed LEFT JOIN vq q ON q.img = v.img AND q.level = p.p.l AND q.seed = p.p.s),
+ch AS (SELECT img, p.l AS level, p.s AS seed, count(*) AS n, max(variation) AS steepest FROM pq WHERE p IS NOT NULL GROUP BY 1, 2, 3), tt AS (SELECT img, count(*) AS total FROM gd GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_px}, {_grid}, {_level_sql} SELECT q.img, CAST(q.level AS INT) AS level, CAST(q.seed % 65536 AS INT) AS seed_x, CAST(q.seed // 65536 AS INT) AS seed_y, q.area, round(q.variation, 6) AS variation,
+  (above IS NULL OR q.variation <= above) AND q.area >= floor(0.01 * total) AND q.area <= floor(0.5 * total) AND q.variation <= 0.5 AND (ch.n IS NULL OR ch.steepest > q.variation) AS stable
+FROM pq q JOIN tt USING (img) LEFT JOIN ch ON ch.img = q.img AND ch.level = q.level AND ch.seed = q.seed""")
+def extremal_components(spark, d):
+    """Every component of every grey level of the grids, with its area, variation and whether it is stable."""
+    return extremal.component_nodes(grid(spark, d), "img", "v", least=0.01).withColumn("variation", F.round("variation", 6))
+
+
+def grid_regions(spark, d):
+    """Stable regions of the grids, dark (key 0) and bright (1), with their features."""
+    g = grid(spark, d).select(F.col("img").alias("image"), "x", "y", F.col("v").cast("int").alias("v"))
+    both = g.select(F.struct("image", F.lit(0).alias("bright")).alias("img"), "x", "y", "v").unionByName(g.select(F.struct("image", F.lit(1).alias("bright")).alias("img"), "x", "y", (255 - F.col("v")).alias("v")))
+    both = both.select((F.col("img.image") * 2 + F.col("img.bright")).alias("img"), "x", "y", "v")
+    m = written(extremal.stable_regions(both, "img", "v", least=0.01), "extremal-regions")
+    return extremal.region_features(m, ["img", "region"], both, "img", "v")
+
+
+@query()
+def extremal_regions(spark, d):
+    """Features of the stable regions, dark and bright; regions are named by their box and area."""
+    r = grid_regions(spark, d)
+    return r.select(F.expr("img div 2").alias("img"), (F.col("img") % 2).alias("bright"), "area", "x1", "y1", "x2", "y2", "perimeter", "holes", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "m20", "m11", "m02", "stroke_mean", "stroke_sd", "grey_mean", "grey_sd")))
+
+
+_members = "m AS (SELECT img, CAST(v // 64 AS INT) AS band, x, y FROM gd)"
+
+
+@query(f"""WITH {_px}, {_grid}, {_members}, xs AS (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM range(-1, 17) a(x), range(-1, 17) b(y)), k AS (SELECT DISTINCT img, band FROM m),
+o AS (SELECT k.img, k.band, xs.x, xs.y FROM k, xs ANTI JOIN m ON m.img = k.img AND m.band = k.band AND m.x = xs.x AND m.y = xs.y)
+SELECT m.img, m.band, m.x, m.y, CAST(min(abs(o.x - m.x) + abs(o.y - m.y)) AS INT) AS d FROM m JOIN o ON o.img = m.img AND o.band = m.band GROUP BY 1, 2, 3, 4""")
+def region_border_distances(spark, d):
+    """City-block distance of each cell of a grey band to the nearest cell outside it."""
+    m = grid(spark, d).select("img", F.expr("CAST(v div 64 AS INT)").alias("band"), "x", "y")
+    return extremal.border_distances(m, ["img", "band"])
+
+
+@query()
+def text_chain_from_pixels(spark, d):
+    """From pixels to lines of text: stable regions, their strokes and holes, boosted vote, groups by height of their boxes."""
+    r = grid_regions(spark, d).withColumn("ord", F.monotonically_increasing_id())
+    r = r.select(F.col("img").alias("image_id"), "ord", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), F.col("grey_mean").alias("score"), "stroke_sd", "stroke_mean", "holes", "x1", "y1", "x2", "y2", F.expr("CAST(y1 div 4 AS BIGINT)").alias("line"))
+    return regions.text_lines(r, [("w", 6.0, 0.5, -0.25), ("h", 9.0, 0.75, -0.5), ("score", 128.0, 0.5, 0.25)])
