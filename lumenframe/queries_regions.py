@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
 from lumenframe.operators import cluster as C
-from lumenframe.operators import extremal, learners, matching, ordering, regions
+from lumenframe.operators import extremal, learners, matching, ordering, regions, strokes
 from lumenframe.queries import _W, _pg, _px, _vec, BOXES_SQL, WITH, boxes, iou_duck, pixel_rows, pred_truth, query
 from lumenframe.queries_more import _grid, grid
 from lumenframe.session import table, written
@@ -174,3 +174,24 @@ def text_chain_from_pixels(spark, d):
     r = grid_regions(spark, d).withColumn("ord", F.monotonically_increasing_id())
     r = r.select(F.col("img").alias("image_id"), "ord", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), F.col("grey_mean").alias("score"), "stroke_sd", "stroke_mean", "holes", "x1", "y1", "x2", "y2", F.expr("CAST(y1 div 4 AS BIGINT)").alias("line"))
     return regions.text_lines(r, [("w", 6.0, 0.5, -0.25), ("h", 9.0, 0.75, -0.5), ("score", 128.0, 0.5, 0.25)])
+
+
+_dist = f"{_members}, xs AS (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM range(-1, 17) a(x), range(-1, 17) b(y)), k AS (SELECT DISTINCT img, band FROM m), o AS (SELECT k.img, k.band, xs.x, xs.y FROM k, xs ANTI JOIN m ON m.img = k.img AND m.band = k.band AND m.x = xs.x AND m.y = xs.y), ds AS (SELECT m.img, m.band, m.x, m.y, min(abs(o.x - m.x) + abs(o.y - m.y)) AS d FROM m JOIN o ON o.img = m.img AND o.band = m.band GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"""WITH RECURSIVE {_px}, {_grid}, {_dist}, up AS (SELECT img, band, x, y, x AS qx, y AS qy, d FROM ds UNION SELECT u.img, u.band, u.x, u.y, e.x, e.y, e.d FROM up u JOIN ds e ON e.img = u.img AND e.band = u.band AND e.d > u.d AND abs(e.x - u.qx) <= 1 AND abs(e.y - u.qy) <= 1),
+w AS (SELECT img, band, x, y, max(d) AS w FROM up GROUP BY 1, 2, 3, 4) SELECT img, band, count(*) AS n, round(avg(w), 6) AS stroke_mean, round(stddev_pop(w), 6) AS stroke_sd FROM w GROUP BY 1, 2""")
+def band_strokes(spark, d):
+    """Mean and deviation of the stroke widths of each grey band of the grids."""
+    m = grid(spark, d).select("img", F.expr("CAST(v div 64 AS INT)").alias("band"), "x", "y")
+    w = strokes.stroke_widths(m, ["img", "band"])
+    return w.groupBy("img", "band").agg(F.count("*").alias("n"), F.round(F.avg("w"), 6).alias("stroke_mean"), F.round(F.stddev_pop("w"), 6).alias("stroke_sd"))
+
+
+@query()
+def stroke_text_rectangles(spark, d):
+    """The text chain by strokes: stable regions cut at their edges, components of plausible shape and even stroke, and the rectangle around them."""
+    g = grid(spark, d).select("img", "x", "y", F.col("v").cast("int").alias("v"))
+    c = strokes.stroke_components(g, "v", low=60, high=240, area=(2, 120), most_cv=0.6, least=0.01, most=0.9, most_variation=1.0)
+    sizes = g.groupBy("img").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return strokes.text_rectangles(c, sizes, margin=1)
