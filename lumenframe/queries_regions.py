@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
 from lumenframe.operators import cluster as C
-from lumenframe.operators import extremal, learners, matching, ordering, regions, strokes
+from lumenframe.operators import extremal, learners, matching, objectness, ordering, regions, strokes
 from lumenframe.queries import _W, _pg, _px, _vec, BOXES_SQL, WITH, boxes, iou_duck, pixel_rows, pred_truth, query
 from lumenframe.queries_more import _grid, grid
 from lumenframe.session import table, written
@@ -195,3 +196,32 @@ def stroke_text_rectangles(spark, d):
     c = strokes.stroke_components(g, "v", low=60, high=240, area=(2, 120), most_cv=0.6, least=0.01, most=0.9, most_variation=1.0)
     sizes = g.groupBy("img").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     return strokes.text_rectangles(c, sizes, margin=1)
+
+
+# A template that is high at the rim of a window and low inside.
+_rim = [1.5 - 0.35 * min(i, j, 7 - i, 7 - j) - 0.03 * ((3 * i + j) % 5) for i in range(8) for j in range(8)]
+_signs = objectness.signs_of(_rim)
+_rim_sql = [sum(w if (word >> (63 - k)) & 1 else -w for word, w in _signs) for k in range(64)]
+_grad_sql = """dn AS (SELECT i.img, CAST(a.x AS INT) AS x, CAST(b.y AS INT) AS y, coalesce(gd.v, 0) AS v FROM (SELECT DISTINCT img FROM gd) i CROSS JOIN range(0, 16) a(x) CROSS JOIN range(0, 16) b(y) LEFT JOIN gd ON gd.img = i.img AND gd.x = a.x AND gd.y = b.y),
+gw AS (SELECT img, x, y, v, lag(v) OVER r AS l, lead(v) OVER r AS n, lag(v) OVER c AS u, lead(v) OVER c AS w FROM dn WINDOW r AS (PARTITION BY img, y ORDER BY x), c AS (PARTITION BY img, x ORDER BY y)),
+gm AS (SELECT img, x, y, least(255, coalesce(abs(l - n), 2 * abs(v - coalesce(l, n))) + coalesce(abs(u - w), 2 * abs(v - coalesce(u, w)))) AS g FROM gw)"""
+
+
+@query(f"""WITH {_px}, {_grid}, {_grad_sql}, wt AS (SELECT unnest({_rim_sql!r}::DOUBLE[]) AS w, generate_subscripts({_rim_sql!r}, 1) - 1 AS k)
+SELECT a.img, a.x, a.y, round(sum(w * (b.g >> 4)), 6) AS score FROM gm a JOIN gm b ON b.img = a.img AND b.x BETWEEN a.x AND a.x + 7 AND b.y BETWEEN a.y AND a.y + 7 JOIN wt ON wt.k = (b.y - a.y) * 8 + b.x - a.x WHERE a.x <= 8 AND a.y <= 8 GROUP BY 1, 2, 3""")
+def objectness_scores(spark, d):
+    """Score of every window of 8 x 8 cells by a template of signs."""
+    g = grid(spark, d).select("img", "x", "y", F.col("v").cast("int").alias("v"))
+    return objectness.scores(g, ["v"], (16, 16), _signs).withColumn("score", F.round("score", 6))
+
+
+_windows = {(8, 8): (0.01, -0.5), (8, 16): (0.012, -0.4), (16, 8): (0.012, -0.4), (4, 4): (0.02, -1.0)}
+
+
+@query()
+def objectness_proposals(spark, d):
+    """The ten best windows of each grid over four sizes."""
+    g = grid(spark, d).select("img", "x", "y", F.col("v").cast("int").alias("v"))
+    p = objectness.proposals(g, ["v"], (16, 16), _windows, _signs, 20)
+    w = Window.partitionBy("img").orderBy(F.desc("score"), "width", "height", "y1", "x1")
+    return p.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where("rank <= 10").drop("raw")
