@@ -55,11 +55,16 @@ def mean_colour_saliency(pixels: DataFrame, channels: dict[str, Column], key: st
     return p.join(mean, key).withColumn("saliency", gap).drop(*channels, *(f"m_{c}" for c in channels))
 
 
-def activation_boxes(cells: DataFrame, weights: DataFrame, key: str = "img", share: float = 0.5) -> DataFrame:
-    """Class-activation map: weighted sums over channels of cells (key, x, y, channel, a), and the box of the cells that reach a share of the largest."""
+def hot_cells(cells: DataFrame, weights: DataFrame, key: str = "img", share: float = 0.5) -> DataFrame:
+    """key, x, y, heat, top: cells of a class-activation map (key, x, y, channel, a) that exceed a share of the largest."""
     heat = cells.join(weights, "channel").groupBy(key, "x", "y").agg(F.sum(F.col("a") * F.col("w")).alias("heat"))
     top = heat.groupBy(key).agg(F.max("heat").alias("top"))
-    hot = heat.join(top, key).where(F.col("heat") > share * F.col("top"))
+    return heat.join(top, key).where(F.col("heat") > share * F.col("top"))
+
+
+def activation_boxes(cells: DataFrame, weights: DataFrame, key: str = "img", share: float = 0.5) -> DataFrame:
+    """Class-activation map: weighted sums over channels of cells (key, x, y, channel, a), and the box of the cells that reach a share of the largest."""
+    hot = hot_cells(cells, weights, key, share)
     return hot.groupBy(key).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"), F.count("*").alias("n"), F.max("top").alias("top"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
 from lumenframe.operators import cluster as C
-from lumenframe.operators import extremal, learners, matching, objectness, ordering, regions, strokes
+from lumenframe.operators import contrast, extremal, images, learners, matching, objectness, ordering, regions, strokes
 from lumenframe.queries import _W, _pg, _px, _vec, BOXES_SQL, WITH, boxes, iou_duck, pixel_rows, pred_truth, query
 from lumenframe.queries_more import _grid, grid
 from lumenframe.session import table, written
@@ -225,3 +225,68 @@ def objectness_proposals(spark, d):
     p = objectness.proposals(g, ["v"], (16, 16), _windows, _signs, 20)
     w = Window.partitionBy("img").orderBy(F.desc("score"), "width", "height", "y1", "x1")
     return p.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where("rank <= 10").drop("raw")
+
+
+# Contrast of colours and segments; cells of the grids with a colour
+
+
+_cg = "cg AS (SELECT img, CAST(r // 16 AS INT) AS x, CAST(g // 16 AS INT) AS y, CAST(max(r) AS INT) AS r, CAST(max(g) AS INT) AS g, CAST(max(b) AS INT) AS b FROM px GROUP BY img, r // 16, g // 16)"
+
+
+def colour_grid(spark, d):
+    p = pixel_rows(spark, d)
+    return p.groupBy("img", F.expr("CAST(r div 16 AS INT)").alias("x"), F.expr("CAST(g div 16 AS INT)").alias("y")).agg(*(F.max(c).alias(c) for c in "rgb"))
+
+
+_labq = "CASE WHEN {v} > 0.008856 THEN pow({v}, 1.0::DOUBLE / 3) ELSE 7.787 * {v} + 16.0 / 116.0 END"
+_pal = f"""cc AS (SELECT *, CAST(floor(r / 255.0::DOUBLE * 11.9999) * 144 + floor(g / 255.0::DOUBLE * 11.9999) * 12 + floor(b / 255.0::DOUBLE * 11.9999) AS INT) AS code FROM cg),
+cn AS (SELECT img, code, count(*) AS n FROM cc GROUP BY 1, 2), cr AS (SELECT *, row_number() OVER w AS rank, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY img) AS total, count(*) OVER (PARTITION BY img) AS kinds FROM cn WINDOW w AS (PARTITION BY img ORDER BY n DESC, code DESC)),
+cs AS (SELECT *, least(count(*) FILTER (rank = 1 OR total - upto + n >= round_even(total * (1 - 0.95::DOUBLE), 0)) OVER (PARTITION BY img), 256) AS k FROM cr), ck AS (SELECT *, rank <= CASE WHEN k <= 10 THEN least(10, kinds) ELSE k END AS kept FROM cs),
+cm AS (SELECT img, code, rank AS colour FROM ck WHERE kept UNION ALL SELECT a.img, a.code, arg_min(b.rank, (pow(a.code // 144 - b.code // 144, 2) + pow(a.code // 12 % 12 - b.code // 12 % 12, 2) + pow(a.code % 12 - b.code % 12, 2)) * 1000 + b.rank) FROM ck a JOIN ck b ON a.img = b.img AND b.kept WHERE NOT a.kept GROUP BY 1, 2),
+cp AS (SELECT cc.*, colour FROM cc JOIN cm USING (img, code)), pm AS (SELECT img, colour, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM cp GROUP BY 1, 2),
+pz AS (SELECT img, colour, n, (0.412453::DOUBLE * r + 0.357580::DOUBLE * g + 0.180423::DOUBLE * b) / (255.0 * 0.950456) AS x, (0.212671::DOUBLE * r + 0.715160::DOUBLE * g + 0.072169::DOUBLE * b) / 255.0 AS y, (0.019334::DOUBLE * r + 0.119193::DOUBLE * g + 0.950227::DOUBLE * b) / (255.0 * 1.088754) AS z FROM pm),
+pf AS (SELECT img, colour, n, y, {_labq.format(v='x')} AS fx, {_labq.format(v='y')} AS fy, {_labq.format(v='z')} AS fz FROM pz), pl AS (SELECT img, colour, n, CASE WHEN y > 0.008856 THEN 116.0 * fy - 16.0 ELSE 903.3 * y END AS l, 500.0 * (fx - fy) AS a, 200.0 * (fy - fz) AS b FROM pf),
+pg AS (SELECT i.img, i.colour, j.colour AS other, j.n, sqrt((i.l - j.l) * (i.l - j.l) + (i.a - j.a) * (i.a - j.a) + (i.b - j.b) * (i.b - j.b)) AS gap FROM pl i JOIN pl j USING (img))"""
+
+
+@query(f"""WITH {_px}, {_cg}, {_pal}, rw AS (SELECT img, colour, sum(n * gap) / sum(n) AS s, count(*) AS kinds FROM pg GROUP BY 1, 2),
+nr AS (SELECT g.*, r.s, r.kinds, row_number() OVER (PARTITION BY g.img, g.colour ORDER BY gap, other) AS k FROM pg g JOIN rw r ON r.img = g.img AND r.colour = g.other), nt AS (SELECT *, sum(gap) OVER (PARTITION BY img, colour) AS total, count(*) OVER (PARTITION BY img, colour) AS size FROM nr WHERE k <= greatest(round_even(kinds * 0.25::DOUBLE, 0), 2)),
+sm AS (SELECT img, colour, sum(s * (total - gap)) / max(total * size) AS smooth FROM nt GROUP BY 1, 2), st AS (SELECT img, colour, (smooth - min(smooth) OVER w) / (max(smooth) OVER w - min(smooth) OVER w) AS s FROM sm WINDOW w AS (PARTITION BY img))
+SELECT c.img, c.x, c.y, c.colour, round(s, 5) AS saliency FROM cp c JOIN st USING (img, colour)""")
+def colour_contrast(spark, d):
+    """Contrast of the colour of each cell with all colours of its grid, smoothed over similar colours."""
+    c = written(contrast.quantised(colour_grid(spark, d)), "grid-colours")
+    return c.join(contrast.colour_contrast(contrast.palette(c)), ["img", "colour"]).select("img", "x", "y", "colour", F.round("saliency", 5).alias("saliency"))
+
+
+@query(f"""WITH {_px}, {_cg}, {_pal}, sp AS (SELECT *, (y // 4) * 4 + x // 4 AS segment FROM cp), sg AS (SELECT img, segment, count(*) AS n, avg(x) / 16 AS cx, avg(y) / 16 AS cy, avg(abs(x - 8)) / 16 AS ox, avg(abs(y - 8)) / 16 AS oy FROM sp GROUP BY 1, 2),
+sc AS (SELECT s.img, s.segment, s.colour, count(*) / any_value(g.n) AS f FROM sp s JOIN sg g USING (img, segment) GROUP BY 1, 2, 3),
+pr AS (SELECT a.img, a.segment, b.segment AS t, sum(a.f * b.f * gap) AS dd FROM sc a JOIN sc b ON a.img = b.img AND a.segment != b.segment JOIN pg ON pg.img = a.img AND pg.colour = a.colour AND pg.other = b.colour GROUP BY 1, 2, 3),
+sv AS (SELECT p.img, p.segment, sum(t.n * dd * exp(-(pow(s.cx - t.cx, 2) + pow(s.cy - t.cy, 2)) / 0.4)) * exp(-9.0 * (any_value(s.ox) * any_value(s.ox) + any_value(s.oy) * any_value(s.oy))) AS s FROM pr p JOIN sg s USING (img, segment) JOIN sg t ON t.img = p.img AND t.segment = p.t GROUP BY 1, 2)
+SELECT img, CAST(segment AS INT) AS segment, round((s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w), 5) AS saliency FROM sv WINDOW w AS (PARTITION BY img)""")
+def block_contrast(spark, d):
+    """Contrast between blocks of 4 x 4 cells as segments."""
+    c = written(contrast.quantised(colour_grid(spark, d)), "grid-colours").withColumn("segment", F.expr("CAST((y div 4) * 4 + x div 4 AS INT)"))
+    return contrast.segment_contrast(c, (16, 16)).withColumn("saliency", F.round("saliency", 5))
+
+
+@query()
+def segment_contrast(spark, d):
+    """Contrast between the graph segments of each grid; likely background has none."""
+    c = written(contrast.quantised(colour_grid(spark, d)), "grid-colours")
+    seg = written(learners.segments(c.select("img", "x", "y", ((F.col("r") + F.col("g") + F.col("b")) / 3).alias("v")), "img", 120.0, 4), "grid-segments")
+    s = contrast.segment_contrast(c.join(seg, ["img", "x", "y"]), (16, 16))
+    back = contrast.border_segments(seg, (16, 16), share=0.1).withColumn("back", F.lit(0.0))
+    return s.join(back, ["img", "segment"], "left").select("img", "segment", F.round(F.coalesce("back", "saliency"), 5).alias("saliency"))
+
+
+_hot = f"{_grid}, ct AS (SELECT img, x, y, v % 3 AS channel, CAST(v AS DOUBLE) AS a FROM gd), ht AS (SELECT img, x, y, sum(a * w) AS heat FROM ct JOIN (VALUES (0, 0.5), (1, 1.25), (2, -0.75)) k(channel, w) USING (channel) GROUP BY 1, 2, 3), tp AS (SELECT img, max(heat) AS top FROM ht GROUP BY img), hm AS (SELECT img, x, y FROM ht JOIN tp USING (img) WHERE heat > 0.9 * top)"
+
+
+@query(f"""WITH RECURSIVE {_px}, {_hot}, rc AS (SELECT img, x, y, x AS qx, y AS qy FROM hm UNION SELECT r.img, r.x, r.y, h.x, h.y FROM rc r JOIN hm h ON h.img = r.img AND abs(h.x - r.qx) <= 1 AND abs(h.y - r.qy) <= 1),
+bl AS (SELECT img, x, y, min(qy * 65536 + qx) AS first FROM rc GROUP BY 1, 2, 3), g AS (SELECT img, first, count(*) AS n, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM bl GROUP BY 1, 2)
+SELECT img, CAST(row_number() OVER (PARTITION BY img ORDER BY n DESC, first) AS INT) AS spot, n, x1, y1, x2, y2 FROM g""")
+def activation_spots(spark, d):
+    """The separate hot spots of each activation map."""
+    c = grid(spark, d).select("img", "x", "y", (F.col("v") % 3).alias("channel"), F.col("v").cast("double").alias("a"))
+    return contrast.spots(images.hot_cells(c, spark.createDataFrame([(0, 0.5), (1, 1.25), (2, -0.75)], "channel int, w double"), share=0.9))
