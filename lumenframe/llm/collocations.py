@@ -10,8 +10,8 @@
 3. Candidates are joined with the counts of both parts of each of their cuts, scored in exact decimals, and
    compared with the longer candidates that hold them; the best of a language are kept by levels.
 
-The sketch has about a cell for every four bytes of text, up to 2^MOST_BITS cells a row, so the broadcast bitmaps have at
-most DEPTH * 2^MOST_BITS / 8 bytes (128 MB). Beyond some 2 GB of text cells fill up, the filter
+The sketch has about a cell a row for every CELL_BYTES bytes of text, up to 2^MOST_BITS cells a row, so the broadcast bitmaps have at
+most DEPTH * 2^MOST_BITS / 8 bytes (128 MB). Beyond some 8 GB of text cells fill up, the filter
 lets more pass, and in the end all phrases are aggregated exactly: results are the same, only the second shuffle grows.
 
 Joins on parts have hot keys (a frequent word begins many phrases); they are plain joins of two shuffled tables,
@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import drop_written, forget, parallel, table, written
 from lumenframe.llm.kernels import BASE, MIX_2, U64, lower_ascii, mix, prefix_hash, span_hash
-from lumenframe.llm.moving import blocks_by_bucket, buckets_for, by_bucket, dealt, emitted, gathered, text_bytes, unpacked
+from lumenframe.llm.moving import blocks_by_bucket, buckets_for, by_bucket, emitted, gathered, text_bytes, unpacked
 
 DEPTH = 2
 #: Cells of a segment, and the least and most cells of a row, as powers of two.
 SEGMENT_BITS, LEAST_BITS, MOST_BITS = 18, 18, 29
+#: Bytes of text to a cell of a row: some five phrases fall to a cell, and few light ones have a heavy cell in both rows.
+CELL_BYTES = 16
 #: Bytes of text that a task looks at together; longer texts are cut at separators.
 BATCH = 6 << 20
 #: Hashes that a task gathers before it sends their cells.
@@ -217,7 +219,7 @@ def sketch(docs: DataFrame, least: int, longest: int, bits: int) -> list[np.ndar
 
     parts = min(DEPTH * segments, max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     blocks = docs.mapInArrow(run, "bucket int, kind int, block binary")
-    merged = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, heavy binary")
+    merged = blocks.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, heavy binary")
     out = np.zeros((DEPTH * segments, (1 << SEGMENT_BITS) // 8), dtype=np.uint8)
     for bucket, heavy in merged.toLocalIterator():
         out[bucket] = np.frombuffer(heavy, dtype=np.uint8)
@@ -263,7 +265,7 @@ def frequent(docs: DataFrame, least: int, longest: int) -> DataFrame:
     """lang, phrase, f of all phrases with f >= least; f of the empty phrase counts all words of a language."""
     src = parallel(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
     size = text_bytes(src)
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / 4)))))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / CELL_BYTES)))))
     heavy = src.sparkSession.sparkContext.broadcast(sketch(src, least, longest, bits))
     buckets = buckets_for(size, BUCKET, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -300,8 +302,8 @@ def frequent(docs: DataFrame, least: int, longest: int) -> DataFrame:
             t = t.filter(pc.or_(pc.greater_equal(t.column("f"), least), pc.equal(t.column("phrase"), "")))
             yield from t.combine_chunks().to_batches(max_chunksize=20_000)
 
-    blocks = dealt(src.mapInArrow(run, "bucket int, kind int, block binary"), buckets)
-    return written(blocks.mapInArrow(add_up, "lang string, phrase string, f long"), "phrases")
+    blocks = src.mapInArrow(run, "bucket int, kind int, block binary").repartitionById(buckets, F.col("bucket"))
+    return written(blocks.sortWithinPartitions("bucket").mapInArrow(add_up, "lang string, phrase string, f long"), "phrases")
 
 
 def scored(counts: DataFrame, candidates: DataFrame) -> DataFrame:
