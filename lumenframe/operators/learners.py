@@ -166,13 +166,19 @@ def kernel(features: Column, vector: Column, kind: str = "rbf", gamma: float = 1
     return {"linear": lambda: z, "poly": lambda: F.pow(gamma * z + coef0, F.lit(float(degree))), "sigmoid": lambda: F.tanh(gamma * z + coef0)}[kind]()
 
 
-def decision_values(rows: DataFrame, key: str, features: str, vectors: DataFrame, rho: float, **how) -> DataFrame:
+def decision_values(rows: DataFrame, key: str, features: str, vectors: DataFrame, rho: float, most: int = 5000, **how) -> DataFrame:
     """key, value: the sum of coefficients times kernels over a table of support vectors (coef, vector), less rho.
 
-    Every row meets every vector: the model is a bounded table, whose size Spark checks before it is broadcast.
+    The model, ``most`` vectors at most, is an array literal over which each row folds: no join and no shuffle.
     """
-    x = rows.select(key, doubles(F.col(features)).alias("f")).join(vectors.select("coef", "vector"), how="cross")
-    return x.groupBy(key).agg((F.sum(F.col("coef") * kernel(F.col("f"), F.col("vector"), **how)) - rho).alias("value"))
+    model = vectors.select("coef", "vector").limit(most + 1).collect()
+    if len(model) > most:
+        raise ValueError(f"more than {most} support vectors")
+    f = F.col("f")
+    number = lambda x: F.lit(float(x))
+    array = F.array(*(F.struct(number(r.coef).alias("coef"), F.array(*map(number, r.vector)).alias("vector")) for r in sorted(model)))
+    value = F.aggregate(array, F.lit(0.0), lambda s, v: s + v["coef"] * kernel(f, v["vector"], **how)) if model else F.lit(0.0)
+    return rows.select(key, doubles(F.col(features)).alias("f")).select(key, (value - rho).alias("value"))
 
 
 def stump_votes(rows: DataFrame, stumps: list[tuple[str, float, float, float]]) -> Column:

@@ -99,8 +99,8 @@ def label_map_keep(spark, d):
     return labels.mapped_keep(voc_rows(spark, d), labels.label_map(spark)).select("image_id", "ord", "label")
 
 
-@query(f"""{WITH}, v AS (SELECT image_id * 10 + ord % 10 AS image_id, ord, {_voc_case} AS label FROM boxes), j AS (SELECT v.*, mapped FROM v LEFT JOIN {_map} USING (label))
-SELECT image_id, ord, label, mapped FROM j WHERE image_id NOT IN (SELECT image_id FROM j WHERE mapped IS NULL)""")
+@query(f"""{WITH}, v AS (SELECT image_id * 10 + ord % 10 AS image_id, ord, {_voc_case} AS label FROM boxes), j AS (SELECT v.*, mapped, count(*) FILTER (mapped IS NULL) OVER (PARTITION BY image_id) AS none FROM v LEFT JOIN {_map} USING (label))
+SELECT image_id, ord, label, mapped FROM j WHERE none = 0""")
 def label_map_all_or_nothing(spark, d):
     v = voc_rows(spark, d).withColumn("image_id", F.expr("image_id * 10 + ord % 10"))
     return filters.all_or_nothing(v, labels.label_map(spark), "image_id", "label").select("image_id", "ord", "label", "mapped")
@@ -127,13 +127,14 @@ def class_merge_thresholds(spark, d):
     return labels.merged_with_ranges(fine_rows(spark, d), spark).select("image_id", "ord", "fine", "score", "coarse")
 
 
-@query(f"""{WITH}, f AS ({_fine} WHERE ord = 1), c AS (SELECT image_id, CASE WHEN {_reach} THEN {_merged}[fine + 1] ELSE 0 END AS coarse FROM f),
-s AS (SELECT image_id, CAST(100 + label_id AS INT) AS second FROM boxes WHERE ord = 2 AND score >= 0.5)
-SELECT image_id, CASE WHEN coarse = 0 THEN coalesce(second, 0) ELSE coarse END AS coarse FROM c LEFT JOIN s USING (image_id)""")
+@query(f"""{WITH}, f AS (SELECT image_id * 1000 + ord AS box, CAST((image_id + ord) % 73 AS INT) AS fine, score, label_id FROM boxes), c AS (SELECT *, CASE WHEN {_reach} THEN {_merged}[fine + 1] ELSE 0 END AS coarse FROM f)
+SELECT box, CAST(CASE WHEN coarse = 0 THEN CASE WHEN score >= 0.5 THEN 100 + label_id ELSE 0 END ELSE coarse END AS INT) AS coarse FROM c""")
 def fallback_cascade(spark, d):
-    first = labels.merged_with_ranges(fine_rows(spark, d).where("ord = 1"), spark).select("image_id", "coarse")
-    second = boxes(spark, d).where("ord = 2 AND score >= 0.5").select("image_id", (F.col("label_id") + 100).alias("coarse"))
-    return labels.cascade(first, second, "image_id")
+    """The merged class of each box, or that of a second model where the first says other."""
+    box = (F.col("image_id") * 1000 + F.col("ord")).alias("box")
+    first = labels.merged_with_ranges(fine_rows(spark, d), spark).select(box, "coarse")
+    second = boxes(spark, d).where("score >= 0.5").select(box, (F.col("label_id") + 100).alias("coarse"))
+    return labels.cascade(first, second, "box")
 
 
 _route = "CASE WHEN label_id IN (0, 1) THEN 'quality_people' WHEN label_id = 2 THEN 'quality_goods' WHEN score < 0.2 THEN 'blur' ELSE 'quality_default' END"
@@ -360,9 +361,9 @@ def second_best_confirm(spark, d):
     return matching.with_support(b, b, 0.3, 2).select(*b.columns)
 
 
-@query(f"{WITH}, x AS (SELECT DISTINCT image_id, label_id FROM boxes WHERE score >= 0.9) SELECT a.label_id AS i, b.label_id AS j, count(*) AS n FROM x a JOIN x b ON a.image_id = b.image_id AND a.label_id < b.label_id GROUP BY 1, 2")
+@query(f"{WITH}, x AS (SELECT DISTINCT image_id, label_id FROM boxes) SELECT a.label_id AS i, b.label_id AS j, count(*) AS n FROM x a JOIN x b ON a.image_id = b.image_id AND a.label_id < b.label_id GROUP BY 1, 2")
 def label_cooccurrence(spark, d):
-    return matching.cooccurrence(boxes(spark, d).where("score >= 0.9"), "image_id", "label_id")
+    return matching.cooccurrence(boxes(spark, d), "image_id", "label_id")
 
 
 # Vectors
@@ -630,9 +631,9 @@ def joint_histogram_top2(spark, d):
     return histograms.top_bins(q, "img", ["r6", "g6", "b6"])
 
 
-@query(f"WITH {_px}, w AS (SELECT img, max(r) - min(r) AS r, max(g) - min(g) AS g, max(b) - min(b) AS b FROM px WHERE r < 200 GROUP BY img) SELECT img, CASE WHEN r >= g AND r >= b THEN 'r' WHEN g >= b THEN 'g' ELSE 'b' END AS channel, greatest(r, g, b) AS range FROM w")
+@query(f"WITH {_px}, w AS (SELECT img, max(r) - min(r) AS r, max(g) - min(g) AS g, max(b) - min(b) AS b FROM px GROUP BY img) SELECT img, CASE WHEN r >= g AND r >= b THEN 'r' WHEN g >= b THEN 'g' ELSE 'b' END AS channel, greatest(r, g, b) AS range FROM w")
 def widest_channel(spark, d):
-    return histograms.widest_channel(pixel_rows(spark, d).where("r < 200"), "img", ["r", "g", "b"])
+    return histograms.widest_channel(pixel_rows(spark, d), "img", ["r", "g", "b"])
 
 
 @query(f"""WITH {_px} SELECT img, count(*) AS n, count(*) FILTER ((r > 95 AND g > 40 AND b > 20 AND r - b > 15 AND r - g > 15) OR (r > 200 AND g > 210 AND b > 170 AND abs(r - b) <= 15 AND b < r AND b < g)) AS skin,
