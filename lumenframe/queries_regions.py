@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions import pixels as P
 from lumenframe.functions import vectors as V
 from lumenframe.operators import cluster as C
-from lumenframe.operators import contrast, extremal, images, learners, matching, objectness, ordering, regions, strokes
+from lumenframe.operators import contrast, extremal, images, learners, matching, objectness, ordering, regions, solvers, strokes, windows
 from lumenframe.queries import _W, _pg, _px, _vec, BOXES_SQL, WITH, boxes, iou_duck, pixel_rows, pred_truth, query
 from lumenframe.queries_more import _grid, grid
 from lumenframe.session import table, written
@@ -290,3 +291,66 @@ def activation_spots(spark, d):
     """The separate hot spots of each activation map."""
     c = grid(spark, d).select("img", "x", "y", (F.col("v") % 3).alias("channel"), F.col("v").cast("double").alias("a"))
     return contrast.spots(images.hot_cells(c, spark.createDataFrame([(0, 0.5), (1, 1.25), (2, -0.75)], "channel int, w double"), share=0.9))
+
+
+# Windows, descriptors, solvers
+
+
+def face_windows(spark, d):
+    """A face of each kind for each grid and for each of four corners."""
+    g = grid(spark, d).select("img").distinct().withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    x, y = F.expr("CAST((ord * 5 + img) % 9 AS INT)"), F.expr("CAST((ord * 7 + img * 3) % 8 AS INT)")
+    return g.select("img", "ord", F.expr("CAST(ord % 3 + 1 AS INT)").alias("kind"), x.alias("x1"), y.alias("y1"), (x + 5).alias("x2"), (y + 6).alias("y2"))
+
+
+@query(f"""WITH {_px}, {_grid}, fw AS (SELECT img, ord, (ord * 5 + img) % 9 AS x, (ord * 7 + img * 3) % 8 AS y FROM (SELECT DISTINCT img FROM gd), range(0, 12) o(ord)),
+ct AS (SELECT fw.img, ord, gd.v // 43 AS bin, count(*) AS n FROM fw JOIN gd ON gd.img = fw.img AND gd.x BETWEEN fw.x AND fw.x + 4 AND gd.y BETWEEN fw.y AND fw.y + 5 GROUP BY 1, 2, 3),
+sh AS (SELECT img, ord, n / sum(n) OVER (PARTITION BY img, ord) AS p FROM ct) SELECT img, CAST(ord AS INT) AS ord, round(-sum(p * log2(p)), 6) AS entropy FROM sh GROUP BY 1, 2""")
+def window_entropies(spark, d):
+    """Entropy of the grey levels in windows of the grids, from integral histograms."""
+    g = grid(spark, d).select("img", "x", "y", F.col("v").cast("int").alias("v"))
+    h = windows.window_histograms(face_windows(spark, d).drop("kind"), windows.integral_histogram(g, "v", (16, 16)), (16, 16))
+    return h.select("img", "ord", F.round(V.entropy(F.col("p")), 6).alias("entropy"))
+
+
+@query()
+def searched_faces(spark, d):
+    """Borders of faces searched for by the entropy of windows."""
+    g = grid(spark, d).select("img", "x", "y", F.col("v").cast("int").alias("v"))
+    return windows.searched(face_windows(spark, d), g, "v", (16, 16))
+
+
+@query()
+def global_descriptors(spark, d):
+    """Length and largest place of the descriptor of each grid by oriented filters."""
+    g = windows.global_descriptors(grid(spark, d).select("img", "x", "y", F.col("v").cast("int").alias("v")), "v", (16, 16))
+    return g.select("img", F.size("descriptor").alias("n"), F.round(F.array_max("descriptor"), 4).alias("most"), (F.array_position("descriptor", F.array_max("descriptor")) - 1).alias("place"))
+
+
+@query(f"""WITH {_px}, {_cg}, hc AS (SELECT img, CAST(greatest(r, g, b) AS DOUBLE) AS t, CAST(least(r, g, b) AS DOUBLE) AS w, r, g, b FROM cg WHERE pow((x - 8) / 2.0, 2) + pow((y - 8) / 5.0, 2) <= 1),
+hu AS (SELECT img, t / 255 AS t, w / 255 AS w, CASE WHEN t = w THEN 0 WHEN r = t THEN CASE WHEN g < b THEN 360 + 60 * (g - b) / (t - w) ELSE 60 * (g - b) / (t - w) END WHEN g = t THEN 120 + 60 * (b - r) / (t - w) ELSE 240 + 60 * (r - g) / (t - w) END AS hue FROM hc),
+hs AS (SELECT img, hue, (t + w) / 2 AS l, coalesce((t - w) / nullif(CASE WHEN (t + w) / 2 <= 0.5 THEN t + w ELSE 2 - t - w END, 0), 0) AS s FROM hu)
+SELECT img, CAST(least(floor(hue / 360 * 16), 15) * 16 + least(floor(s * 4), 3) * 4 + least(floor(l * 4), 3) AS INT) AS bin, count(*) AS n FROM hs GROUP BY 1, 2""")
+def ellipse_colour_histogram(spark, d):
+    """Histogram of hue, saturation and lightness over the ellipse at the centre of each grid."""
+    c = colour_grid(spark, d).where(windows.in_ellipse((16, 16)))
+    return c.groupBy("img", P.hsl_bin().alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query()
+def solver_objectives(spark, d):
+    """Objective and accuracy of linear and kernel machines that tell even labels from odd ones."""
+    v = table(spark, d, "embeddings").select("vec_id", V.doubles("embedding").alias("e"), F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0).alias("s")).cache()
+    right = lambda value: float(v.agg(F.avg(F.when(value * F.col("s") > 0, 1.0).otherwise(0.0))).first()[0] or 0)
+    of = lambda w: V.dot(F.col("e"), F.array(*map(F.lit, map(float, w[:-1])))) + float(w[-1])
+    rows = []
+    w, f = solvers.trust_region(v, "e", "s", "logistic", tolerance=3e-2)
+    rows.append(("logistic", round(f, 1), round(right(of(w)), 3)))
+    w, primal, _ = solvers.dual_descent(v, "e", "s", rounds=5, gap=1e-2)
+    rows.append(("dual hinge", round(primal, 1), round(right(of(w)), 3)))
+    vectors, rho = solvers.kernel_machine(v, "e", "s", gamma=0.5, most=5000)
+    value = learners.decision_values(v, "vec_id", "e", vectors, rho, kind="rbf", gamma=0.5)
+    kernel = v.join(value, "vec_id").agg(F.avg(F.when(F.col("value") * F.col("s") > 0, 1.0).otherwise(0.0))).first()[0]
+    rows.append(("kernel", float(vectors.count()), round(float(kernel or 0), 3)))
+    v.unpersist()
+    return spark.createDataFrame(rows, "machine string, value double, accuracy double")
