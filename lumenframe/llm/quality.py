@@ -6,10 +6,13 @@ error whose merge is the addition of counts, so it is an ordinary partial aggreg
 not depend on partitions. The fences come from the sketches alone:
 
 * Spread features (length of words) lie around a middle: a fence is the outer quartile and
-  ``reach`` times the distance of the quartiles beyond it, more in a small group.
+  ``reach`` times the distance of the quartiles beyond it.
 * Rate features (symbols, repeated lines, repeated words) are zero for most texts of most groups:
   the fence is the end of the tail that hangs together with the third quartile. A tail ends before
-  a run of empty bins an octave wide, wider in a small group, where gaps arise by chance.
+  a run of empty bins an octave wide, or two octaves where less than a ``crowd``th of the texts lies beyond it: gaps
+  before a few stray texts arise by chance.
+
+Only shares of texts enter, no numbers of texts: any table and the same table twice have the same fences.
 
 A text is rejected if a feature stands out both in its group and in its language over all sources:
 what is common in a source, or in a language, is no fault there.
@@ -47,11 +50,11 @@ STEP_BITS = 4
 class Rules:
     min_words: int = 20
     max_repeat_percent: int = 30
-    #: Distances between the quartiles from the outer quartile to the fence of a spread feature, in a large group.
+    #: Distances between the quartiles from the outer quartile to the fence of a spread feature.
     reach: int = 6
-    #: Empty bins that end the tail of a rate feature in a large group, and the texts below which each halving adds as many.
+    #: Empty bins that end the tail of a rate feature, and the share of texts beyond them (one in so many) below which twice as many must be empty.
     gap: int = 1 << STEP_BITS
-    large: int = 1000
+    crowd: int = 100
 
 
 #: Features: (name, whether its values spread around a middle, expression).
@@ -151,13 +154,12 @@ def fences(sketch: DataFrame, rules: Rules) -> DataFrame:
     q = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "size": F.sum("n").over(w), "next": F.lead("bin").over(w.orderBy("bin"))})
     third = 4 * F.col("upto") >= 3 * F.col("size")
     q = q.withColumns({"b1": F.min(F.when(4 * F.col("upto") >= F.col("size"), F.col("bin"))).over(w), "b3": F.min(F.when(third, F.col("bin"))).over(w)})
-    # Halvings from ``large`` down to the size of the group.
-    halvings = sum((F.when(F.col("size") < rules.large >> k, 1).otherwise(0) for k in range(rules.large.bit_length())), F.lit(0))
-    ends = (F.col("bin") >= F.col("b3")) & (F.col("next") - F.col("bin") > rules.gap * (1 + halvings))
+    few = F.when((F.col("size") - F.col("upto")) * rules.crowd < F.col("size"), 1).otherwise(0)
+    ends = (F.col("bin") >= F.col("b3")) & (F.col("next") - F.col("bin") > rules.gap * (1 + few))
     value = lambda c: F.expr(bin_floor(c))
     q = q.groupBy(*group).agg(F.max("size").alias("size"), F.max("b1").alias("b1"), F.max("b3").alias("b3"), F.min(F.when(ends, F.col("bin"))).alias("last"))
-    # At least a bin, the sketch's rounding; a small group reaches further.
-    room = F.expr(f"{rules.reach} * greatest({bin_floor('b3')} - {bin_floor('b1')}, {bin_floor('(b3 + 1)')} - {bin_floor('b3')}) * (size + 50) div size")
+    # At least a bin, the sketch's rounding.
+    room = F.expr(f"{rules.reach} * greatest({bin_floor('b3')} - {bin_floor('b1')}, {bin_floor('(b3 + 1)')} - {bin_floor('b3')})")
     aggs = []
     for name, spread, _ in FEATURES:
         own = F.col("feature") == name
@@ -203,7 +205,7 @@ def op3_sql(rules: Rules = Rules()) -> str:
 
     spread = ", ".join(f"'{f}'" for f, s, _ in FEATURES if s)
     long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{f}' AS feature, CAST({v.replace(' div ', ' // ')} AS BIGINT) AS v FROM counts" for f, _, v in FEATURES)
-    halvings = " + ".join(f"(size < {rules.large >> k})::INT" for k in range(rules.large.bit_length()))
+    few = f"((size - upto) * {rules.crowd} < size)::INT"
     return f"""
 WITH w AS (
   SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i
@@ -243,10 +245,10 @@ WITH w AS (
     min(CASE WHEN 4 * upto >= 3 * size THEN b END) OVER (PARTITION BY level, lang, source, feature) AS b3 FROM qu
 ), qs AS (
   SELECT level, lang, source, feature, max(size) AS size, max(b1) AS b1, max(b3) AS b3,
-    min(CASE WHEN b >= b3 AND following - b > {rules.gap} * (1 + {halvings}) THEN b END) AS last_ FROM qb GROUP BY level, lang, source, feature
+    min(CASE WHEN b >= b3 AND following - b > {rules.gap} * (1 + {few}) THEN b END) AS last_ FROM qb GROUP BY level, lang, source, feature
 ), ro AS (
   SELECT *, {floor_sql('b1')} AS q1, {floor_sql('b3')} AS q3, {floor_sql('(last_ + 1)')} - 1 AS tail,
-    {rules.reach} * greatest({floor_sql('b3')} - ({floor_sql('b1')}), ({floor_sql('(b3 + 1)')}) - ({floor_sql('b3')})) * (size + 50) // size AS room FROM qs
+    {rules.reach} * greatest({floor_sql('b3')} - ({floor_sql('b1')}), ({floor_sql('(b3 + 1)')}) - ({floor_sql('b3')})) AS room FROM qs
 ), fe AS (
   SELECT level, lang, source, feature, CASE WHEN feature IN ({spread}) THEN q3 + room ELSE coalesce(tail, {ENDLESS}) END AS high, CASE WHEN feature IN ({spread}) THEN q1 - room ELSE -1 END AS low FROM ro
 ), ok AS (

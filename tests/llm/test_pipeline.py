@@ -71,11 +71,11 @@ def py_quality(rows):
         size = len(b)
         q1, q3 = b[-(-size // 4) - 1], b[-(-3 * size // 4) - 1]
         if spread:
-            room = 6 * max(py_floor(q3) - py_floor(q1), py_floor(q3 + 1) - py_floor(q3)) * (size + 50) // size
+            room = 6 * max(py_floor(q3) - py_floor(q1), py_floor(q3 + 1) - py_floor(q3))
             return py_floor(q1) - room, py_floor(q3) + room
-        gap = 16 * (1 + sum(size < 1000 >> k for k in range(10)))
+        gap = lambda x: 16 * (1 + (sum(y > x for y in b) * 100 < size))
         own = sorted(set(b))
-        last = next((x for x, y in zip(own, own[1:]) if x >= q3 and y - x > gap), None)
+        last = next((x for x, y in zip(own, own[1:]) if x >= q3 and y - x > gap(x)), None)
         return -1, float("inf") if last is None else py_floor(last + 1) - 1
 
     kept = []

@@ -60,3 +60,14 @@ def test_groups_of_few_texts_and_nulls(spark):
     rows += [(7, symbols(prose(rnd, 50), 30), "zz", "c")] * 3
     out = judged(spark, rows)
     assert [out[i].kept for i in (1, 2, 3, 4, 7)] == [True] * 5 and not out[5].kept and not out[6].kept
+
+
+def test_no_verdict_depends_on_the_number_of_rows(spark):
+    """Every row twice, or eight times: the same verdicts; only shares of texts count."""
+    rnd = random.Random(6)
+    rows = [(i, symbols(prose(rnd, 60), rnd.choice([0, 0, 0, 0, 2, 5, 30]) if i % 9 else 95), rnd.choice(["en", "de"]), f"s{i % 4}") for i in range(150)]
+    once = {i: r.kept for i, r in judged(spark, rows).items()}
+    assert 5 < sum(not k for k in once.values()) < 60
+    for times in (2, 8):
+        more = [(i + 1000 * k, *r) for i, *r in rows for k in range(times)]
+        assert {i: r.kept for i, r in judged(spark, more).items()} == {i + 1000 * k: v for i, v in once.items() for k in range(times)}
