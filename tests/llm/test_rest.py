@@ -313,3 +313,30 @@ def test_embeddings_against_all_pairs(spark):
     finally:
         embeddings.WHOLE = old
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_url_rules_of_equal_length_and_plain_training():
+    """Of rules of one length the first in order wins; the model is that of a plain gradient descent, row by row."""
+    book = urls.RuleBook([("block", "b.org/x"), ("allow", "b.org/x"), ("allow", "a.b.org/"), ("block", "org/")])
+    assert book.find("b.org", "/xy") == ("b.org/x", "block") and book.find("c.a.b.org", "/") == ("a.b.org/", "allow") and book.find("b.orga", "/x") == (None, None)
+    rows = [("http://casino-top.com/win", 1), ("http://poker.net/", 1), ("http://library.org/books", 0), ("http://museum.fr/about", 0), ("http://city.de/", 0), ("nothing", 0)]
+    got = urls.train(rows, steps=30, rate=2.0, decay=0.01)
+    grams = [urls.gram_indices([urls.host_path(u)])[1].tolist() for u, _ in rows]
+    w, b = np.zeros(urls.DIMS), 0.0
+    for _ in range(30):
+        step, db = 0.01 * w, 0.0
+        for g, (_, y) in zip(grams, rows, strict=True):
+            n = math.sqrt(max(len(g), 1))
+            p = 1 / (1 + math.exp(-(sum(w[i] for i in g) / n + b)))
+            share = 0.2 / 2 if y else 0.8 / 4
+            for i in g:
+                step[i] += (p - y) * share / n
+            db += (p - y) * share
+        w, b = w - 2.0 * step, b - 2.0 * db
+    assert got[:-1] == pytest.approx(w, abs=1e-9) and got[-1] == pytest.approx(b, abs=1e-9)
+
+
+def test_url_words_held_out_by_stem():
+    """Hosts of stems that training never saw: a model of n-grams knows some by their parts, and allows what it does not know."""
+    blocked, allowed = urls.held_out()
+    assert blocked > 0.15 and allowed > 0.9
