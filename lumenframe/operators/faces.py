@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators.matching import BOX, pairs, without_overlap, with_support
 from lumenframe.operators.ranking import with_default
+from lumenframe.operators.windows import HALF, searched
 
 
 def lone_parts(faces: DataFrame, parts: DataFrame, apart: float = 0.1, together: float = 0.005) -> DataFrame:
@@ -15,11 +16,11 @@ def lone_parts(faces: DataFrame, parts: DataFrame, apart: float = 0.1, together:
     return with_support(free, free, together)
 
 
-def repaired(rows: DataFrame, face: str = "face", half: str = "half", parts: tuple[str, ...] = ("eye", "mouth", "nose"), low: float = 0.3, high: float = 0.7, width: int = 640, height: int = 480) -> DataFrame:
+def repaired(rows: DataFrame, face: str = "face", half: str = "half", parts: tuple[str, ...] = ("eye", "mouth", "nose"), low: float = 0.3, high: float = 0.7, width: int = 640, height: int = 480, pixels: DataFrame | None = None) -> DataFrame:
     """image_id, kind, label, score and box: strong faces, weak faces that two parts confirm, and faces made from parts, else from halves.
 
-    A face made from parts is the rectangle around the lone parts of its image with the best of their scores, where the
-    original searches the pixels for its borders. Images without any face get a row that covers them.
+    A face made from parts is the rectangle around the lone parts of its image with the best of their scores; with grey pixels
+    (image_id, x, y, v) at hand a half face is widened to where the grey levels change. Images without any face get a row that covers them.
     """
     rows = rows.where(F.col("score") >= low)
     cols = ["image_id", "kind", "label", "score", *BOX]
@@ -28,6 +29,9 @@ def repaired(rows: DataFrame, face: str = "face", half: str = "half", parts: tup
     made = lone.groupBy("image_id").agg(F.count("*").alias("n"), F.max("score").alias("score"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")).where("n >= 2")
     made = made.withColumns({"kind": F.lit("parts"), "label": F.lit(face)}).select(*cols)
     halves = without_overlap(rows.where(F.col("label") == half), faces, 0.3, "eval").join(made.select("image_id"), "image_id", "left_anti")
+    if pixels is not None:
+        wide = searched(halves.select("image_id", "ord", F.lit(HALF).alias("kind"), *BOX), pixels, "v", (width, height), "image_id")
+        halves = halves.drop(*BOX).join(wide.drop("kind"), ["image_id", "ord"])
     halves = halves.withColumns({"kind": F.lit("half"), "label": F.lit(face)}).select(*cols)
     strong = faces.where(F.col("score") >= high).withColumn("kind", F.lit("strong")).select(*cols)
     weak = faces.where(F.col("score") < high)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from pathlib import Path
 import urllib.request
 
 import pyarrow as pa
@@ -71,12 +72,27 @@ def post_rows(url: str, columns: list[str], timeout: float = 10.0):
 
 
 class _Poll(SimpleDataSourceStreamReader):
-    """Offsets count polls that gave items; an error is waited out once and gives no rows."""
+    """Offsets count polls that gave items; an error is waited out once and gives no rows.
+
+    The service gives an item once, so a poll's items are kept in the folder ``keep``, which the driver sees after a restart too, until its batch is
+    committed. Without that option a restart with uncommitted polls fails rather than lose their items.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.url, self.limit = options["url"], int(options.get("limit", "100"))
         self.wait, self.timeout = float(options.get("wait", "2")), float(options.get("timeout", "10"))
         self.held: dict[int, list[tuple[str, str]]] = {}
+        self.keep = Path(options["keep"]) if options.get("keep") else None
+        if self.keep:
+            self.keep.mkdir(parents=True, exist_ok=True)
+
+    def kept(self, poll: int) -> list[tuple[str, str]]:
+        if poll not in self.held:
+            file = self.keep and self.keep / f"poll-{poll}.json"
+            if not file or not file.exists():
+                raise RuntimeError(f"the items of poll {poll} are gone: set the option keep to a folder that outlives the driver")
+            self.held[poll] = [(a, b) for a, b in json.loads(file.read_text())]
+        return self.held[poll]
 
     def initialOffset(self) -> dict:
         return {"polls": 0}
@@ -96,12 +112,20 @@ class _Poll(SimpleDataSourceStreamReader):
                 time.sleep(self.wait)
             return iter([]), start
         self.held[start["polls"]] = rows
+        if self.keep:
+            new = self.keep / f"poll-{start['polls']}.new"
+            new.write_text(json.dumps(rows))
+            new.replace(new.with_suffix(".json"))
         return iter(rows), {"polls": start["polls"] + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([r for k in range(start["polls"], end["polls"]) for r in self.held.get(k, [])])
+        return iter([r for k in range(start["polls"], end["polls"]) for r in self.kept(k)])
 
     def commit(self, end: dict) -> None:
+        if self.keep:
+            for f in self.keep.glob("poll-*.json"):
+                if int(f.stem.split("-")[1]) < end["polls"]:
+                    f.unlink()
         for k in [k for k in self.held if k < end["polls"]]:
             del self.held[k]
 

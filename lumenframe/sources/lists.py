@@ -167,9 +167,12 @@ def vendor_points(lines: DataFrame, width: int, height: int, stride: int = 219)
 
 
 def box_files(lists: DataFrame, boxes: DataFrame, classes: DataFrame) -> DataFrame:
-    """part, name, ord, class_id and corners: lists (part, ord, name) of train and test images, files of boxes (name, value) with lines ``- {bndbox: [x1, y1, x2, y2], name: label}``, and class names (ord, label)."""
+    """part, name, ord, class_id and corners: lists (part, ord, name) of train and test images, files of boxes (name, value) with lines ``- {bndbox: [x1, y1, x2, y2], name: label}``, and class names (ord, label). A box in another form is an error."""
     line = r"bndbox:\s*\[\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*\]\s*,\s*name:\s*([^}\s]+)"
-    rows = boxes.select("name", F.posexplode(F.filter(F.split("value", "\n"), lambda s: s.rlike(line))).alias("k", "s"))
+    boxes_of = F.filter(F.split("value", "\n"), lambda s: s.contains("bndbox"))
+    rows = boxes.select("name", F.posexplode(boxes_of).alias("k", "s"))
+    # A box in another form would be lost silently.
+    rows = rows.withColumn("s", F.when(F.col("s").rlike(line), F.col("s")).otherwise(F.raise_error(F.concat(F.lit("unread box in "), "name", F.lit(": "), "s")).cast("string")))
     rows = rows.select("name", "k", F.regexp_extract("s", line, 5).alias("label"), *(F.regexp_extract("s", line, i + 1).cast("int").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))))
     ids = classes.select("label", F.col("ord").alias("class_id"))
     return lists.join(rows, "name").join(ids, "label").select("part", "name", "k", "class_id", "x1", "y1", "x2", "y2")

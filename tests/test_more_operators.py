@@ -354,3 +354,26 @@ def test_coupled_probabilities(spark):
     r = [float(p[i] / (p[i] + p[j])) for i in range(4) for j in range(i + 1, 4)]
     got = learners.coupled_probabilities(spark.createDataFrame([(1, r)], "id long, r array<double>"), "id", 4).first().p
     assert got == pytest.approx(p.tolist(), abs=0.01)
+
+
+def test_polls_are_kept_until_committed(monkeypatch, tmp_path):
+    """A reader that starts anew gives the items of polls that were not committed, or fails where it has not kept them."""
+    answer = json.dumps({"succ": "true", "data": [{"id": 7, "url": "u"}, {"id": 8, "url": "w"}]}).encode()
+    monkeypatch.setattr(H, "get", lambda url, timeout: (200, answer, {}))
+    at = {"url": "http://x/poll", "wait": "0", "keep": str(tmp_path / "polls")}
+    one, start = H._Poll(at), {"polls": 0}
+    rows, end = one.read(start)
+    assert list(H._Poll(at).readBetweenOffsets(start, end)) == list(rows) == [("7", "u"), ("8", "w")]
+    one.commit(end)
+    for again in (H._Poll(at), H._Poll(at | {"keep": ""})):
+        with pytest.raises(RuntimeError, match="keep"):
+            list(again.readBetweenOffsets(start, end))
+
+
+def test_boxes_in_another_form_are_an_error(spark):
+    from lumenframe.sources import lists
+
+    files = spark.createDataFrame([("a", "- {bndbox: [1, 2, 3, 4], name: c}\n- bndbox:\n    xmin: 1")], "name string, value string")
+    names, classes = spark.createDataFrame([("train", 0, "a")], "part string, ord int, name string"), spark.createDataFrame([(0, "c")], "ord int, label string")
+    with pytest.raises(Exception, match="unread box"):
+        lists.box_files(names, files, classes).collect()

@@ -91,3 +91,12 @@ def test_ellipse(spark):
     df = spark.range(12 * 9).select((F.col("id") % 12).alias("x"), F.expr("id div 12").alias("y"))
     got = {(r.x, r.y) for r in df.where(W.in_ellipse((12, 9))).collect()}
     assert got == {(x, y) for x in range(12) for y in range(9) if ((x - 6) / 2) ** 2 + ((y - 4) / 3) ** 2 <= 1}
+
+
+def test_repaired_half_faces_are_widened(spark, image):
+    from lumenframe.operators.faces import repaired
+
+    rows = spark.createDataFrame([(1, 0, "half", 0.9, 15, 2, 25, 16), (2, 0, "face", 0.9, 1, 1, 9, 9)], "image_id int, ord int, label string, score double, x1 int, y1 int, x2 int, y2 int")
+    pixels = spark.createDataFrame([(1, x, y, g) for (x, y), g in image.items()], "image_id int, x int, y int, v int")
+    got = {r.image_id: (r.kind, r.x1, r.y1, r.x2, r.y2) for r in repaired(rows, width=40, height=26, pixels=pixels).collect()}
+    assert got == {1: ("half", *plain_search(image, 1, 15, 2, 25, 16)), 2: ("strong", 1, 1, 9, 9)} and got[1][1] < 15
