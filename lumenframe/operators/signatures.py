@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumenframe.session import written
 
 PARTIAL, TOTAL = 2, 8
+#: Rows and pairs of a bucket up to which it is scanned in one fold.
+FOLD, NEAR = 500, 20_000
 
 
 def code(feat: str = "feat", dims: int = 32) -> Column:
@@ -38,11 +40,27 @@ def near_pairs(rows: DataFrame, others: DataFrame, keys: list[str], partial: int
 def left_out(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id, duplicate_of: the rows that a scan which keeps a row unless it resembles a kept earlier one would not keep, and the first kept one that each resembles.
 
-    pairs (keys, id, other_id) holds every near pair, earlier row as other_id. In each round rows without an undecided earlier neighbour
+    pairs (keys, id, other_id) holds every near pair, earlier row as other_id. A bucket with up to ``FOLD`` rows that have an earlier neighbour, and ``NEAR`` pairs, is one fold in
+    order of id; larger ones are settled in rounds, see settled().
+    """
+    every = written(pairs.where("other_id < id").distinct(), "near-pairs")
+    sizes = every.groupBy(*keys).agg(F.count_distinct("id").alias("rows"), F.count("*").alias("pairs"))
+    large = written(sizes.where((F.col("rows") > FOLD) | (F.col("pairs") > NEAR)).select(*keys), "near-large")
+    rows = every.join(large, keys, "left_anti").groupBy(*keys, "id").agg(F.sort_array(F.collect_list("other_id")).alias("near"))
+    g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "near"))).alias("rows"))
+    g = g.withColumn("out", F.expr("aggregate(rows, slice(transform(rows, r -> r.id), 1, 0), (out, r) -> IF(exists(r.near, n -> NOT array_contains(out, n)), concat(out, array(r.id)), out))"))
+    g = g.select(*keys, F.explode(F.expr("filter(rows, r -> array_contains(out, r.id))")).alias("r"), "out")
+    small = g.select(*keys, "r.id", F.expr("filter(r.near, n -> NOT array_contains(out, n))[0]").alias("duplicate_of"))
+    if large.isEmpty():
+        return small
+    return small.unionByName(settled(written(every.join(large, keys, "left_semi"), "near-pairs"), keys))
+
+
+def settled(every: DataFrame, keys: list[str]) -> DataFrame:
+    """As left_out(), of a written table of pairs: in each round rows without an undecided earlier neighbour
     are kept, what resembles them goes, and what has gone holds nobody back. The first undecided row of a bucket is
     settled in each round, most are in the first few.
     """
-    every = written(pairs.where("other_id < id").distinct(), "near-pairs")
     open_, gone = every, []
     later = lambda df: df.select(*keys, F.col("id").alias("other_id")).distinct()
     while not open_.isEmpty():

@@ -110,8 +110,10 @@ def plain_scan(rows, partial, total):
     return out
 
 
-def test_signature_chains_are_scanned_in_order(spark):
+@pytest.mark.parametrize("fold", [500, 0])
+def test_signature_chains_are_scanned_in_order(spark, monkeypatch, fold):
     """A chain 0, 2, 4, ...: every other row is kept; batch and scan agree on random rows too."""
+    monkeypatch.setattr(signatures, "FOLD", fold)
     chain = [(i, [2 * i] * 4) for i in range(1, 14)]
     df = spark.createDataFrame(chain, "id long, feat array<int>")
     got = {r.id: r.duplicate_of for r in signatures.near_duplicates(df, 2, 8, 0).collect()}
