@@ -48,10 +48,17 @@ def detector_output(boxes: DataFrame, width: int, height: int, most: int, confid
     return top(proposals(boxes.where(F.col("score") >= confidence), width, height, share, least, 0.125, 8.0), most)
 
 
-def steady_groups(rows: DataFrame, key: str, value: str, most: float = 0.5) -> DataFrame:
-    """Groups whose coefficient of variation, with the population's deviation, is at most ``most``."""
-    g = rows.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count("*").alias("n"))
-    return g.where(F.col("sd") <= most * F.col("mean"))
+def steady_groups(rows: DataFrame, key: str, value: str, order: str, most: float = 0.5) -> DataFrame:
+    """Groups whose coefficient of variation, with the population's deviation, is at most ``most``.
+
+    Values are added in their order: where the two sides are equal but for rounding, the verdict would otherwise depend on how rows arrive.
+    """
+    x = F.col(value).cast("double")
+    own = F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(F.col(order).alias("ord"), x.alias("x")))))
+    g = rows.groupBy(key).agg(F.avg(value).alias("mean"), own.alias("own"), F.count("*").alias("n"))
+    near = "(s.mean + (e.x - s.mean) / (s.n + 1))"
+    spread = F.expr(f"aggregate(own, named_struct('n', 0D, 'mean', 0D, 'sum', 0D), (s, e) -> named_struct('n', s.n + 1, 'mean', {near}, 'sum', s.sum + (e.x - {near}) * (e.x - s.mean)), s -> sqrt(s.sum / nullif(s.n, 0D)))")
+    return g.select(key, "mean", spread.alias("sd"), "n").where(F.col("sd") <= most * F.col("mean"))
 
 
 def single_object(rows: DataFrame, key: str, width: int, height: int, least: int = 64, share: float = 0.3) -> DataFrame:
