@@ -130,23 +130,25 @@ def kmeans(rows: DataFrame, features: str, k: int = 5, seed: int = 1, steps: int
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) of edges (a, b): labels spread and jump until nothing changes.
+    """node, component (smallest node reachable) of edges (a, b).
 
-    Each round is one aggregation and one join, and its labels are written to the shared folder.
+    In each round every node goes over to its smallest neighbour, and edges that now join a node with itself or repeat another go; the rest is
+    a smaller graph of the same components. Then the labels of the smaller graphs are handed down. Each round's tables are written to the shared folder.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    total = None
+    rest, moves = edges.select("a", "b"), []
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", "near").alias("component"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = new.join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-        labels = written(labels, "labels")
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = written(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("to")), "moves")
+        moves.append(to)
+        one = rest.join(to.toDF("a", "p"), "a").join(to.toDF("b", "q"), "b")
+        low, high = F.least("p", "q"), F.greatest("p", "q")
+        rest = written(one.where("p <> q").select(low.alias("a"), high.alias("b")).distinct(), "edges")
+        if rest.isEmpty():
+            break
+    labels = moves.pop().withColumnRenamed("to", "component")
+    while moves:
+        labels = written(moves.pop().join(labels.toDF("to", "component"), "to", "left").select("node", F.coalesce("component", "to").alias("component")), "labels")
+    return labels
 
 
 def meaningful(points: np.ndarray, steps: list[tuple[int, int, float, int]]) -> list[list[int]]:
