@@ -11,7 +11,7 @@ uniform byte. The trees are then frozen: the code length of a byte depends on it
 double precision, and a text is scored whole by searches in them.
 
 A text that no model fits costs more bits a byte than texts of any learnt language: ``limits`` takes
-from the labelled sample, for each language, the cost that its texts hardly ever exceed.
+from the labelled texts, for each language, the cost that its texts hardly ever exceed. ``told`` counts, and takes its limits, over all texts.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for all
 texts where there is nothing to learn from; rows without lang are not learnt from; ties go to the
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lumenframe.llm.common import forget, parallel, row_struct, table, text_column
+from lumenframe.llm.common import forget, parallel, row_struct, table, text_column, written
 from lumenframe.llm.kernels import blocks
 
 ORDER = 3
@@ -133,16 +133,15 @@ def sampled(labelled: DataFrame, sample_bytes: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
 
 
-def train(labelled: DataFrame, sample_bytes: int = 2_000_000) -> Model:
-    """Fits on a sample of (key, lang, text), bounded for each language."""
-    rows = gram_counts(sampled(labelled, sample_bytes)).toPandas()
+def train(labelled: DataFrame, sample_bytes: int | None = 2_000_000) -> Model:
+    """Fits on a sample of (key, lang, text), bounded for each language, or on all of it (None)."""
+    rows = gram_counts(labelled.where("lang IS NOT NULL") if sample_bytes is None else sampled(labelled, sample_bytes)).toPandas()
     return Model({lang: (x["gram"].to_numpy(), x["n"].to_numpy()) for lang, x in rows.groupby("lang")})
 
 
-def limits(labelled: DataFrame, model: Model, sample_bytes: int = 2_000_000, reach: float = 6.0) -> dict[str, float]:
-    """Bits a byte beyond which a text is in no learnt language: for each language the third quartile of its sampled texts and ``reach`` times the distance from their median to their 99th percentile, or LEAST_SPREAD if that is more, beyond it."""
-    own = predict(sampled(labelled, sample_bytes), ["lang"], model).where("own_row.lang = lang_pred")
-    q = own.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", [0.5, 0.75, 0.99], 1000).alias("q")).collect()
+def limits(judged: DataFrame, reach: float = 6.0) -> dict[str, float]:
+    """Bits a byte beyond which a text is in no learnt language, from (lang, lang_pred, bits_per_byte): for each language the third quartile of the texts told right and ``reach`` times the distance from their median to their 99th percentile, or LEAST_SPREAD if that is more, beyond it."""
+    q = judged.where("lang = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", [0.5, 0.75, 0.99], 1000).alias("q")).collect()
     return {r[0]: r[1][1] + reach * max(r[1][2] - r[1][0], LEAST_SPREAD) for r in q}
 
 
@@ -178,14 +177,19 @@ def predict(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def told(docs: DataFrame, key: str = "doc_id", least: float = 0.5, sample_bytes: int = 2_000_000) -> DataFrame:
-    """The rows of docs (key, lang, text) whose language, by models learnt from their own labels, can be told and fits."""
+def told(docs: DataFrame, key: str = "doc_id", least: float = 0.5) -> DataFrame:
+    """The rows of docs (key, lang, text) whose language, by models learnt from all of their own labels, can be told and fits.
+
+    Texts are scored once: their scores are written with the rows, and limits taken from the written table.
+    """
     labelled = docs.select(F.col(key).alias("key"), "lang", "text")
-    model = train(labelled, sample_bytes)
+    if len(labelled.where("lang IS NOT NULL").select("lang").distinct().limit(MAX_LANGS + 1).collect()) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: models go whole to every task")
+    judged = written(predict(docs, docs.columns, train(labelled, None)), "told")
     fits = F.lit(False)
-    for lang, most in limits(labelled, model, sample_bytes).items():
+    for lang, most in limits(judged.select(F.col("own_row.lang").alias("lang"), "lang_pred", "bits_per_byte")).items():
         fits = fits | ((F.col("lang_pred") == lang) & (F.col("bits_per_byte") <= most))
-    out = predict(docs, docs.columns, model).where(fits & (F.col("score") >= least))
+    out = judged.where(fits & (F.col("score") >= least))
     return out.select(*(F.col("own_row").getField(c).alias(c) for c in docs.columns))
 
 
