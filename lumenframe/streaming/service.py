@@ -31,24 +31,27 @@ def new_in_stream(stream: DataFrame, key: str = "code", partial: int = PARTIAL,
 
     Adds is_new and duplicate_of, the first row that it resembles. State grows with the new signatures of a bucket, as the store itself does.
     """
+    import numpy as np
     import pandas as pd
 
     def step(own, frames, state):
-        known_ids, known = (list(x) for x in state.get) if state.exists else ([], [])
+        known_ids, feats = (list(x) for x in state.get) if state.exists else ([], [])
+        known, n = np.array(feats, dtype=np.int32) if feats else np.zeros((0, 0), dtype=np.int32), len(feats)
         for pdf in frames:
             out = []
             for i, f in sorted(zip(pdf["id"].tolist(), (list(map(int, x)) for x in pdf["feat"]), strict=True)):
-                hit = next((k for k, g in zip(known_ids, known, strict=True) if near(f, g)), None)
+                # All known signatures of the bucket are compared at once.
+                gap = np.abs(known[:n] - np.array(f, dtype=np.int32)) if n else np.zeros((0, 1))
+                hits = np.flatnonzero((gap.max(1, initial=0) <= partial) & (gap.sum(1) <= total))
+                hit = known_ids[hits[0]] if len(hits) else None
                 if hit is None:
+                    if n == len(known):
+                        known = np.concatenate([known.reshape(n, len(f)), np.zeros((max(n, 64), len(f)), dtype=np.int32)])
+                    known[n], n = f, n + 1
                     known_ids.append(i)
-                    known.append(f)
                 out.append((own[0], i, hit is None, hit))
             yield pd.DataFrame(out, columns=[key, "id", "is_new", "duplicate_of"]).astype({"duplicate_of": "Int64"})
-        state.update((known_ids, known))
-
-    def near(a, b) -> bool:
-        d = [abs(x - y) for x, y in zip(a, b, strict=True)]
-        return max(d) <= partial and sum(d) <= total
+        state.update((known_ids, known[:n].tolist()))
 
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, id long, is_new boolean, duplicate_of long", "ids array<long>, feats array<array<int>>", "append", "NoTimeout")
 
