@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.text import tokens
+from lumenframe.session import small_batches
 
 
 def svm_header(text: str) -> dict[str, list[str]]:
@@ -98,6 +99,7 @@ def record_fields(raw: bytes) -> dict:
 
 def records_written(rows: DataFrame, key: str) -> DataFrame:
     """key and record of rows (key, channels, height, width, data, label)."""
+    small_batches(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -109,6 +111,7 @@ def records_written(rows: DataFrame, key: str) -> DataFrame:
 
 
 def records_read(rows: DataFrame, key: str) -> DataFrame:
+    small_batches(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):

@@ -56,3 +56,20 @@ def test_partitions_follow_the_rows(spark, monkeypatch, most):
         assert spark.conf.get(name) == str(1000 // most)
     finally:
         spark.conf.set(name, before)
+
+
+def test_records_move_in_small_batches(spark):
+    """Wide rows reach Python a few at a time, whatever the session allows."""
+    from pyspark.sql import functions as F
+
+    from lumenframe.sources import models
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(256 << 20))
+    try:
+        p = spark.range(20).select("id", *(F.lit(1).alias(c) for c in ("channels", "height", "width", "label")), F.encode(F.repeat(F.lit("x"), 100_000), "UTF-8").alias("data"))
+        assert models.records_read(models.records_written(p, "id"), "id").where("length(data) = 100000").count() == 20
+        assert int(spark.conf.get(name)) <= 2 << 20
+    finally:
+        spark.conf.set(name, before)
