@@ -106,3 +106,27 @@ def test_no_rows(spark):
     assert solvers.trust_region(none, "e", "s")[1] == 0 and solvers.dual_descent(none, "e", "s")[1] == 0
     vectors, rho = solvers.kernel_machine(none, "e", "s")
     assert vectors.count() == 0 and rho == 0
+
+
+def test_many_support_vectors_are_solved_in_groups(spark, monkeypatch):
+    """Random labels: nearly all rows are support vectors, many times a group; values are those of one machine over all rows."""
+    monkeypatch.setattr(solvers, "ROW_BLOCK", 70, raising=False)
+    monkeypatch.setattr(solvers, "VECTOR_BLOCK", 90, raising=False)
+    monkeypatch.setattr(solvers, "HELD", 2, raising=False)
+    rnd = np.random.default_rng(8)
+    x, y = rnd.normal(size=(500, 4)), rnd.choice([-1.0, 1.0], 500)
+    how = dict(kind="rbf", gamma=0.5, coef0=0.0, degree=3)
+    vectors, rho = solvers.kernel_machine(table(spark, x, y), "e", "s", 1.0, group=80, **how)
+    best, want = plain_dual(x, y, 1.0, **how)
+    df = spark.createDataFrame([*((i, a.tolist()) for i, a in enumerate(x)), (500, None)], "id int, e array<double>")
+    got = {r.id: r.value for r in solvers.kernel_values(df, "id", "e", vectors, rho, **how).collect()}
+    assert [got[i] for i in range(500)] == pytest.approx(want, abs=3e-2) and len(got) == 501 and got[500] is None
+    c = vectors.collect()
+    v, coef = np.array([r.vector for r in c]), np.array([r.coef for r in c])
+    assert len(c) > 400 and np.abs(coef).sum() - 0.5 * coef @ solvers.kernel_matrix(v, v, **how) @ coef == pytest.approx(best, rel=1e-4)
+
+
+def test_one_label_and_copies(spark):
+    one = spark.createDataFrame([([1.0, 2.0], 1.0), ([2.0, 1.0], 1.0), ([2.0, 1.0], 1.0)], "e array<double>, s double")
+    vectors, rho = solvers.kernel_machine(one, "e", "s")
+    assert vectors.count() == 0 and [r.value for r in solvers.kernel_values(one.withColumn("id", F.lit(7)), "id", "e", vectors, rho, kind="rbf").collect()] == [1.0, 1.0, 1.0]
