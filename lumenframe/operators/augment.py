@@ -11,8 +11,10 @@ from lumenframe.functions import boxes as B
 def jittered(b: DataFrame, width: int, height: int) -> DataFrame:
     """Each sane box with one side moved outwards by 1 to 12 fortieths of its length, as far as it stays in the image."""
     s = b.where(B.sane(width, height))
-    j = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    # Distances depend on k alone, so they are worked out before the sides multiply the rows.
+    j = s.select("image_id", "ord", *B.SIDES, F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k"))
     j = j.withColumns({"bw": F.expr("CAST(floor((x2 - x1) * k * 25 / 1000.0D + 0.5D) AS INT)"), "bh": F.expr("CAST(floor((y2 - y1) * k * 25 / 1000.0D + 0.5D) AS INT)")})
+    j = j.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(3))))
     move = lambda c, side, by, sign: (F.col(c) + sign * F.when(F.col("side") == side, F.col(by)).otherwise(0)).alias(c)
     ok = F.expr(f"CASE side WHEN 0 THEN x1 - bw > 1 WHEN 1 THEN y1 - bh > 1 WHEN 2 THEN x2 + bw < {width - 1} ELSE y2 + bh < {height - 1} END")
     return j.where(ok).select("image_id", "ord", "k", "side", move("x1", 0, "bw", -1), move("y1", 1, "bh", -1), move("x2", 2, "bw", 1), move("y2", 3, "bh", 1))

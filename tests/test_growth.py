@@ -73,3 +73,13 @@ def test_records_move_in_small_batches(spark):
         assert int(spark.conf.get(name)) <= 2 << 20
     finally:
         spark.conf.set(name, before)
+
+
+def test_distances_are_worked_out_before_the_sides_multiply_the_rows(spark):
+    from lumenframe.operators import augment
+
+    b = spark.createDataFrame([(1, 1, 100, 100, 180, 160)], "image_id long, ord long, x1 int, y1 int, x2 int, y2 int")
+    j = augment.jittered(b, 640, 480)
+    plan = j._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FLOOR") > plan.index("Generate") and plan.count("Generate") == 2
+    assert j.count() == 48 and j.where("k = 12 AND side = 3").first()[4:] == (100, 100, 180, 178)
