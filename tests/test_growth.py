@@ -83,3 +83,20 @@ def test_distances_are_worked_out_before_the_sides_multiply_the_rows(spark):
     plan = j._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("FLOOR") > plan.index("Generate") and plan.count("Generate") == 2
     assert j.count() == 48 and j.where("k = 12 AND side = 3").first()[4:] == (100, 100, 180, 178)
+
+
+@pytest.mark.parametrize("now, then", [("64m", "16777216b"), ("67108864b", "16777216b"), ("1GB", "16777216b"), ("8mb", "8mb"), ("1000", "1000")])
+def test_joined_partitions_stay_small(spark, monkeypatch, now, then):
+    """Adaptive execution doesn't join the partitions of a large table beyond a size, and a smaller size of the session stays."""
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    monkeypatch.setattr(session, "PART_ROWS", 500)
+    try:
+        spark.conf.set(names[0], now)
+        session.spread(spark.range(10))
+        assert spark.conf.get(names[0]) == now
+        session.spread(spark.range(1000))
+        assert spark.conf.get(names[0]) == then
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
