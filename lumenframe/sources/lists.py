@@ -175,7 +175,8 @@ def box_files(lists: DataFrame, boxes: DataFrame, classes: DataFrame) -> DataFra
     rows = rows.withColumn("s", F.when(F.col("s").rlike(line), F.col("s")).otherwise(F.raise_error(F.concat(F.lit("unread box in "), "name", F.lit(": "), "s")).cast("string")))
     rows = rows.select("name", "k", F.regexp_extract("s", line, 5).alias("label"), *(F.regexp_extract("s", line, i + 1).cast("int").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))))
     ids = classes.select("label", F.col("ord").alias("class_id"))
-    return lists.join(rows, "name").join(ids, "label").select("part", "name", "k", "class_id", "x1", "y1", "x2", "y2")
+    # A few labels hold all rows, so rows are not dealt by label: the class names, a bounded dictionary, go to them.
+    return lists.join(rows, "name").join(F.broadcast(ids), "label").select("part", "name", "k", "class_id", "x1", "y1", "x2", "y2")
 
 
 def roi_lines(truth: DataFrame, proposals: DataFrame, key: str = "image_id") -> DataFrame:

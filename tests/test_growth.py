@@ -100,3 +100,13 @@ def test_joined_partitions_stay_small(spark, monkeypatch, now, then):
     finally:
         for n, v in zip(names, before, strict=True):
             spark.conf.set(n, v)
+
+
+def test_boxes_of_files_are_not_dealt_by_label(spark):
+    from lumenframe.sources import lists
+
+    names = spark.createDataFrame([("train", 0, "a")], "part string, ord int, name string")
+    files = spark.createDataFrame([("a", "annotation:\n  - {bndbox: [1, 2, 3, 4], name: c1}")], "name string, value string")
+    got = lists.box_files(names, files, spark.createDataFrame([(0, "c2"), (1, "c1")], "ord int, label string"))
+    assert "hashpartitioning(label" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("train", "a", 0, 1, 1, 2, 3, 4)]
