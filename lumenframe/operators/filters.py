@@ -48,12 +48,17 @@ def detector_output(boxes: DataFrame, width: int, height: int, most: int, confid
     return top(proposals(boxes.where(F.col("score") >= confidence), width, height, share, least, 0.125, 8.0), most)
 
 
-def steady_groups(rows: DataFrame, key: str, value: str, order: str, most: float = 0.5) -> DataFrame:
+def steady_groups(rows: DataFrame, key: str, value: str, order: str | None = None, most: float = 0.5) -> DataFrame:
     """Groups whose coefficient of variation, with the population's deviation, is at most ``most``.
 
-    Values are added in their order: where the two sides are equal but for rounding, the verdict would otherwise depend on how rows arrive.
+    Without an order the two sides are compared by the sums of values and of their squares. Those of whole numbers don't round (while the
+    squares' sum times the count is below 2^53), so neither does the verdict where the sides are equal. With an order, for values that are
+    not whole, deviations are added in it: verdicts at the limit then depend on rounding, but not on how rows arrive.
     """
     x = F.col(value).cast("double")
+    if order is None:
+        g = rows.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(x).alias("sd"), F.count("*").alias("n"), F.count(x).alias("c"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+        return g.where((F.col("s") >= 0) & (F.col("c") * F.col("q") <= (1 + most * most) * F.col("s") * F.col("s"))).drop("c", "s", "q")
     own = F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(F.col(order).alias("ord"), x.alias("x")))))
     g = rows.groupBy(key).agg(F.avg(value).alias("mean"), own.alias("own"), F.count("*").alias("n"))
     near = "(s.mean + (e.x - s.mean) / (s.n + 1))"

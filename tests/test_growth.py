@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lumenframe import session
+from lumenframe import queries, session
 from lumenframe.operators import cluster, filters
 from lumenframe.sources import stores
 
@@ -19,6 +19,21 @@ def test_steady_groups_at_the_limit(spark):
         assert {r.k: r.n for r in filters.steady_groups(df, "k", "x", "i").collect()} == {k: len(v) for k, (v, ok) in groups.items() if ok}
 
 
+def test_steady_groups_of_whole_numbers_are_exact(spark, tmp_path):
+    """Widths with a deviation of exactly half the mean are in, whatever the order; the next ones beyond are out."""
+    groups = {1: ([212, 80, 108, 44, 116], True), 2: ([196, 24, 204, 212, 116, 24, 172, 128, 100, 216], True), 3: ([140, 28, 48, 136, 128, 64, 164, 60], True), 4: ([24], True), 5: ([24, 72], True), 6: ([24, 76], False), 7: ([212, 80, 108, 40, 116], False)}
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    for seed in range(4):
+        rows = [(k, x) for k, (v, _) in groups.items() for x in v]
+        random.Random(seed).shuffle(rows)
+        data = [(i, k, 1, 1, (x - 20) / 4, 1.0, 0.0, 0.0, "A", "F", None) for i, (k, x) in enumerate(rows)]
+        spark.createDataFrame(data, names).write.parquet(f"{tmp_path}/{seed}/lineitem.parquet")
+        got = {r.image_id: r.n for r in queries.QUERIES["steady_groups"](spark, f"{tmp_path}/{seed}").collect()}
+        assert got == {k: len(v) for k, (v, ok) in groups.items() if ok}
+    odd = spark.createDataFrame([(1, None), (1, None), (2, -4.0), (2, -4.0), (3, 0.0), (4, 2.0), (4, None)], "k long, x double")
+    assert {(r.k, r.mean, r.sd, r.n) for r in filters.steady_groups(odd, "k", "x").collect()} == {(3, 0.0, 0.0, 1), (4, 2.0, 0.0, 2)}
+
+
 def test_components_of_long_chains(spark, monkeypatch):
     """A chain in random order and a star: the tables of all rounds together hold little more than the edges."""
     rnd, seen = random.Random(2), []
