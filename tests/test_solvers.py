@@ -130,3 +130,17 @@ def test_one_label_and_copies(spark):
     one = spark.createDataFrame([([1.0, 2.0], 1.0), ([2.0, 1.0], 1.0), ([2.0, 1.0], 1.0)], "e array<double>, s double")
     vectors, rho = solvers.kernel_machine(one, "e", "s")
     assert vectors.count() == 0 and [r.value for r in solvers.kernel_values(one.withColumn("id", F.lit(7)), "id", "e", vectors, rho, kind="rbf").collect()] == [1.0, 1.0, 1.0]
+
+
+def test_groups_agree_within_few_rounds(spark):
+    """Many small groups that all move the same way: their changes add up within some rounds, where they overshot and went on for long."""
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(size=(1200, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = np.where(x[:, 0] + rnd.normal(size=1200) > 0, 1.0, -1.0)
+    how = dict(kind="rbf", gamma=0.5, coef0=0.0, degree=3)
+    vectors, _ = solvers.kernel_machine(table(spark, x, y), "e", "s", 1.0, group=60, rounds=16, **how)
+    best, _ = plain_dual(x, y, 1.0, **how)
+    c = vectors.collect()
+    v, coef = np.array([r.vector for r in c]), np.array([r.coef for r in c])
+    assert np.abs(coef).sum() - 0.5 * coef @ solvers.kernel_matrix(v, v, **how) @ coef == pytest.approx(best, rel=1e-4)
