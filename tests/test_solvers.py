@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenframe import queries, queries_regions  # noqa: F401  it adds its queries
 from lumenframe.operators import learners, solvers
 
 
@@ -144,3 +145,22 @@ def test_groups_agree_within_few_rounds(spark):
     c = vectors.collect()
     v, coef = np.array([r.vector for r in c]), np.array([r.coef for r in c])
     assert np.abs(coef).sum() - 0.5 * coef @ solvers.kernel_matrix(v, v, **how) @ coef == pytest.approx(best, rel=1e-4)
+
+
+def test_the_dual_is_solved_to_the_end(spark, monkeypatch):
+    """The query's machine closes the gap, whatever rounds that takes; rounds that are too few are an error."""
+    got, keep = [], solvers.dual_descent
+
+    def told(*a, **how):
+        got.append(keep(*a, **how))
+        raise InterruptedError
+
+    monkeypatch.setattr(solvers, "dual_descent", told)
+    with pytest.raises(InterruptedError):
+        queries.QUERIES["solver_objectives"](spark, "/root/testdata/sf0.1")
+    [(_, primal, dual)] = got
+    assert dual <= primal <= dual + 2e-3 * primal
+    x, y = rows_of(12)
+    for squared in (False, True):
+        with pytest.raises(RuntimeError, match="apart"):
+            keep(table(spark, x, y), "e", "s", squared, 5.0, rounds=1, gap=1e-6)
